@@ -6,11 +6,16 @@ All functions work on a batch at a time; a batch holds whole documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from meridia.llm._store import bounded_batches
 
 U64 = np.uint64
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -18,6 +23,9 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACES)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: ASCII letters, digits and every byte of a longer UTF-8 sequence; other bytes part the terms of looser matches.
+TERM = np.zeros(256, bool)
+TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _RNG = np.random.Generator(np.random.PCG64(20240601))
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=U64)
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -77,6 +85,10 @@ class Words:
         np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
         return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
 
+    def prefix_hashes(self, most: int) -> np.ndarray:
+        """A hash of the first `most` bytes of each word."""
+        return Words(self.data, self.bounds, self.start, np.minimum(self.end, self.start + most), self.docs).hashes()
+
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
@@ -94,8 +106,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of each text; lower maps the letters A-Z to a-z first."""
+def words_of(texts: pa.Array, lower: bool = False, solid: np.ndarray = _IS_WORD) -> Words:
+    """The words of each text; lower maps the letters A-Z to a-z first. solid tells the bytes of words from others."""
     data, bounds = text_bytes(texts)
     if lower:
         data = _LOWER[data]
@@ -103,7 +115,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, bounds, none, none, np.zeros(len(bounds), np.int64))
-    solid = _IS_WORD[data]
+    solid = solid[data]
     edge = np.zeros(n + 1, bool)  # a document ends or begins here
     edge[bounds] = True
     first, last = solid.copy(), solid.copy()
@@ -138,7 +150,7 @@ def inside(words: Words, n: int) -> np.ndarray:
     return doc[: len(words) - n + 1] == doc[n - 1 :]
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str | int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about `most` bytes of text each; a single longer text stays whole."""
     sizes = text_bytes(batch.column(column))[1]
     at = 0
@@ -153,3 +165,29 @@ def kept_text(words: Words, doc: int, keep: np.ndarray) -> bytes:
     a, b = words.docs[doc], words.docs[doc + 1]
     raw = words.data[words.bounds[doc] : words.bounds[doc + 1]].tobytes().split()
     return b" ".join([w for w, k in zip(raw, keep[a:b].tolist(), strict=True) if k])
+
+
+def map_texts(df: DataFrame, each: Callable[[pa.Array], list[pa.Array]], fields: str, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep` of every row, and those that `each` makes of a slice's whole texts; `fields` is their DDL."""
+    bounded_batches(df.sparkSession)
+    new = T.StructType.fromDDL(fields)
+    schema = T.StructType([df.schema[k] for k in keep] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *each(part.column("_text"))], names=schema.names)
+
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def filter_texts(df: DataFrame, stays: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows whose whole texts `stays` tells to keep, with all their columns."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, text):
+                yield part.filter(pa.array(stays(part.column(text)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

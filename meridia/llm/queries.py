@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import mixing, sharding
+from meridia.llm import mixing, repetition, sharding, toxicity
 from meridia.llm._store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,22 @@ def op5_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.rules(table(spark, sf_dir, "documents"))
+
+
+def remainder(key: str, modulus: int, value: int) -> Column:
+    """Whether crc32 of the key as text leaves this remainder; false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == value, F.lit(False))
+
+
+def op9_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 4, 2)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.hash_tree(table(spark, sf_dir, "documents"), sharding.layout(24), sharding.layout(25))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -25,6 +41,8 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op5_low_discrepancy_mix": op5_low_discrepancy_mix,
+        "op7_suffix_repetition": op7_suffix_repetition,
+        "op9_mil_toxicity": op9_mil_toxicity,
         "op10_hash_tree": op10_hash_tree,
     }
 
