@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import mixing, repetition, sharding, toxicity
-from meridia.llm._store import table
+from meridia.llm import decontamination, mixing, repetition, sharding, token_files, toxicity, warc
+from meridia.llm._store import shared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Where the public vocabularies are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_bundles(table(spark, sf_dir, "pages"), shared(spark))
+    return warc.read_bundles(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -21,6 +34,11 @@ def op7_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(table(spark, sf_dir, "documents"))
 
 
+def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_shards(table(spark, sf_dir, "documents"), shared(spark), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_files.read_shards(manifest)
+
+
 def remainder(key: str, modulus: int, value: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder; false for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == value, F.lit(False))
@@ -38,14 +56,28 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+#: The rows of op2_warc_bundles.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+f AS (SELECT body, min(page_id) AS first FROM p WHERE strlen(body) >= 100 GROUP BY body)
+SELECT page_id, strlen(p.body)::BIGINT AS payload_bytes, sha256(p.body) AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM coalesce(first, page_id) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM coalesce(first, page_id) THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.body = f.body
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_warc_bundles": op2_warc_bundles,
+        "op4_string_tiling": op4_string_tiling,
         "op5_low_discrepancy_mix": op5_low_discrepancy_mix,
         "op7_suffix_repetition": op7_suffix_repetition,
+        "op8_repair_tokens": op8_repair_tokens,
         "op9_mil_toxicity": op9_mil_toxicity,
         "op10_hash_tree": op10_hash_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_low_discrepancy_mix": mixing.ORACLE}
+    return {"op2_warc_bundles": WARC, "op5_low_discrepancy_mix": mixing.ORACLE}
