@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridia.llm._store import written
 from meridia.llm._text import TERM, U64, Words, map_texts, mix, words_of
 
 #: Bits of a feature's number, and the lengths in bytes of the beginnings that are features; 0 is the whole term.
@@ -97,22 +98,42 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     seen = marked.agg(F.avg("_y")).first()[0] or 0.0
     order = F.xxhash64("_id", F.lit("sample")), F.col("_id")
     chosen = marked.filter("_y = 1").orderBy(*order).limit(most).unionByName(marked.filter("_y = 0").orderBy(*order).limit(most))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
+    rows = written(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id"), free=False)
+
+    def features(texts: pa.Array) -> list[pa.Array]:
+        """The distinct features of each document."""
+        words = words_of(texts, lower=True, solid=TERM)
+        found = _features(words).astype(np.int32)
+        return [pa.array([np.unique(found[:, a:b]) for a, b in zip(words.docs[:-1], words.docs[1:], strict=True)], pa.list_(pa.int32()))]
+
+    counts, sizes = np.zeros((2, 1 << BITS)), np.zeros(2, np.int64)
+    for part in map_texts(rows, features, "features array<int>", ["_y"]).toArrow().to_batches():
+        y, lists = part.column("_y").to_numpy(), part.column("features")
+        for c in (0, 1):
+            counts[c] += np.bincount(lists.filter(pa.array(y == c)).flatten().to_numpy(), minlength=1 << BITS)
+            sizes[c] += (y == c).sum()
+    used, odds = select(counts[1], counts[0], int(sizes[1]), int(sizes[0]))
+    if not len(used):
+        return Model(used, np.zeros(0), -50.0, seen)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
 
     def bags(texts: pa.Array) -> list[pa.Array]:
-        """Sorted distinct (sentence, feature) of each document, as sentence << BITS | feature."""
+        """Sorted distinct (sentence, place of a used feature) of each document, as sentence << BITS | place."""
         words = words_of(texts, lower=True, solid=TERM)
         starts, first = _sentences(words)
         sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-        features = _features(words)
+        found = place[_features(words)]
         out = []
         for d in range(len(words.docs) - 1):
             a, b = words.docs[d], words.docs[d + 1]
-            out.append(np.unique((((sentence[a:b] - first[d]) << BITS) | features[:, a:b]).ravel()))
+            key = ((sentence[a:b] - first[d]) << BITS) | found[:, a:b]
+            out.append(np.unique(key[found[:, a:b] >= 0]))
         return [pa.array(out, pa.list_(pa.int64())), pa.array(np.diff(first), pa.int64())]
 
-    got = map_texts(rows.select("_id", "_y", "text"), bags, "bag array<bigint>, sentences bigint", ["_id", "_y"]).toArrow().sort_by("_id")
-    return fit(got.column("bag").combine_chunks(), got.column("sentences").to_numpy(), got.column("_y").to_numpy(), seen)
+    got = map_texts(rows, bags, "bag array<bigint>, sentences bigint", ["_id", "_y"]).toArrow().sort_by("_id")
+    theta = fit(got.column("bag").combine_chunks(), got.column("sentences").to_numpy(), got.column("_y").to_numpy(), seen, odds)
+    return Model(used, theta[:-1], float(theta[-1]), seen)
 
 
 def _likelihood_ratio(df_pos: np.ndarray, df_neg: np.ndarray, pos: int, neg: int) -> np.ndarray:
@@ -126,35 +147,32 @@ def _likelihood_ratio(df_pos: np.ndarray, df_neg: np.ndarray, pos: int, neg: int
     return 2 * (part(df_pos, pos, df_pos / pos) + part(df_neg, neg, df_neg / neg) - part(df_pos, pos, both) - part(df_neg, neg, both))
 
 
-def fit(bags: pa.ListArray, sentences: np.ndarray, y: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 2e-3) -> Model:
-    """Noisy-or likelihood, by Adam from the features' log odds. prior: the share of label 1 that the classes weigh by."""
-    y = y.astype(float)
-    pos, neg = int(y.sum()), int((1 - y).sum())
+def select(df_pos: np.ndarray, df_neg: np.ndarray, pos: int, neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features that speak for label 1 beyond chance, and their log odds; documents of a class have them df times."""
     if not pos or not neg:
-        return Model(np.zeros(0, np.int64), np.zeros(0), -50.0, prior)
-    flat = bags.flatten().to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(y)), np.diff(bags.offsets.to_numpy()))
-    feature = flat & ((1 << BITS) - 1)
-    once = np.unique((doc << BITS) | feature)  # documents that have the feature
-    has, of = once & ((1 << BITS) - 1), once >> BITS
-    df_pos, df_neg = np.bincount(has, y[of], 1 << BITS), np.bincount(has, 1 - y[of], 1 << BITS)
+        return np.zeros(0, np.int64), np.zeros(0)
     odds = np.log((df_pos + 0.5) / (pos + 1)) - np.log((df_neg + 0.5) / (neg + 1))
     evidence = _likelihood_ratio(df_pos, df_neg, pos, neg)
     tested = df_pos >= 3
     tested &= (odds > np.log(3)) & (evidence > 1.5 * np.log(max(2, tested.sum())))
     chosen = np.sort(np.argsort(-np.where(tested, evidence, 0), kind="stable")[:FEATURES])
     chosen = chosen[tested[chosen]]
-    if not len(chosen):
-        return Model(np.zeros(0, np.int64), np.zeros(0), -50.0, prior)
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[feature] >= 0
+    return chosen, odds[chosen]
+
+
+def fit(bags: pa.ListArray, sentences: np.ndarray, y: np.ndarray, prior: float, odds: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 2e-3) -> np.ndarray:
+    """Weights and, last, the bias, by Adam on the noisy-or likelihood from the features' log odds.
+
+    prior: the share of label 1 that the classes weigh by, whatever their shares in the sample.
+    """
+    y = y.astype(float)
+    flat = bags.flatten().to_numpy(zero_copy_only=False)
     first = np.concatenate([[0], np.cumsum(sentences)])
-    row = (first[doc[used]] + (flat[used] >> BITS)).astype(np.int64)
-    col, n = place[feature[used]], int(first[-1])
+    doc = np.repeat(np.arange(len(y)), np.diff(bags.offsets.to_numpy()))
+    row, col, n = first[doc] + (flat >> BITS), flat & ((1 << BITS) - 1), int(first[-1])
     of_sentence = np.repeat(np.arange(len(y)), sentences)
-    theta = np.append(0.5 * odds[chosen], -6.0)
-    scale = np.append(np.ones(len(chosen)), 0.0)
+    theta, scale = np.append(0.5 * odds, -6.0), np.append(np.ones(len(odds)), 0.0)
+    pos, neg = y.sum(), (1 - y).sum()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     share = np.where(y > 0, prior / pos, (1 - prior) / neg)
     for t in range(1, steps + 1):
@@ -164,10 +182,10 @@ def fit(bags: pa.ListArray, sentences: np.ndarray, y: np.ndarray, prior: float,
         is_toxic = np.maximum(-np.expm1(none), 1e-12)
         # d loss / d z of a sentence: p where the label is 0, -p * (1 - P) / P where it is 1
         slope = share[of_sentence] * p * np.where(y[of_sentence] > 0, -np.exp(none[of_sentence]) / is_toxic[of_sentence], 1.0)
-        g = np.append(np.bincount(col, slope[row], len(chosen)), slope.sum()) + decay * scale * theta / len(chosen) ** 0.5
+        g = np.append(np.bincount(col, slope[row], len(odds)), slope.sum()) + decay * scale * theta / len(odds) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return Model(chosen, theta[:-1], float(theta[-1]), prior)
+    return theta
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
