@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import decontamination, mixing, repetition, sharding, token_files, toxicity, warc
+from meridia.llm import decontamination, mixing, near_duplicates, repetition, sharding, token_files, toxicity, warc
 from meridia.llm._store import shared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +74,7 @@ FROM p LEFT JOIN f ON p.body = f.body
 def queries() -> dict[str, Query]:
     return {
         "op2_warc_bundles": op2_warc_bundles,
+        "op3_minmax_hashing": op3_minmax_hashing,
         "op4_string_tiling": op4_string_tiling,
         "op5_low_discrepancy_mix": op5_low_discrepancy_mix,
         "op7_suffix_repetition": op7_suffix_repetition,
