@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import decontamination, mixing, near_duplicates, repetition, sharding, token_files, toxicity, warc
+from meridia.llm import decontamination, mixing, near_duplicates, repeated_phrases, repetition, sharding, token_files, toxicity, warc
 from meridia.llm._store import shared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases.digest(repeated_phrases.remove_repeats(table(spark, sf_dir, "documents"), window=35))
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_bundles(table(spark, sf_dir, "pages"), shared(spark))
     return warc.read_bundles(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,6 +77,7 @@ FROM p LEFT JOIN f ON p.body = f.body
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_repeated_phrases": op1_repeated_phrases,
         "op2_warc_bundles": op2_warc_bundles,
         "op3_minmax_hashing": op3_minmax_hashing,
         "op4_string_tiling": op4_string_tiling,
