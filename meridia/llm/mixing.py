@@ -36,10 +36,11 @@ def van_der_corput(i: Column) -> Column:
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(row, doc_id, source, key, size, place): a row for each document; key is the source and never null, place its order."""
+    """(row, doc_id, text_hash, source, key, size, place) of each document; key is the source, never null, place its order."""
     return docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(doc_id).alias("doc_id"),
+        F.xxhash64(text).alias("text_hash"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("key"),
         n_words(text).alias("size"),
@@ -103,7 +104,7 @@ def schedule(goals: DataFrame, block_words: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = 8192, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(row, doc_id, size, source_size, target, taken, starts): how many words the mix takes of each document.
+    """(row, doc_id, text_hash, size, source_size, target, taken, starts): how many words the mix takes of each document.
 
     taken counts repeats and never exceeds three times the size; starts is how often the document's first word is taken.
     """
@@ -132,10 +133,23 @@ def mix(docs: DataFrame, block_words: int = 8192, doc_id: str = "doc_id", text:
     return (
         sizes.join(goals.select("key", "source_size", "target"), "key")
         .join(got, "row", "left")
-        .select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("starts", zero).alias("starts"))
+        .select("row", "doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("starts", zero).alias("starts"))
     )
 
 
+def mixed(docs: DataFrame, block_words: int = 8192, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself, with the documents' own columns: each whole document as often as its first word is taken.
+
+    Rows that are equal in id and text share their number of copies.
+    """
+    copies = mix(docs, block_words, doc_id, text, source).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sum("starts").alias("_copies"))
+    rows = docs.withColumn("_own", F.xxhash64(text))
+    one = Window.partitionBy(doc_id, "_own").orderBy(F.lit(1))
+    rows = rows.join(copies, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))).filter(F.col("_copies") > 0)
+    rows = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return rows.select(*[rows[c] for c in docs.columns])
+
+
 #: The rows of mix() for a table `documents`; taken from closed forms instead of slots.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),

@@ -190,3 +190,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT, bands:
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     release(docs.sparkSession)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def distinct(docs: DataFrame, n: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, with all its columns; of rows that are equal in id and text, one."""
+    found = near_duplicates(docs, n, percent, doc_id=doc_id, text=text)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(gone, F.col(doc_id) == F.col("_id"), "left_anti")
+    once = Window.partitionBy(doc_id, "_own").orderBy(F.lit(1))
+    rows = rows.withColumn("_own", F.xxhash64(text)).withColumn("_n", F.row_number().over(once))
+    return rows.filter((F.col("_n") == 1) | F.col(doc_id).isNull()).select(*docs.columns)

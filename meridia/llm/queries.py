@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import decontamination, mixing, near_duplicates, repeated_phrases, repetition, sharding, token_files, toxicity, warc
+from meridia.llm import decontamination, interpolation, mixing, near_duplicates, repeated_phrases, repetition, sharding, token_files, toxicity, warc
 from meridia.llm._store import shared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,15 @@ def op5_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def remainder(key: str, modulus: int, value: int) -> Column:
+    """Whether crc32 of the key as text leaves this remainder; false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == value, F.lit(False))
+
+
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7, 2))
+
+
 def op7_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(table(spark, sf_dir, "documents"))
 
@@ -47,11 +56,6 @@ def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(manifest)
 
 
-def remainder(key: str, modulus: int, value: int) -> Column:
-    """Whether crc32 of the key as text leaves this remainder; false for a null key."""
-    return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == value, F.lit(False))
-
-
 def op9_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 4, 2)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held_out))
@@ -82,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op3_minmax_hashing": op3_minmax_hashing,
         "op4_string_tiling": op4_string_tiling,
         "op5_low_discrepancy_mix": op5_low_discrepancy_mix,
+        "op6_deleted_interpolation": op6_deleted_interpolation,
         "op7_suffix_repetition": op7_suffix_repetition,
         "op8_repair_tokens": op8_repair_tokens,
         "op9_mil_toxicity": op9_mil_toxicity,

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm._store import written
-from meridia.llm._text import TERM, U64, Words, map_texts, mix, words_of
+from meridia.llm._text import TERM, U64, Words, filter_texts, map_texts, mix, words_of
 
 #: Bits of a feature's number, and the lengths in bytes of the beginnings that are features; 0 is the whole term.
 BITS, BEGINNINGS = 20, (0, 4, 5, 6)
@@ -193,6 +193,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return map_texts(docs, lambda texts: [pa.array(document_scores(texts, model))], "score double", [doc_id], text)
 
 
+def below(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The documents that score less than `least`, with all their columns."""
+    return filter_texts(docs, lambda texts: document_scores(texts, model) < least, text)
+
+
 def offending(docs: DataFrame, model: Model, least: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, sentences): of each document, its sentences that score `least` or more: number, text and score."""
 
