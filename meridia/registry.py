@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("meridia.plans.q_geometry", "meridia.plans.q_split", "meridia.plans.q_text")
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
