@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,21 +34,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meridia.llm._store import bounded_batches, file_system, put, tasks, written
-from meridia.llm._text import U64, parts
+from meridia.llm._text import U64, Words, parts, text_bytes
 
 SYMBOLS, STRIDE = 1 << 16, 1024
 #: Rounds of a shard, and how often a pair must occur to be replaced.
-ROUNDS, FREQUENT = 8, 16
+ROUNDS, FREQUENT = 4, 16
 #: Pieces of text whose ids a worker remembers; it forgets all when they are more.
-REMEMBERED = 600_000
-_HASH_BITS = 22
+REMEMBERED = 2_000_000
+CELL_BITS = 20
+#: White space other than ASCII's.
+_OTHER_SPACE = re.compile(rb"[\x1C-\x1F]|\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80")
 
 
 class Encoder:
     """Ids of whole texts under a byte-level BPE tokenizer.
 
     Such a tokenizer splits before a single space between two other characters, so the ids of a text are those of its
-    pieces between such spaces, and ids of pieces are remembered. Texts for which that doesn't hold go through whole.
+    pieces between such spaces. A batch's pieces are told apart by a 64-bit hash and their length, each is encoded once, and
+    a worker remembers what it has encoded. Texts with other white space than ASCII's are one piece each.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,59 +62,81 @@ class Encoder:
         told = json.loads(self.tokenizer.to_str())
         pre = told["pre_tokenizer"] or {}
         self.split = told["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.special = [x["content"] for x in told["added_tokens"]]
+        self.special = [x["content"].encode() for x in told["added_tokens"]]
+        line = self._encode(["\n"])[0]
+        self.joint = line[0] if self.split and len(line) == 1 else None  # the id of a line end, between pieces
         self.forget()
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.bounds = [np.zeros(0, np.uint32)], [0]
-        self.flat = np.zeros(0, np.uint32)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces; -1 stands for one by which a text can't be split."""
-        good = []
-        for p in pieces:
-            if p == "" or p == " " or p[-1].isspace() or p[0 if p[0] != " " else 1].isspace() or any(x in p for x in self.special):
-                self.known[p] = -1
-            else:
-                self.known[p] = len(self.bounds) - 1 + len(good)
-                good.append(p)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(good, add_special_tokens=False)]
-        self.ids.append(np.fromiter((i for x in got for i in x), np.uint32))
-        self.bounds += (self.bounds[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)).tolist()
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.hashes, self.slots = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes], plain: np.ndarray) -> None:
+        """Encodes new pieces; plain ones are encoded as lines of one text."""
+        ok = plain.tolist()
+        joined = [p for p, k in zip(pieces, ok, strict=True) if k]
+        sizes = np.zeros(len(pieces), np.int64)
+        parts_ = [np.zeros(0, np.uint32)]
+        for i in range(0, len(joined), 1000):
+            flat = np.array(self._encode([b"\n".join(joined[i : i + 1000]).decode()])[0], np.uint32)
+            parts_.append(np.append(flat, np.uint32(self.joint)))
+        flat = np.concatenate(parts_)
+        ends = np.flatnonzero(flat == self.joint) if self.joint is not None else np.zeros(0, np.int64)
+        sizes[plain] = np.diff(np.concatenate([[-1], ends])) - 1
+        rest = self._encode([p.decode() for p, k in zip(pieces, ok, strict=True) if not k])
+        sizes[~plain] = [len(x) for x in rest]
+        at = np.repeat(plain, sizes)
+        new = np.empty(int(sizes.sum()), np.uint32)
+        new[at] = np.delete(flat, ends)
+        new[~at] = np.fromiter((i for x in rest for i in x), np.uint32)
+        place = np.searchsorted(self.hashes, hashes)
+        self.slots = np.insert(self.slots, place, len(self.bounds) - 1 + np.arange(len(hashes)))
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, new])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if not self.split:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter((i for x in got for i in x), np.uint32), np.array([len(x) for x in got], np.int64)
-        if len(self.known) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED:
             self.forget()
-        split = []
-        for t in texts:
-            first, *rest = t.split(" ")
-            split.append([first, *[" " + x for x in rest]])
-        new = {p for pieces in split for p in pieces} - self.known.keys()
-        if new:
-            self._learn(list(new))
-            self.flat = np.concatenate(self.ids)
-            self.ids = [self.flat]
-        find = self.known.__getitem__
-        numbers = [np.fromiter(map(find, pieces), np.int64, len(pieces)) for pieces in split]
-        whole = [t for t, n in zip(texts, numbers, strict=True) if (n < 0).any()]
-        ids_whole = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-        bounds = np.array(self.bounds, np.int64)
-        out, sizes = [], []
-        for n in numbers:
-            if (n < 0).any():
-                ids = np.array(next(ids_whole).ids, np.uint32)
-            else:
-                begin, size = bounds[n], bounds[n + 1] - bounds[n]
-                before = np.cumsum(size) - size
-                ids = self.flat[np.repeat(begin - before, size) + np.arange(size.sum())]
-            out.append(ids)
-            sizes.append(len(ids))
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(sizes, np.int64)
+        data, bounds = text_bytes(texts)
+        n, filled = len(data), np.diff(bounds) > 0
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+        cut = np.zeros(n, bool)
+        if self.split:
+            cut[1:-1] = (data[1:-1] == 0x20) & ~space[:-2] & ~space[2:]
+            odd = np.array([m.start() for m in _OTHER_SPACE.finditer(data.tobytes())], np.int64)
+            for d in np.unique(np.searchsorted(bounds, odd, "right") - 1):
+                cut[bounds[d] : bounds[d + 1]] = False
+            cut[bounds[1:-1][bounds[1:-1] > 0] - 1] = False  # a space that ends a text
+        cut[bounds[:-1][filled]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], n)
+        hashes, first, inverse = np.unique(Words(data, bounds, start, end, bounds).hashes(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            raw, of = data.tobytes(), first[new]
+            spaces = np.concatenate([[0], np.cumsum(space)])
+            a, b = start[of], end[of]
+            # no white space but perhaps one leading 0x20 before something else
+            plain = (spaces[b] == spaces[a + 1]) & ((data[a] == 0x20) & (b > a + 1) | ~space[a])
+            pieces = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            if self.joint is None:
+                plain[:] = False
+            elif any(x in raw for x in self.special):
+                plain &= [not any(x in p for x in self.special) for p in pieces]
+            self._learn(hashes[new], pieces, plain)
+        slot = self.slots[np.searchsorted(self.hashes, hashes)][inverse]
+        begin, size = self.bounds[slot], self.bounds[slot + 1] - self.bounds[slot]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(begin - before[:-1], size) + np.arange(before[-1])]
+        return ids, np.diff(before[np.searchsorted(start, bounds)])
 
 
 @functools.cache
@@ -119,7 +145,11 @@ def encoder(path: str) -> Encoder:
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, first: int, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Symbols, rules (two symbols each) and the number of rules after each round. Symbols from `first` are rules."""
+    """Symbols, rules (two symbols each) and the number of rules after each round. Symbols from `first` are rules.
+
+    Pairs are counted in hashed cells; each of the fullest cells makes a rule of one of its pairs, almost always the one
+    that filled it, and only that pair is replaced. A pair that shares its cell waits for the next round.
+    """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)  # the end of a document
     last[np.cumsum(counts)[counts > 0] - 1] = True
@@ -127,20 +157,23 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, rounds: int = ROUN
     for left in range(rounds, 0, -1):
         if len(seq) < 2 or free < left:
             break
-        keys = (seq[:-1].astype(U64) << U64(16)) | seq[1:].astype(U64)
-        cell = ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - _HASH_BITS)).astype(np.int32)
-        inner = ~last[:-1]
-        often = np.bincount(cell[inner], minlength=1 << _HASH_BITS) >= frequent  # no frequent pair is missed
-        at = np.flatnonzero(inner & often[cell])
-        pairs, n = np.unique(keys[at], return_counts=True)
-        best = np.argsort(-n, kind="stable")[: free // left]
+        keys = (seq[:-1] << np.uint32(16)) | seq[1:]
+        cell = (keys * np.uint32(0x9E3779B1) + (np.uint32(left) << np.uint32(8))) >> np.uint32(32 - CELL_BITS)
+        inner = np.flatnonzero(~last[:-1])
+        keys, cell = keys[inner], cell[inner].astype(np.int32)
+        n = np.bincount(cell, minlength=1 << CELL_BITS)
+        most = free // left
+        best = np.argpartition(-n, most)[:most] if most < len(n) else np.arange(len(n))
         best = np.sort(best[n[best] >= frequent])
         if not len(best):
             break
-        pairs = pairs[best]
-        rule = np.searchsorted(pairs, keys[at])
-        hit = pairs[np.minimum(rule, len(pairs) - 1)] == keys[at]
-        at, rule = at[hit], rule[hit]
+        pair_of = np.zeros(1 << CELL_BITS, np.uint32)
+        pair_of[cell] = keys
+        rule_of = np.full(1 << CELL_BITS, -1, np.int32)
+        rule_of[best] = np.arange(len(best))
+        pairs, rule = pair_of[best], rule_of[cell]
+        hit = np.flatnonzero((rule >= 0) & (pair_of[cell] == keys))
+        at, rule = inner[hit], rule[hit]
         begins = np.ones(len(at), bool)
         begins[1:] = at[1:] != at[:-1] + 1
         run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
@@ -151,7 +184,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, rounds: int = ROUN
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        rules.append(np.stack([(pairs >> U64(16)).astype(np.uint16), (pairs & U64(0xFFFF)).astype(np.uint16)], axis=1))
+        rules.append(np.stack([(pairs >> np.uint32(16)).astype(np.uint16), (pairs & np.uint32(0xFFFF)).astype(np.uint16)], axis=1))
         after.append(sum(map(len, rules)))
         free -= len(pairs)
     return seq.astype(np.uint16), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), after
@@ -228,7 +261,7 @@ class Shard:
         self.file.close()
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_ids: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_ids: int = 3_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the shards and returns their manifest: (task, number, path, n_docs, n_ids, n_bytes)."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -248,8 +281,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([path]), pa.array([len(counts)]), pa.array([len(ids)]), pa.array([size])], names=schema.names)
 
         for batch in batches:
-            for part in parts(batch, "_text", 1_000_000):
-                ids, counts = encode(part.column("_text").to_pylist())
+            for part in parts(batch, "_text", 4_000_000):
+                ids, counts = encode(part.column("_text"))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 keys = part.column("_id")
                 held.append((ids, counts + 1, keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False)))
