@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-COCO = T.StructType.fromDDL(
-    "images array<struct<id:bigint,file_name:string,width:bigint,height:bigint>>, annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>>>, categories array<struct<id:bigint,name:string>>"
-)
-OSM = T.StructType.fromDDL("elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>")
+COCO = {
+    "images": "array<struct<id:bigint,file_name:string,width:bigint,height:bigint>>",
+    "annotations": "array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>>>",
+    "categories": "array<struct<id:bigint,name:string>>",
+}
+OSM = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>"
 
 
 def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, annotations and categories of a file; one that lacks any of them is an error."""
-    whole = spark.read.schema(COCO).json(path, multiLine=True)
-    for part in ("images", "annotations", "categories"):
-        missing = F.col(part).isNull()
-        whole = whole.withColumn(part, F.when(missing, F.raise_error(F.lit(f"no {part}")).cast(COCO[part].dataType)).otherwise(F.col(part)))
-    return tuple(whole.select(F.inline(part)) for part in ("images", "annotations", "categories"))
+    whole = spark.read.schema(", ".join(f"{k} {v}" for k, v in COCO.items())).json(path, multiLine=True)
+    for part, kind in COCO.items():
+        missing = F.from_json(F.raise_error(F.lit(f"no {part}")).cast("string"), kind)
+        whole = whole.withColumn(part, F.when(F.col(part).isNull(), missing).otherwise(F.col(part)))
+    return tuple(whole.select(F.inline(part)) for part in COCO)
 
 
 def osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
