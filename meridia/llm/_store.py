@@ -5,15 +5,19 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_BYTES = "8m"
 _own: list[str] = []
+_sent: set[str] = set()
 
 
 def shared(spark: SparkSession) -> str:
@@ -48,8 +52,26 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, unless PYTHONPATH or the working folder has it for them."""
+    package = Path(__file__).resolve().parents[1]
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _sent or any(x and Path(x).resolve() == package.parent for x in places):
+        return
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="meridia-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(package.rglob("*.py")):
+            out.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    _sent.add(app)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at so many bytes too, so that long texts don't gather in one."""
+    """Arrow batches end at so many bytes too, so that long texts don't gather in one; workers get the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 

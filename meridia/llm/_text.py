@@ -142,6 +142,23 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         block, size = mix(block[:-size] * U64(0xD6E8FEB86659FD93) + block[size:]), size * 2
 
 
+def runs_of(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of words begin:end, whatever its length."""
+    up, down = _power_tables(len(hashes))
+    total = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + mix((end - begin).astype(U64)))
+
+
+def slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The texts data[begin:end], which may overlap."""
+    size = end - begin
+    bounds = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=bounds[1:])
+    taken = data[np.repeat(begin - bounds[:-1], size) + np.arange(bounds[-1])]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pa.py_buffer(taken)).cast(pa.string())
+
+
 def inside(words: Words, n: int) -> np.ndarray:
     """Which of the len - n + 1 windows of n words lie in one document."""
     if len(words) < n:

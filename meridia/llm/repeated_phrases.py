@@ -7,8 +7,8 @@ A passage recurs if a window of `window` words of it starts at two places or mor
 2. Documents that hold a candidate are cut into pieces: the words of all windows that elected one occurrence of it. Equal
    pieces are counted once, with their number.
 3. Pieces are sharded by their phrase, which all windows that may be equal share. A shard counts its windows, which
-   confirms the passages that recur; its automaton (Aho-Corasick over words) is compiled from these passages, and all
-   pieces of the shard stream through it, so every occurrence is located. Automata hold about `automaton_bytes` of pieces.
+   confirms the passages that recur; its automaton (Aho-Corasick over words) is compiled from these passages, laid out in
+   windows, and all pieces of the shard stream through it, so every occurrence is located. Automata hold about `automaton_bytes` of pieces.
 4. Located spans return to their documents and are united.
 
 A phrase with more than `hot` different pieces would be one shard's work; its windows are counted by their hash across the
@@ -20,6 +20,7 @@ so repeated rows recur in each other; ids may be null or repeated; an empty tabl
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm._store import bounded_batches, release, written
-from meridia.llm._text import U64, Words, grams, kept_text, map_texts, mix, parts, words_of
+from meridia.llm._text import U64, Words, grams, inside, kept_text, map_texts, mix, parts, runs_of, slices, words_of
 
 WINDOW, PHRASE = 35, 8
 #: Different pieces of a phrase that one shard takes, and bytes of pieces in an automaton.
-HOT, AUTOMATON = 10_000, 4_000_000
+HOT, AUTOMATON = 10_000, 2_000_000
 
 
 def elected(words: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,61 +99,61 @@ def _pieces(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 step = U64(0x9E3779B97F4A7C15)
                 use = np.isin(mix(value + doc.astype(U64) * step), mix(flat + of.astype(U64) * step))
                 doc, value, first, last = doc[use], value[use], first[use], last[use] + window
-                hashes, texts, ids = words.hashes(), [], np.zeros(len(doc), np.int64)
-                data = words.data.tobytes()
-                for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-                    texts.append(b" ".join(data[words.start[a] : words.end[b - 1]].split()))
-                    ids[i] = grams(hashes[a:b], b - a)[0].view(np.int64)
+                ids = runs_of(words.hashes(), first, last).view(np.int64)
+                texts = slices(words.data, words.start[first], words.end[last - 1])
                 rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(ids), part.column("row").take(rows), part.column("doc_id").take(rows), pa.array(first - words.docs[doc]), pa.array(texts, pa.binary()).cast(pa.string())], names=names
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids), part.column("row").take(rows), part.column("doc_id").take(rows), pa.array(first - words.docs[doc]), texts], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("row", "doc_id", "wanted", "_text").mapInArrow(run, f"phrase bigint, piece_id bigint, row bigint, doc_id {kind}, start bigint, piece string")
 
 
-def locate(pieces: pa.Array, counts: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
+def locate(pieces: pa.Array, counts: np.ndarray, window: int) -> pa.Array:
     """Of each piece, the spans of words where passages lie that recur in these pieces; counts: how often a piece occurs."""
     import ahocorasick
 
     words = words_of(pieces)
     hashes, bounds = words.hashes(), words.docs
-    n = len(words) - window + 1
-    if n < 1:
-        return [[] for _ in counts]
+    at = np.flatnonzero(inside(words, window))
     doc = words.doc_of()
-    at = np.flatnonzero(doc[:n] == doc[window - 1 :])
-    _, number = np.unique(grams(hashes, window)[at], return_inverse=True)
-    recurs = np.bincount(number, counts[doc[at]])[number] >= 2
-    at = at[recurs]
+    if len(at):
+        _, number = np.unique(grams(hashes, window)[at], return_inverse=True)
+        at = at[np.bincount(number, counts[doc[at]])[number] >= 2]
     if not len(at):
-        return [[] for _ in counts]
+        return _spans(np.zeros(len(bounds), np.int64), at, at)
     begins = np.append(True, (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]]))
     first = at[begins]
     last = at[np.append(np.flatnonzero(begins)[1:] - 1, len(at) - 1)] + window
-    code = np.unique(hashes, return_inverse=True)[1].astype(np.uint32) + 1  # a character for each word of the shard
+    code = np.unique(hashes, return_inverse=True)[1].astype(np.uint32) + 2  # a character for each word of the shard
     code += np.where(code >= 0xD800, 0x800, 0).astype(np.uint32)
     if code.max() > 0x10FFFF:
         raise ValueError("an automaton has more words than characters; lower automaton_bytes")
     text = code.tobytes().decode("utf-32-le")
+    # a passage is laid out in windows, end to end and the last one flush: so at most one pattern ends at a word
+    tiles = (last - first + window - 1) // window
+    before = np.cumsum(tiles) - tiles
+    place = np.repeat(first, tiles) + window * (np.arange(tiles.sum()) - np.repeat(before, tiles))
+    place = np.minimum(place, np.repeat(last, tiles) - window)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for passage in {text[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)}:
-        automaton.add_word(passage)
+    for pattern in {text[a : a + window] for a in place.tolist()}:
+        automaton.add_word(pattern)
     automaton.make_automaton()
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        spans: list[tuple[int, int]] = []
-        for end, size in automaton.iter(text[a:b]):
-            begin = end + 1 - size
-            while spans and spans[-1][1] >= begin:
-                begin = min(begin, spans.pop()[0])
-            spans.append((begin, end + 1))
-        out.append(spans)
-    return out
+    # all pieces in a row, with a character between them that no passage has
+    parted = np.insert(code, bounds[1:-1], 1).tobytes().decode("utf-32-le")
+    m, ends = len(parted), automaton.iter(parted)
+    change = np.zeros(m + 1, np.int64)
+    while len(end := np.fromiter((e for e, _ in itertools.islice(ends, 200_000)), np.int64)):
+        change += np.bincount(end + 1 - window, minlength=m + 1) - np.bincount(end + 1, minlength=m + 1)
+    covered = np.cumsum(change)[:m] > 0
+    edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    base = bounds[:-1] + np.arange(len(bounds) - 1)
+    piece = np.searchsorted(base, a, "right") - 1
+    return _spans(np.searchsorted(piece, np.arange(len(bounds))), a - base[piece], b - base[piece])
 
 
-_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+def _spans(bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]))
 
 
 def _located(shards: DataFrame, window: int, automaton_bytes: int) -> DataFrame:
@@ -162,25 +163,25 @@ def _located(shards: DataFrame, window: int, automaton_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(tables).combine_chunks()
-            found = pa.array([[{"a": a, "b": b} for a, b in spans] for spans in locate(t.column("piece").combine_chunks(), t.column("n").to_numpy(), window)], _SPANS)
+            found = locate(t.column("piece").combine_chunks(), t.column("n").to_numpy(), window)
             some = pa.compute.greater(pa.compute.list_value_length(found), 0)
             return pa.RecordBatch.from_arrays([t.column("phrase").combine_chunks(), t.column("piece_id").combine_chunks(), found], names=names).filter(some)
 
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
-            phrases = batch.column("phrase").to_numpy()
+        for part in (p for batch in batches for p in parts(batch, "piece", automaton_bytes // 2)):
+            phrases = part.column("phrase").to_numpy()
             if held and size >= automaton_bytes:  # a shard ends where a phrase does
                 last = held[-1].column("phrase")[-1].as_py()
                 same = int(np.argmax(phrases != last)) if (phrases != last).any() else len(phrases)
-                held.append(batch.slice(0, same))
+                held.append(part.slice(0, same))
                 if same < len(phrases):
                     yield shard(held)
                     held, size = [], 0
-                batch = batch.slice(same)
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.nbytes
+                part = part.slice(same)
+            if part.num_rows:
+                held.append(part)
+                size += part.nbytes
         if held:
             yield shard(held)
 
