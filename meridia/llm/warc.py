@@ -174,7 +174,7 @@ def read_bundles(manifest: DataFrame) -> DataFrame:
     The digest of a response is taken from the payload that was read, and held against its header.
     """
     spark = manifest.sparkSession
-    bundles = manifest.select("path").distinct().repartition(tasks(spark), "path")
+    bundles = manifest.select("path").distinct().repartition(tasks(spark))  # not by path: distinct() would take that over, and its few rows join in one task
     schema = T.StructType.fromDDL("page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, path string, frame int, offset bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
