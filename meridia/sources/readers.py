@@ -39,3 +39,31 @@ def split_json(spark: SparkSession, path: str) -> DataFrame:
         rows = whole.select(F.inline(split)).select("point_id", F.lit(split).alias("split"), "reason")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def kmz_ring(path: str) -> list[tuple[float, float]]:
+    """(lon, lat) of the first polygon of a KMZ file; without one, the convex hull of its three or more points."""
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(path) as box:
+        root = ElementTree.fromstring(box.read(next(n for n in box.namelist() if n.endswith(".kml"))))
+    name = lambda e: e.tag.rpartition("}")[2]
+    places = lambda e: [tuple(map(float, p.split(",")[:2])) for x in e.iter() if name(x) == "coordinates" for p in re.split(r"\s+", (x.text or "").strip()) if p]
+    for e in root.iter():
+        if name(e) == "Polygon":
+            return places(e)
+    points = sorted({p for e in root.iter() if name(e) == "Point" for p in places(e)})
+    if len(points) < 3:
+        raise ValueError(f"{path} has no polygon and less than three points")
+
+    def half(row: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for p in row:  # keep left turns only
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return half(points) + half(points[::-1])
