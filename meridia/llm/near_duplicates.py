@@ -4,12 +4,14 @@ A document's set is that of the hashes of its n-word shingles. Under each permut
 kept, so half as many permutations give as many signature values; the values are banded, and documents that agree in a band
 share a bucket. Documents with equal sets are one vertex. Links are confirmed on full sets:
 
-In rounds, a bucket's members are compared with its pivots: one in the first round, the next two in the second, then four
-and so on, first those whose buckets are largest (in a group of copies, that is the one that most others resemble). Members
-that are in one component already, and pairs that were compared, are left out. So a bucket of copies of one text takes as
-many comparisons as it has members, whatever its size; and at the end every pair of a bucket is either in one component or
-was compared. What LSH itself can miss: a pair of similarity s shares no band with a chance of (1 - s^rows)^bands, 4e-6
-at 0.8 with 40 bands of 6.
+In rounds, a bucket's members meet its pivots: one in the first round, the next 32 in the second, all others in the third;
+first come those whose buckets are largest (in a group of copies, that is the one that most others resemble). Members that are
+in one component already, and pairs that were compared, are left out. So a bucket of copies of one text takes as many
+comparisons as it has members, whatever its size; and at the end every pair of a bucket is in one component or was judged.
+Pairs that can't link aren't confirmed: what two sets share is bounded by their sizes and, from the second round on, by the
+shingles that no other text of an open bucket has. Nor are pairs that differ in far too many signature values: two bits of
+each value are kept (of more values from the second round on), of which a linked pair differs by more than the bound with a chance of 3e-7. What the bands miss: a
+pair of similarity s shares none with a chance of (1 - s^rows)^bands, 4e-6 at 0.8 with 40 bands of 6.
 
 Cases: null and empty texts have an empty set, link with nothing and are kept; a text of fewer words than n is one shingle;
 equal texts are one component; rows that repeat an id are judged by their texts, and each has a row of its own in the
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm._components import components
@@ -31,6 +33,10 @@ from meridia.llm._store import bounded_batches, release, written
 from meridia.llm._text import U64, grams, inside, map_texts, mix, parts, words_of
 
 BANDS, ROWS, PERCENT = 40, 6, 80
+#: Signature values by which texts of buckets that are still open are judged after the first round.
+FINER = 1536
+#: Pivots of a bucket by the end of the first and the second round; in the third all members are.
+PIVOTS = (1, 33)
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 4096, dtype=U64) * U64(2) + U64(1)
 
 
@@ -65,6 +71,23 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, values: int) -> np.ndarray:
     return out
 
 
+def planes(sets: np.ndarray, bounds: np.ndarray, values: int) -> np.ndarray:
+    """Two bits of each signature value, as 64-bit integers: a row for each set, first all first bits, then all second."""
+    signature, filled = signatures(sets, bounds, values), np.diff(bounds) > 0
+    width = (values + 63) // 64
+    out = np.zeros((len(filled), 2, width * 8), np.uint8)
+    for i, bit in enumerate((5, 11)):
+        packed = np.packbits(((signature >> U64(bit)) & U64(1)).astype(np.uint8).T, axis=1)
+        out[filled, i, : packed.shape[1]] = packed
+    return out.reshape(len(filled), -1).view(np.int64)
+
+
+def most_different(values: int, percent: int) -> int:
+    """How many of the values' bit pairs may differ at most: five standard deviations beyond what links at the least."""
+    differ = (1 - percent / 100) * 0.75
+    return int(np.ceil(values * differ + 5 * np.sqrt(values * differ * (1 - differ))))
+
+
 def band_keys(sets: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A key for each band, a row for each set that isn't empty."""
     values = signatures(sets, bounds, bands * rows)
@@ -122,6 +145,38 @@ def confirmed(pairs: DataFrame, pool: DataFrame, n: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _finer(pool: DataFrame, n: int, values: int, bands: int, rows: int) -> DataFrame:
+    """(v, alone, bands, planes): all keys of a text's bands, two bits of so many signature values, and how many shingles no
+    other text of the pool has; they bound what it can share with any."""
+
+    def each(texts: pa.Array) -> list[pa.Array]:
+        sets, bounds = shingle_sets(texts, n)
+        shingles = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
+        keys = pa.array(list(band_keys(sets, bounds, bands, rows).view(np.int64)), pa.list_(pa.int64()))
+        return [shingles, keys, pa.array(list(planes(sets, bounds, values)), pa.list_(pa.int64()))]
+
+    texts = written(map_texts(pool, each, "shingles array<bigint>, bands array<bigint>, planes array<bigint>", ["v"]), free=False)
+    uses = texts.select("v", F.explode("shingles").alias("shingle"))
+    once = uses.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("v").alias("v")).filter("_n = 1")
+    alone = once.groupBy("v").agg(F.count("*").alias("alone"))
+    return texts.select("v", "bands", "planes").join(alone, "v", "left").select("v", "bands", F.coalesce("alone", F.lit(0)).alias("alone"), *_bits(values))
+
+
+def _bits(values: int) -> list[Column]:
+    return [F.get("planes", F.lit(i)).alias(f"p{i}") for i in range(2 * ((values + 63) // 64))]
+
+
+def _may_link(values: int, percent: int) -> Column:
+    """Whether a member (p0 ..., items, shared) and a pivot (q0 ..., _items, _shared) must be compared."""
+    width = (values + 63) // 64
+    differ = F.lit(0)
+    for i in range(width):
+        first, second = (F.col(f"p{j}").bitwiseXOR(F.col(f"q{j}")) for j in (i, i + width))
+        differ = differ + F.bit_count(first.bitwiseOR(second))
+    common = F.least("shared", "_shared")  # at most
+    return (100 * common >= percent * (F.col("items") + F.col("_items") - common)) & (differ <= most_different(values, percent))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: documents whose sets have intersection / union of at least
     percent / 100 are linked; component_id is the smallest id that links reach, and kept tells whether it is the row's own.
@@ -134,35 +189,48 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT, bands:
     counts = written(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     buckets = written(keys.join(counts, "key").dropDuplicates(["key", "v"]))
     popular = buckets.groupBy("v").agg(F.sum("size").alias("popular"))
-    buckets = written(buckets.join(popular, "v"))
+    values = bands * rows
     wanted = buckets.select("v").distinct().join(sets, "v").select("v", "digest", "doc_id")
     pool = docs.join(wanted, "doc_id").select("v", "digest", F.col("text").alias("_text"))
 
     def own(texts: pa.Array) -> list[pa.Array]:
         s, b = shingle_sets(texts, n)
-        return [pa.array([_digest(s[x:y]) for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary()), texts.cast(pa.string())]
+        digests = pa.array([_digest(s[x:y]) for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary())
+        return [digests, texts.cast(pa.string()), pa.array(np.diff(b)), pa.array(list(planes(s, b, values)), pa.list_(pa.int64()))]
 
-    pool = map_texts(pool, own, "_digest binary, text string", ["v", "digest"], "_text").filter("digest = _digest").select("v", "text")
-    pool = written(pool.dropDuplicates(["v"]))
+    pool = map_texts(pool, own, "_digest binary, text string, items bigint, planes array<bigint>", ["v", "digest"], "_text").filter("digest = _digest")
+    pool = written(pool.select("v", "text", "items", "planes").dropDuplicates(["v"]))
+    buckets = written(buckets.join(popular, "v").join(pool.select("v", "items", F.col("items").alias("shared"), *_bits(values)), "v"))
     labels = compared = None
-    done = 0
-    while True:  # `done` pivots of each bucket have been compared with its members
+    for done, until in zip((0, *PIVOTS), (*PIVOTS, None), strict=True):  # `done` pivots of each bucket have met its members
         here = buckets.filter(F.col("size") > done + 1)
         if labels is not None:
             here = here.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-            open_ = here.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l <> _h").select("key")
-            here = here.join(open_, "key", "left_semi")
+            if done == PIVOTS[0]:  # most buckets are of one component by now, and stay so
+                open_ = here.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l <> _h").select("key")
+                here = here.join(open_, "key", "left_semi")
+                values = FINER
+                finer = _finer(pool.join(here.select("v").distinct(), "v", "left_semi"), n, values, bands, rows)
+                # a pair meets in the first bucket that both are in, and in no other
+                here_first = F.get(F.array_compact(F.zip_with("bands", "_bands", lambda x, y: F.when(x == y, x))), F.lit(0)) == F.col("key")
+                here = here.select("key", "v", "size", "popular", "items", "label").join(finer, "v").withColumn("shared", F.col("items") - F.col("alone"))
+                here = written(here)
+                buckets = here.drop("label")
         else:
             here = here.withColumn("label", F.col("v"))
         order = Window.partitionBy("key").orderBy(F.col("popular").desc(), "v")
-        pivots = here.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= 2 * done + 1)
-        pivots = pivots.filter(F.col("_place") > done).select("key", F.col("v").alias("p"), F.col("label").alias("_label"))
-        pairs = here.select("key", "v", "label").join(pivots, "key").filter("label <> _label")
+        pivots = here.withColumn("_place", F.row_number().over(order))
+        if until is not None:
+            pivots = pivots.filter(F.col("_place") <= until)
+        more = [F.col("bands").alias("_bands")] if "bands" in here.columns else []
+        pivots = pivots.filter(F.col("_place") > done).select("key", *more, F.col("v").alias("p"), F.col("label").alias("_label"), F.col("items").alias("_items"), F.col("shared").alias("_shared"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(2 * ((values + 63) // 64))])
+        met = (F.col("label") != F.col("_label")) & _may_link(values, percent)
+        pairs = here.join(pivots, "key").filter(met & here_first if more else met)
         pairs = pairs.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = written(pairs, free=False)
-        last = here.filter(F.col("size") > 2 * done + 2).isEmpty()
+        last = until is None or here.filter(F.col("size") > until + 1).isEmpty()
         if not pairs.isEmpty():
             links = written(confirmed(pairs, pool, n, percent))
             if labels is not None:
@@ -179,7 +247,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT, bands:
             compared = pairs if compared is None else written(compared.unionByName(pairs), free=False)
         if last:
             break
-        done = 2 * done + 1
     classes = sets.select("digest", "doc_id", "v")
     if labels is not None:
         classes = classes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
