@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm._store import bounded_batches, tasks, written
+from meridia.llm._store import bounded_batches, release, tasks, written
 from meridia.llm._text import U64, mix, parts, words_of
 
-ORDER, BATCH = 2, 2_000_000
+ORDER, BATCH = 2, 1_000_000
 #: Hashes of the end token and of what stands before a document.
 END, BEGIN = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 #: Buckets of context counts, and cells for the logarithm of an estimate.
@@ -38,11 +38,22 @@ BUCKETS, CELLS, FINENESS = 40, 128, 4
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Integers, byte by byte, so that their empty high bytes lie together."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def _unpack(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=U64(0)))
+
+
+def _unpack_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(x, U64), dtype=U64)
 
 
 def _batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
@@ -61,7 +72,7 @@ def _batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
             counts = np.concatenate([x[2] for x in held])
             vocabulary, stream = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
             one = pa.array([0, len(ids)], pa.int32())
-            columns = [pa.array([(task << 32) + number]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, flags), pa.ListArray.from_arrays(one, pa.array(counts)), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([_pack(stream.astype(np.uint32))], pa.binary()), pa.array([len(stream)])]
+            columns = [pa.array([(task << 32) + number]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, flags), pa.ListArray.from_arrays(one, pa.array(counts)), pa.array([_pack_sorted(vocabulary)], pa.binary()), pa.array([_pack(stream.astype(np.uint32))], pa.binary()), pa.array([len(stream)])]
             return pa.RecordBatch.from_arrays(columns, names=["batch", "doc_ids", "held", "counts", "vocabulary", "stream", "n_tokens"])
 
         for batch in batches:
@@ -84,7 +95,7 @@ class Tokens:
     """A batch, unpacked: hashes of the n-grams that end at each token, by order."""
 
     def __init__(self, row: dict, order: int) -> None:
-        words = np.frombuffer(row["vocabulary"], U64)[_unpack(row["stream"], np.uint32)]
+        words = _unpack_sorted(row["vocabulary"])[_unpack(row["stream"], np.uint32)]
         self.counts = np.asarray(row["counts"], np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
         self.held = np.repeat(np.asarray(row["held"], bool), self.counts)
@@ -117,8 +128,8 @@ def _asked(batches: DataFrame, order: int, ranges: int) -> DataFrame:
             for k in range(order):
                 n = np.bincount(tokens.inverse[k][~tokens.held], minlength=len(tokens.keys[k])).astype(np.uint32)
                 cut = np.append(np.searchsorted(tokens.keys[k], edges), len(tokens.keys[k]))
-                keys = [tokens.keys[k][a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                counts = [n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                keys = [_pack_sorted(tokens.keys[k][a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                counts = [_pack(n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 same = [pa.array([x] * ranges, t) for x, t in ((k + 1, pa.int32()), (row["batch"], pa.int64()))]
                 yield pa.RecordBatch.from_arrays([same[0], pa.array(range(ranges), pa.int32()), same[1], pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["gram", "part", "batch", "keys", "counts"])
 
@@ -132,14 +143,14 @@ def _answered(asked: DataFrame) -> DataFrame:
     """
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), U64) for x in table.column("keys")]
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
+        keys = [_unpack_sorted(x) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([_unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, counts)
         found, at = total[inverse].astype(np.uint32), np.cumsum([0, *map(len, keys)])
         n = table.num_rows
         once = lambda x: pa.array([int(x), *[0] * (n - 1)], pa.int64())
-        blobs = pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        blobs = pa.array([_pack(found[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
         return pa.table([table.column("gram"), table.column("part"), table.column("batch"), blobs, once((total > 0).sum()), once(total.sum())], names=["gram", "part", "batch", "counts", "kinds", "tokens"])
 
     return asked.groupBy("gram", "part").applyInArrow(answer, "gram int, part int, batch bigint, counts binary, kinds bigint, tokens bigint")
@@ -157,15 +168,15 @@ def _estimates(tokens: Tokens, seen: list[np.ndarray], n: int, docs: int, delete
     return np.minimum(np.log2(np.maximum(context - less, 0) + 1), BUCKETS - 1).astype(np.int64), out
 
 
-def _histogram(bucket: np.ndarray, estimates: list[np.ndarray], weight: np.ndarray) -> list[dict]:
+def _histogram(bucket: np.ndarray, estimates: list[np.ndarray], use: np.ndarray) -> dict[str, pa.Array]:
+    """Cells of the tokens to use: how many there are and the sums of their estimates."""
     cell = bucket
     for p in estimates:
         level = np.where(p > 0, 1 + np.minimum(-FINENESS * np.log2(np.maximum(p, 1e-300)), CELLS - 2), 0).astype(np.int64)
         cell = cell * CELLS + level
-    kinds, inverse = np.unique(cell[weight], return_inverse=True)
-    sums = [np.bincount(inverse, p[weight], len(kinds)) for p in estimates]
-    n = np.bincount(inverse, minlength=len(kinds))
-    return [{"cell": int(c), "n": int(m), "sums": [float(s[i]) for s in sums]} for i, (c, m) in enumerate(zip(kinds, n, strict=True))]
+    kinds, inverse = np.unique(cell[use], return_inverse=True)
+    sums = {f"s{k}": pa.array(np.bincount(inverse, p[use], len(kinds)).astype(float)) for k, p in enumerate(estimates)}
+    return {"cell": pa.array(kinds), "n": pa.array(np.bincount(inverse, minlength=len(kinds))), **sums}
 
 
 def learn_weights(cells: np.ndarray, n: np.ndarray, means: np.ndarray, uniform: float, steps: int = 200) -> np.ndarray:
@@ -204,46 +215,42 @@ def score(docs: DataFrame, held: Column, order: int = ORDER, batch_tokens: int =
     begun = batches.select(F.explode("held").alias("held")).filter("not held").count()
     uniform = 1 / (kinds + 1)
 
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+    def opened(left: pa.Table, right: pa.Table) -> tuple[dict, Tokens, list[np.ndarray]]:
+        """A batch's row, its tokens and how often training has the n-grams that end at each."""
         row = left.to_pylist()[0]
-        tokens = Tokens(row, order)
-        right = right.sort_by([("gram", "ascending"), ("part", "ascending")])
-        grams, blobs = right.column("gram").to_numpy(), right.column("counts").to_pylist()
-        found = [np.frombuffer(b"".join(x for g, x in zip(grams, blobs, strict=True) if g == k + 1), np.uint32) for k in range(order)]
-        seen = [f[i].astype(float) for f, i in zip(found, tokens.inverse, strict=True)]
+        tokens, right = Tokens(row, order), right.sort_by([("gram", "ascending"), ("part", "ascending")])
+        grams, blobs = right.column("gram").to_pylist(), right.column("counts").to_pylist()
+        found = [np.concatenate([_unpack(x, np.uint32) for g, x in zip(grams, blobs, strict=True) if g == k + 1]) for k in range(order)]
+        return row, tokens, [f[i].astype(float) for f, i in zip(found, tokens.inverse, strict=True)]
+
+    def histogram(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, tokens, seen = opened(left, right)
         bucket, estimates = _estimates(tokens, seen, n, begun, deleted=True)
-        cells = _histogram(bucket, estimates, ~tokens.held)
-        columns = {k: left.column(k) for k in ("batch", "doc_ids", "held", "counts", "vocabulary", "stream")}
-        columns["found"] = pa.array([[_pack(f) for f in found]], pa.list_(pa.binary()))
-        columns["cells"] = pa.array([cells], pa.list_(pa.struct([("cell", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))])))
-        return pa.table(columns)
-
-    schema = f"batch bigint, doc_ids array<{kind}>, held array<boolean>, counts array<bigint>, vocabulary binary, stream binary, found array<binary>, cells array<struct<cell:bigint,n:bigint,sums:array<double>>>"
-    joined = written(batches.drop("n_tokens").groupBy("batch").cogroup(answers.select("batch", "gram", "part", "counts").groupBy("batch")).applyInArrow(join, schema))
-    cells = joined.select(F.inline("cells")).groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(order)])
+        return pa.table(_histogram(bucket, estimates, ~tokens.held))
+
+    both = batches.drop("n_tokens").groupBy("batch").cogroup(answers.select("batch", "gram", "part", "counts").groupBy("batch"))
+    sums = ", ".join(f"s{k} double" for k in range(order))
+    cells = both.applyInArrow(histogram, f"cell bigint, n bigint, {sums}").groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(order)])
     got = cells.orderBy("cell").toArrow()
     number = got.column("n").to_numpy().astype(float)
     means = np.column_stack([got.column(f"s{k}").to_numpy() / number for k in range(order)]) if len(number) else np.zeros((0, order))
     weights = learn_weights(got.column("cell").to_numpy(), number, means, uniform)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows_ in rows:
-            for i, row in enumerate(rows_.select(["held", "counts", "vocabulary", "stream", "found"]).to_pylist()):
-                tokens = Tokens(row, order)
-                seen = [_unpack(f, np.uint32)[j].astype(float) for f, j in zip(row["found"], tokens.inverse, strict=True)]
-                bucket, estimates = _estimates(tokens, seen, n, begun, deleted=False)
-                p = weights[bucket, 0] * uniform
-                for k, estimate in enumerate(estimates):
-                    p = p + weights[bucket, k + 1] * estimate
-                # orders whose context wasn't seen have no estimate; their weight is shared by the others
-                lost = sum((weights[bucket, k + 1] * (tokens.before(seen[k - 1], float(begun)) == 0) for k in range(1, order)), np.zeros(len(p)))
-                p = p / (1 - lost) if n else np.full(len(p), uniform)
-                model, base = np.log10(p), np.log10((seen[0] + 1) / (n + kinds + 1))
-                sums = [np.add.reduceat(x, tokens.starts) for x in (seen[0] > 0, base, model)]
-                size = len(tokens.counts)
-                ids, flags = rows_.column("doc_ids").slice(i, 1).flatten(), rows_.column("held").slice(i, 1).flatten()
-                yield pa.RecordBatch.from_arrays([ids, flags, pa.array(tokens.counts), pa.array(sums[0].astype(np.int64)), pa.array(np.full(size, n)), pa.array(sums[1]), pa.array(sums[2])], names=names)
-
-    columns = ("doc_ids", "held", "counts", "vocabulary", "stream", "found")
-    return joined.select(*columns).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, tokens, seen = opened(left, right)
+        bucket, estimates = _estimates(tokens, seen, n, begun, deleted=False)
+        p = weights[bucket, 0] * uniform
+        for k, estimate in enumerate(estimates):
+            p = p + weights[bucket, k + 1] * estimate
+        # orders whose context wasn't seen have no estimate; their weight is shared by the others
+        lost = sum((weights[bucket, k + 1] * (tokens.before(seen[k - 1], float(begun)) == 0) for k in range(1, order)), np.zeros(len(p)))
+        p = p / (1 - lost) if n else np.full(len(p), uniform)
+        model, base = np.log10(p), np.log10((seen[0] + 1) / (n + kinds + 1))
+        known, based, scores = (np.add.reduceat(x, tokens.starts) for x in ((seen[0] > 0).astype(np.int64), base, model))
+        ids, flags = (left.column(c).combine_chunks().flatten() for c in ("doc_ids", "held"))
+        return pa.table([ids, flags, pa.array(tokens.counts), pa.array(known), pa.array(np.full(len(tokens.counts), n)), pa.array(based), pa.array(scores)], names=names)
+
+    del cells  # with it go the histogram's shuffle files
+    release(spark)
+    return both.applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
