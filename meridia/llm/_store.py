@@ -15,7 +15,7 @@ from pathlib import Path
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_BYTES = "8m"
+ARROW_BYTES = "4m"
 _own: list[str] = []
 _sent: set[str] = set()
 

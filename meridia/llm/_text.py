@@ -167,7 +167,7 @@ def inside(words: Words, n: int) -> np.ndarray:
     return doc[: len(words) - n + 1] == doc[n - 1 :]
 
 
-def parts(batch: pa.RecordBatch, column: str | int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str | int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about `most` bytes of text each; a single longer text stays whole."""
     sizes = text_bytes(batch.column(column))[1]
     at = 0
