@@ -261,7 +261,7 @@ class Shard:
         self.file.close()
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_ids: int = 3_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_ids: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the shards and returns their manifest: (task, number, path, n_docs, n_ids, n_bytes)."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -281,7 +281,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([path]), pa.array([len(counts)]), pa.array([len(ids)]), pa.array([size])], names=schema.names)
 
         for batch in batches:
-            for part in parts(batch, "_text", 4_000_000):
+            for part in parts(batch, "_text", 2_000_000):
                 ids, counts = encode(part.column("_text"))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 keys = part.column("_id")
