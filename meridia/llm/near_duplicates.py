@@ -10,7 +10,7 @@ in one component already, and pairs that were compared, are left out. So a bucke
 comparisons as it has members, whatever its size; and at the end every pair of a bucket is in one component or was judged.
 Pairs that can't link aren't confirmed: what two sets share is bounded by their sizes and, from the second round on, by the
 shingles that no other text of an open bucket has. Nor are pairs that differ in far too many signature values: two bits of
-each value are kept (of more values from the second round on), of which a linked pair differs by more than the bound with a chance of 3e-7. What the bands miss: a
+each value are kept (of more values from the second round on), of which a linked pair differs by more than the bound with a chance of 4e-6. What the bands miss: a
 pair of similarity s shares none with a chance of (1 - s^rows)^bands, 4e-6 at 0.8 with 40 bands of 6.
 
 Cases: null and empty texts have an empty set, link with nothing and are kept; a text of fewer words than n is one shingle;
@@ -34,7 +34,7 @@ from meridia.llm._text import U64, grams, inside, map_texts, mix, parts, words_o
 
 BANDS, ROWS, PERCENT = 40, 6, 80
 #: Signature values by which texts of buckets that are still open are judged after the first round.
-FINER = 1536
+FINER = 1792
 #: Pivots of a bucket by the end of the first and the second round; in the third all members are.
 PIVOTS = (1, 33)
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 4096, dtype=U64) * U64(2) + U64(1)
@@ -83,9 +83,9 @@ def planes(sets: np.ndarray, bounds: np.ndarray, values: int) -> np.ndarray:
 
 
 def most_different(values: int, percent: int) -> int:
-    """How many of the values' bit pairs may differ at most: five standard deviations beyond what links at the least."""
+    """How many of the values' bit pairs may differ at most: 4.5 standard deviations beyond what links at the least."""
     differ = (1 - percent / 100) * 0.75
-    return int(np.ceil(values * differ + 5 * np.sqrt(values * differ * (1 - differ))))
+    return int(np.ceil(values * differ + 4.5 * np.sqrt(values * differ * (1 - differ))))
 
 
 def band_keys(sets: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
