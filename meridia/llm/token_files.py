@@ -37,8 +37,8 @@ from meridia.llm._store import bounded_batches, file_system, put, tasks, written
 from meridia.llm._text import U64, Words, parts, text_bytes
 
 SYMBOLS, STRIDE = 1 << 16, 1024
-#: Rounds of a shard, and how often a pair must occur to be replaced.
-ROUNDS, FREQUENT = 4, 16
+#: How often a pair must occur to be replaced, at how many places a rule saves more than its own 8 bytes, and pairs of a round.
+FREQUENT, PAYS, LEAST = 16, 5, 512
 #: Pieces of text whose ids a worker remembers; it forgets all when they are more.
 REMEMBERED = 2_000_000
 CELL_BITS = 20
@@ -144,49 +144,58 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, first: int, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def _cells(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - CELL_BITS)
+
+
+def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Symbols, rules (two symbols each) and the number of rules after each round. Symbols from `first` are rules.
 
-    Pairs are counted in hashed cells; each of the fullest cells makes a rule of one of its pairs, almost always the one
-    that filled it, and only that pair is replaced. A pair that shares its cell waits for the next round.
+    Rounds go on until no pair occurs `frequent` times or symbols run out. A round counts all pairs exactly and gives the
+    most frequent ones up to half of the free symbols, LEAST at least, so that symbols are left for the pairs of its rules.
+    A pair of which others in the round leave fewer than PAYS places, or whose cell of the lookup is taken, waits for the
+    next one; as non-overlapping places are at least half of all, each round makes a rule.
     """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)  # the end of a document
     last[np.cumsum(counts)[counts > 0] - 1] = True
-    rules, after, free = [], [], SYMBOLS - first
-    for left in range(rounds, 0, -1):
-        if len(seq) < 2 or free < left:
-            break
+    none = np.uint32(0xFFFFFFFF)  # no pair: the last symbol is free while there are rounds
+    rules, after, made, pays = [], [], 0, max(1, min(PAYS, frequent // 2))
+    rule_of = np.full(1 << CELL_BITS, -1, np.int32)
+    while (free := SYMBOLS - first - made) > 0 and len(seq) > 1:
         keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-        cell = (keys * np.uint32(0x9E3779B1) + (np.uint32(left) << np.uint32(8))) >> np.uint32(32 - CELL_BITS)
-        inner = np.flatnonzero(~last[:-1])
-        keys, cell = keys[inner], cell[inner].astype(np.int32)
-        n = np.bincount(cell, minlength=1 << CELL_BITS)
-        most = free // left
-        best = np.argpartition(-n, most)[:most] if most < len(n) else np.arange(len(n))
-        best = np.sort(best[n[best] >= frequent])
-        if not len(best):
+        keys[last[:-1]] = none
+        ranked = np.sort(keys)
+        ranked = ranked[: np.searchsorted(ranked, none)]
+        same = np.flatnonzero(ranked[frequent - 1 :] == ranked[: max(0, len(ranked) - frequent + 1)])
+        if not len(same):
             break
-        pair_of = np.zeros(1 << CELL_BITS, np.uint32)
-        pair_of[cell] = keys
-        rule_of = np.full(1 << CELL_BITS, -1, np.int32)
-        rule_of[best] = np.arange(len(best))
-        pairs, rule = pair_of[best], rule_of[cell]
-        hit = np.flatnonzero((rule >= 0) & (pair_of[cell] == keys))
-        at, rule = inner[hit], rule[hit]
+        begin = np.flatnonzero(np.concatenate([[True], ranked[same[1:]] != ranked[same[:-1]]]))
+        pairs, n = ranked[same[begin]], np.diff(np.append(begin, len(same)))
+        most = min(free, max(free // 2, LEAST))
+        if most < len(pairs):
+            pairs = pairs[np.argpartition(-n, most - 1)[:most]]
+        cell = _cells(pairs)
+        rule_of[cell] = np.arange(len(pairs))
+        rule = rule_of[_cells(keys)]
+        rule_of[cell] = -1
+        at = np.flatnonzero(rule >= 0)
+        at = at[pairs[rule[at]] == keys[at]]
         begins = np.ones(len(at), bool)
         begins[1:] = at[1:] != at[:-1] + 1
         run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0  # of overlapping pairs, every other one from the left
-        at, rule = at[take], rule[take]
-        seq[at] = first + sum(map(len, rules)) + rule
+        at = at[(np.arange(len(at)) - run) % 2 == 0]  # of overlapping pairs, every other one from the left
+        rule = rule[at]
+        kept = np.bincount(rule, minlength=len(pairs)) >= pays
+        at, rule, pairs = at[kept[rule]], (np.cumsum(kept) - 1)[rule[kept[rule]]], pairs[kept]
+        seq[at] = first + made + rule
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
         rules.append(np.stack([(pairs >> np.uint32(16)).astype(np.uint16), (pairs & np.uint32(0xFFFF)).astype(np.uint16)], axis=1))
-        after.append(sum(map(len, rules)))
-        free -= len(pairs)
+        made += len(pairs)
+        after.append(made)
     return seq.astype(np.uint16), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), after
 
 

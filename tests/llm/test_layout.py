@@ -62,6 +62,20 @@ def test_repair_of_random_ids():
         assert size[seq].sum() == n and (n < 20_000 or len(seq) < 0.55 * n)
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 50_000, 300)
+    docs = [np.concatenate([passage, rng.integers(0, 50_000, 40), [0]]) for _ in range(400)]
+    cases = [(np.concatenate(docs), [len(d) for d in docs]), (np.tile(np.append(passage, 0), 3000), [301] * 3000), (np.zeros(100_000), [100_000])]
+    for ids, counts in ((i.astype(np.uint32), np.array(c)) for i, c in cases):
+        seq, rules, after = token_files.compress(ids, counts, 50_257)
+        assert token_files.expand(seq, rules, after, 50_257).tolist() == ids.tolist()
+        size = np.concatenate([np.ones(50_257, int), token_files.lengths(rules, after, 50_257)])
+        ends = np.isin(np.cumsum(size[seq]), np.cumsum(counts))[:-1]
+        left = Counter(zip(seq[:-1][~ends].tolist(), seq[1:][~ends].tolist(), strict=True))
+        assert max(left.values(), default=0) < token_files.FREQUENT and size.max() > 150 and len(after) > 4
+
+
 def test_warc(spark):
     long = "é" * 60
     rows = [(1, None, None), (2, "u\r\nx", long), (3, "u", long), (None, "u", long), (5, "", "short"), (6, None, "short"), (2, "z", long), (8, "w", "x" * 5000)]
