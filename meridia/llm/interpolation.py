@@ -147,7 +147,7 @@ def _answered(asked: DataFrame) -> DataFrame:
         counts = np.concatenate([_unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, counts)
-        found, at = total[inverse].astype(np.uint32), np.cumsum([0, *map(len, keys)])
+        found, at = total[inverse].astype(U64), np.cumsum([0, *map(len, keys)])
         n = table.num_rows
         once = lambda x: pa.array([int(x), *[0] * (n - 1)], pa.int64())
         blobs = pa.array([_pack(found[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
@@ -220,7 +220,7 @@ def score(docs: DataFrame, held: Column, order: int = ORDER, batch_tokens: int =
         row = left.to_pylist()[0]
         tokens, right = Tokens(row, order), right.sort_by([("gram", "ascending"), ("part", "ascending")])
         grams, blobs = right.column("gram").to_pylist(), right.column("counts").to_pylist()
-        found = [np.concatenate([_unpack(x, np.uint32) for g, x in zip(grams, blobs, strict=True) if g == k + 1]) for k in range(order)]
+        found = [np.concatenate([_unpack(x, U64) for g, x in zip(grams, blobs, strict=True) if g == k + 1]) for k in range(order)]
         return row, tokens, [f[i].astype(float) for f, i in zip(found, tokens.inverse, strict=True)]
 
     def histogram(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -166,6 +166,16 @@ def test_interpolation(spark, order, size, monkeypatch):
     assert sum(r[6] for r in unseen) > sum(r[5] for r in unseen)
 
 
+def test_counts_of_more_than_32_bits(spark):
+    import numpy as np
+
+    keys = np.array([5, 9, 2**63], np.uint64)
+    rows = [(1, 0, b, bytearray(interpolation._pack_sorted(keys)), bytearray(interpolation._pack(np.array([3_000_000_000, b, 0], np.uint32)))) for b in range(3)]
+    got = interpolation._answered(spark.createDataFrame(rows, "gram int, part int, batch bigint, keys binary, counts binary")).collect()
+    assert [interpolation._unpack(bytes(r["counts"]), np.uint64).tolist() for r in got] == [[9_000_000_000, 3, 0]] * 3
+    assert sum(r.tokens for r in got) == 9_000_000_003 and sum(r.kinds for r in got) == 2
+
+
 def test_em_finds_the_mixture():
     import numpy as np
 
