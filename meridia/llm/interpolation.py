@@ -18,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from meridia.llm._store import bounded_batches, release, tasks, written
 from meridia.llm._text import U64, mix, parts, words_of
 
-ORDER, BATCH = 2, 1_000_000
+ORDER, BATCH = 3, 1_000_000
 #: Hashes of the end token and of what stands before a document.
 END, BEGIN = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 #: Buckets of context counts, and cells for the logarithm of an estimate.
@@ -92,9 +93,9 @@ def _batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
 
 
 class Tokens:
-    """A batch, unpacked: hashes of the n-grams that end at each token, by order."""
+    """A batch, unpacked: hashes of the n-grams that end at each token, by order; only: of the last order alone."""
 
-    def __init__(self, row: dict, order: int) -> None:
+    def __init__(self, row: dict, order: int, only: bool = False) -> None:
         words = _unpack_sorted(row["vocabulary"])[_unpack(row["stream"], np.uint32)]
         self.counts = np.asarray(row["counts"], np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
@@ -107,6 +108,8 @@ class Tokens:
                 before = np.concatenate([[U64(0)], gram[:-1]])
                 before[self.starts] = BEGIN + U64(k)
                 gram = mix(before * U64(0x9E3779B97F4A7C15) + words)
+            if only and k < order:
+                continue
             keys, inverse = np.unique(gram, return_inverse=True)
             self.keys.append(keys)
             self.inverse.append(inverse)
@@ -118,20 +121,20 @@ class Tokens:
         return out
 
 
-def _asked(batches: DataFrame, order: int, ranges: int) -> DataFrame:
+def _asked(batches: DataFrame, gram: int, ranges: int) -> DataFrame:
     """(gram, part, batch, keys, counts): a batch's n-grams of an order in a range of hashes, with their training counts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(i << 64) // ranges for i in range(ranges)], U64)
         for row in (r for b in rows for r in b.to_pylist()):
-            tokens = Tokens(row, order)
-            for k in range(order):
-                n = np.bincount(tokens.inverse[k][~tokens.held], minlength=len(tokens.keys[k])).astype(np.uint32)
-                cut = np.append(np.searchsorted(tokens.keys[k], edges), len(tokens.keys[k]))
-                keys = [_pack_sorted(tokens.keys[k][a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                counts = [_pack(n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                same = [pa.array([x] * ranges, t) for x, t in ((k + 1, pa.int32()), (row["batch"], pa.int64()))]
-                yield pa.RecordBatch.from_arrays([same[0], pa.array(range(ranges), pa.int32()), same[1], pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["gram", "part", "batch", "keys", "counts"])
+            tokens = Tokens(row, gram, only=True)
+            own, inverse = tokens.keys[0], tokens.inverse[0]
+            n = np.bincount(inverse[~tokens.held], minlength=len(own)).astype(np.uint32)
+            cut = np.append(np.searchsorted(own, edges), len(own))
+            keys = [_pack_sorted(own[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            counts = [_pack(n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            same = [pa.array([x] * ranges, t) for x, t in ((gram, pa.int32()), (row["batch"], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([same[0], pa.array(range(ranges), pa.int32()), same[1], pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["gram", "part", "batch", "keys", "counts"])
 
     return batches.select("batch", "counts", "held", "vocabulary", "stream").mapInArrow(run, "gram int, part int, batch bigint, keys binary, counts binary")
 
@@ -209,7 +212,8 @@ def score(docs: DataFrame, held: Column, order: int = ORDER, batch_tokens: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     batches = written(_batches(docs, batch_tokens))
     ranges = tasks(spark)
-    answers = written(_answered(_asked(batches, order, ranges)))
+    # one order after another, so that the n-grams of only one are in shuffle files
+    answers = functools.reduce(DataFrame.union, [written(_answered(_asked(batches, k, ranges))) for k in range(1, order + 1)])
     known = answers.filter("gram = 1").agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     kinds, n = int(known[0]), int(known[1])
     begun = batches.select(F.explode("held").alias("held")).filter("not held").count()

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.llm import decontamination, interpolation, toxicity
+from meridia.llm import queries as Q
 from tests.llm import brute
 
 FILL = [f"w{i}" for i in range(3000)]
@@ -176,6 +177,15 @@ def test_counts_of_more_than_32_bits(spark):
     assert sum(r.tokens for r in got) == 9_000_000_003 and sum(r.kinds for r in got) == 2
 
 
+def test_query_interpolates_trigrams(spark, monkeypatch):
+    learnt = []
+    real = interpolation.learn_weights
+    monkeypatch.setattr(interpolation, "learn_weights", lambda *a: learnt.append(real(*a)) or learnt[-1])
+    monkeypatch.setattr(Q, "table", lambda *_: spark.createDataFrame([(i, "a b c a b d a b c") for i in range(30)], "doc_id long, text string"))
+    assert Q.op6_deleted_interpolation(spark, "").count() == 30
+    assert learnt[0].shape == (interpolation.BUCKETS, 4)
+
+
 def test_em_finds_the_mixture():
     import numpy as np
 
