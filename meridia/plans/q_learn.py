@@ -85,7 +85,7 @@ def assign_step(spark, sf_dir):
 
 @register("VE07_kmeans")
 def kmeans(spark, sf_dir):
-    rows = carrier(spark, sf_dir, "vectors").where("vec_id < 300").select(F.col("vec_id").alias("id"), "vec")
+    rows = carrier(spark, sf_dir, "vectors").select(F.col("vec_id").alias("id"), "vec")
     return D.kmeans(rows, 4, steps=4)[1]
 
 

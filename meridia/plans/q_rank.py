@@ -221,11 +221,18 @@ def greedy_capped(spark, sf_dir):
     return K.greedy_capped(rows, "q", budget=10, per_position=3, per_cell=4, min_cells=5)
 
 
+def planned(spark, sf_dir, some: str = "true"):
+    """Batches of the vectors for which `some` holds, with their nearest among these."""
+    rows = carrier(spark, sf_dir, "vectors").where(some)
+    pairs = rows.select(F.col("city").alias("shard"), F.col("vec_id").alias("pair"), F.col("vec_id").alias("q"), (F.col("vec_id") % 45).alias("t"))
+    found = K.cosine_scores(rows, rows, "vec_id", "vec_id").filter("q <> t").withColumn("s", F.round(F.col("s") * 1e6).cast("long"))
+    near = K.top_k(found, 5).select(F.col("q").alias("pair"), "rank", F.col("t").alias("nbr"))
+    return K.planned_batches(pairs, near, "shard", 8)
+
+
 @register("GR10_planned_batches")
-def planned(spark, sf_dir):
-    rows = carrier(spark, sf_dir, "vectors").where("vec_id % 10 = 0").select(F.col("city").alias("shard"), F.col("vec_id").alias("pair"), F.col("vec_id").alias("q"), (F.col("vec_id") % 45).alias("t"))
-    near = K.top_k(scores(spark, sf_dir).filter("t % 10 = 0"), 5).select(F.col("q").alias("pair"), "rank", F.col("t").alias("nbr"))
-    return K.planned_batches(rows, near, "shard", 8)
+def planned_batches(spark, sf_dir):
+    return planned(spark, sf_dir)
 
 
 @register("AG28_label_audit", POSITIONED + """, n AS (SELECT point_id, tile_id FROM p, t WHERE abs(p.x - t.x) <= 250e0 AND abs(p.y - t.y) <= 250e0 AND power(p.x - t.x, 2) + power(p.y - t.y, 2) <= 62500e0), m AS (SELECT point_id, tile_id FROM p, t WHERE abs(p.x - t.x) <= size / 8 AND abs(p.y - t.y) <= size / 8)

@@ -185,3 +185,18 @@ def test_greedy_cap_follows_the_order(spark):
     rows = spark.createDataFrame([(1, i, 10.0 - i, i % 2, [0]) for i in range(6)], "q int, item int, score double, position int, cells array<int>")
     got = [r.item for r in K.greedy_capped(rows, "q", budget=4, per_position=2, per_cell=3, min_cells=0).collect()]
     assert sorted(got) == [0, 1, 2]
+
+
+def test_kmeans_and_batches_take_the_whole_table(spark, monkeypatch, tmp_path):
+    from meridia import registry
+    from meridia.plans import q_learn
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 5, rng.normal(size=4).tolist()) for i in [*range(60), *range(1000, 1061)]]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+    real = q_learn.D.kmeans
+    monkeypatch.setattr(q_learn.D, "kmeans", lambda points, *a, **k: seen.append(points.count()) or real(points, *a, **k))
+    assert registry.queries()["VE07_kmeans"](spark, str(tmp_path)).count() > 0 and seen == [121]
+    planned = registry.queries()["GR10_planned_batches"](spark, str(tmp_path)).collect()
+    assert {r["pair"] for r in planned} == {i for i, *_ in rows}
