@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm._store import written
+from meridia.llm._store import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,11 +17,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), free=False)
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")), free=False)
+    before = labels
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         least = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
         step = written(least.join(jump, "label", "left").select("v", "old", F.least("label", "far").alias("label")), free=False)
-        labels = step.select("v", "label")
+        discard(before)
+        labels, before = step.select("v", "label"), step
         if step.filter("old <> label").isEmpty():
+            discard(both)
             return labels

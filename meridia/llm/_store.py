@@ -24,6 +24,8 @@ def shared(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Where that is unset, as in tests on one machine, a folder that goes at exit."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="meridia-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -41,11 +43,27 @@ def written(df: DataFrame, free: bool = True) -> DataFrame:
     path = shared(df.sparkSession)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
     if free:
         release(df.sparkSession)
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df.written_to)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     gc.collect()
     with contextlib.suppress(AttributeError):  # a remote session has no JVM of its own

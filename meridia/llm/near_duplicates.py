@@ -2,20 +2,23 @@
 
 A document's set is that of the hashes of its n-word shingles. Under each permutation both the minimum and the maximum are
 kept, so half as many permutations give as many signature values; the values are banded, and documents that agree in a band
-share a bucket. Documents with equal sets are one vertex. Links are confirmed on full sets:
+share a bucket. Documents with equal sets are one vertex, and buckets with equal members are one bucket. Every link is
+confirmed on full sets:
 
-In rounds, a bucket's members meet its pivots: one in the first round, the next 32 in the second, all others in the third;
-first come those whose buckets are largest (in a group of copies, that is the one that most others resemble). Members that are
-in one component already, and pairs that were compared, are left out. So a bucket of copies of one text takes as many
-comparisons as it has members, whatever its size; and at the end every pair of a bucket is in one component or was judged.
-Pairs that can't link aren't confirmed: what two sets share is bounded by their sizes and, from the second round on, by the
-shingles that no other text of an open bucket has. Nor are pairs that differ in far too many signature values: two bits of
-each value are kept (of more values from the second round on), of which a linked pair differs by more than the bound with a chance of 4e-6. What the bands miss: a
-pair of similarity s shares none with a chance of (1 - s^rows)^bands, 4e-6 at 0.8 with 40 bands of 6.
+1. Each member of a bucket meets the bucket's pivot, the member that shares most places with others (in a group of copies,
+   the one that most others resemble). The links that hold are joined into components.
+2. Buckets whose members are all of one component are done. In each other one, members outside the bucket's largest component
+   meet all members of other components, in blocks of bounded size (_buckets.py). No pair of texts leaves a block unless it
+   joins two components, so rows stay in proportion to the buckets, whatever the groups' sizes.
+
+So every pair that shares a band is in one component or was compared on its full sets; nothing is judged by signatures. What
+the bands miss: a pair of similarity s shares none with a chance of (1 - s^rows)^bands, 5e-6 at 0.8 with 40 bands of 6.
 
 Cases: null and empty texts have an empty set, link with nothing and are kept; a text of fewer words than n is one shingle;
 equal texts are one component; rows that repeat an id are judged by their texts, and each has a row of its own in the
-result; a row without an id is linked through equal sets only; an empty table gives no rows; other columns are ignored.
+result; a row without an id is linked like any other and is never a component's smallest id; in a component without any id
+component_id is null and all rows are told as kept, of which distinct() keeps one; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.llm._buckets import joined
 from meridia.llm._components import components
-from meridia.llm._store import bounded_batches, release, written
+from meridia.llm._store import bounded_batches, discard, fresh, release, written
 from meridia.llm._text import U64, grams, inside, map_texts, mix, parts, words_of
 
 BANDS, ROWS, PERCENT = 40, 6, 80
-#: Signature values by which texts of buckets that are still open are judged after the first round.
-FINER = 1792
-#: Pivots of a bucket by the end of the first and the second round; in the third all members are.
-PIVOTS = (1, 33)
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 4096, dtype=U64) * U64(2) + U64(1)
 
 
@@ -71,23 +71,6 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, values: int) -> np.ndarray:
     return out
 
 
-def planes(sets: np.ndarray, bounds: np.ndarray, values: int) -> np.ndarray:
-    """Two bits of each signature value, as 64-bit integers: a row for each set, first all first bits, then all second."""
-    signature, filled = signatures(sets, bounds, values), np.diff(bounds) > 0
-    width = (values + 63) // 64
-    out = np.zeros((len(filled), 2, width * 8), np.uint8)
-    for i, bit in enumerate((5, 11)):
-        packed = np.packbits(((signature >> U64(bit)) & U64(1)).astype(np.uint8).T, axis=1)
-        out[filled, i, : packed.shape[1]] = packed
-    return out.reshape(len(filled), -1).view(np.int64)
-
-
-def most_different(values: int, percent: int) -> int:
-    """How many of the values' bit pairs may differ at most: 4.5 standard deviations beyond what links at the least."""
-    differ = (1 - percent / 100) * 0.75
-    return int(np.ceil(values * differ + 4.5 * np.sqrt(values * differ * (1 - differ))))
-
-
 def band_keys(sets: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A key for each band, a row for each set that isn't empty."""
     values = signatures(sets, bounds, bands * rows)
@@ -105,7 +88,7 @@ def _digest(own: np.ndarray) -> bytes:
 
 
 def _sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys) of every row; digest and keys are null for an empty set."""
+    """(row, doc_id, n_shingles, v, keys) of every row; v, the set's digest, and keys are null for an empty set."""
 
     def each(texts: pa.Array) -> list[pa.Array]:
         sets, bounds = shingle_sets(texts, n)
@@ -117,7 +100,12 @@ def _sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             pa.array([next(keys) if s else None for s in sizes], pa.list_(pa.int64())),
         ]
 
-    return map_texts(docs, each, "n_shingles bigint, digest binary, keys array<bigint>", ["doc_id"], "text")
+    return map_texts(docs, each, "n_shingles bigint, v binary, keys array<bigint>", ["row", "doc_id"], "text")
+
+
+def _similar(items: str | Column, others: str | Column, percent: int) -> Column:
+    """Whether sets of these sizes may be similar enough."""
+    return 100 * F.least(items, others) >= percent * F.greatest(items, others)
 
 
 def confirmed(pairs: DataFrame, pool: DataFrame, n: int, percent: int) -> DataFrame:
@@ -134,136 +122,95 @@ def confirmed(pairs: DataFrame, pool: DataFrame, n: int, percent: int) -> DataFr
                 ok = np.zeros(part.num_rows, bool)
                 for i in range(part.num_rows):
                     x, y = xs[xb[i] : xb[i + 1]], ys[yb[i] : yb[i + 1]]
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
                     both = np.sort(np.concatenate([x, y]))
                     common = int((both[1:] == both[:-1]).sum())
                     ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
                 if ok.any():
                     yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def _pool(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(v, text, items): the text of each wanted vertex (row, v, items), which one row gives."""
+
+    def own(texts: pa.Array) -> list[pa.Array]:
+        s, b = shingle_sets(texts, n)
+        return [pa.array([_digest(s[x:y]) for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary()), texts.cast(pa.string())]
 
+    rows = docs.join(wanted, "row").select("v", "items", F.col("text").alias("_text"))
+    rows = map_texts(rows, own, "_digest binary, text string", ["v", "items"], "_text").filter("v = _digest")
+    return rows.dropDuplicates(["v"]).select("v", "text", "items")
 
-def _finer(pool: DataFrame, n: int, values: int, bands: int, rows: int) -> DataFrame:
-    """(v, alone, bands, planes): all keys of a text's bands, two bits of so many signature values, and how many shingles no
-    other text of the pool has; they bound what it can share with any."""
+
+def _sets(pool: DataFrame, n: int) -> DataFrame:
+    """(v, shingles): each text's set, as 64-bit integers in a row."""
 
     def each(texts: pa.Array) -> list[pa.Array]:
-        sets, bounds = shingle_sets(texts, n)
-        shingles = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
-        keys = pa.array(list(band_keys(sets, bounds, bands, rows).view(np.int64)), pa.list_(pa.int64()))
-        return [shingles, keys, pa.array(list(planes(sets, bounds, values)), pa.list_(pa.int64()))]
+        s, b = shingle_sets(texts, n)
+        raw = s.tobytes()
+        return [pa.array([raw[8 * x : 8 * y] for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary())]
 
-    texts = written(map_texts(pool, each, "shingles array<bigint>, bands array<bigint>, planes array<bigint>", ["v"]), free=False)
-    uses = texts.select("v", F.explode("shingles").alias("shingle"))
-    once = uses.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("v").alias("v")).filter("_n = 1")
-    alone = once.groupBy("v").agg(F.count("*").alias("alone"))
-    return texts.select("v", "bands", "planes").join(alone, "v", "left").select("v", "bands", F.coalesce("alone", F.lit(0)).alias("alone"), *_bits(values))
+    return map_texts(pool, each, "shingles binary", ["v"])
 
 
-def _bits(values: int) -> list[Column]:
-    return [F.get("planes", F.lit(i)).alias(f"p{i}") for i in range(2 * ((values + 63) // 64))]
+def _relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """labels (v, label) after the labels' own components (v, label)."""
+    to = moved.select(F.col("v").alias("label"), F.col("label").alias("_to"))
+    return labels.join(to, "label", "left").select("v", F.coalesce("_to", "label").alias("label"))
+
+
+def classes(docs: DataFrame, n: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents (row, doc_id, text): (row, doc_id, n_shingles, v) of each, and (v, label) of each set that isn't empty."""
+    sketch = written(_sketch(docs, n, bands, rows))
+    sets = written(sketch.filter("v is not null").groupBy("v").agg(F.min("row").alias("row"), F.max("n_shingles").alias("items"), F.first("keys").alias("keys")))
+    places = sets.select("v", "items", F.explode("keys").alias("key"))
+    # bits of all members: equal for equal members
+    print_ = [F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    kinds = places.groupBy("key").agg(F.count("*").alias("size"), *print_).filter("size > 1")
+    kinds = kinds.groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).select("key", "size")
+    buckets = written(places.join(kinds, "key"))
+    popular = buckets.groupBy("v").agg(F.sum("size").alias("popular"))
+    pool = written(_pool(docs, sets.join(popular.select("v"), "v").select("row", "v", "items"), n))
+    ranked = buckets.join(popular, "v")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("popular", "v", "items")).alias("p")).select("key", F.col("p.v").alias("p"), F.col("p.items").alias("_items"))
+    met = buckets.join(pivots, "key").filter((F.col("v") != F.col("p")) & _similar("items", "_items", percent))
+    pairs = met.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+    links = written(confirmed(pairs, pool, n, percent))
+    labels = components(links)
+    vertices = sets.select("v")
+    labels = written(vertices.join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label")))
+    more = written(joined(buckets, labels, _sets(pool, n), percent))
+    labels = written(_relabelled(labels, components(more)))
+    discard(buckets, pool, links, more, sets)
+    return sketch.drop("keys"), labels
 
 
-def _may_link(values: int, percent: int) -> Column:
-    """Whether a member (p0 ..., items, shared) and a pivot (q0 ..., _items, _shared) must be compared."""
-    width = (values + 63) // 64
-    differ = F.lit(0)
-    for i in range(width):
-        first, second = (F.col(f"p{j}").bitwiseXOR(F.col(f"q{j}")) for j in (i, i + width))
-        differ = differ + F.bit_count(first.bitwiseOR(second))
-    common = F.least("shared", "_shared")  # at most
-    return (100 * common >= percent * (F.col("items") + F.col("_items") - common)) & (differ <= most_different(values, percent))
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: documents whose sets have intersection / union of at least
     percent / 100 are linked; component_id is the smallest id that links reach, and kept tells whether it is the row's own.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows_ = written(_sketch(docs, n, bands, rows))
-    sets = rows_.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n"))
-    sets = written(sets.select("digest", "doc_id", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long").alias("v")), free=False)
-    keys = rows_.join(sets.select("digest", "v", F.col("doc_id").alias("_id")), "digest").filter("doc_id = _id").select("v", F.explode("keys").alias("key"))
-    counts = written(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
-    buckets = written(keys.join(counts, "key").dropDuplicates(["key", "v"]))
-    popular = buckets.groupBy("v").agg(F.sum("size").alias("popular"))
-    values = bands * rows
-    wanted = buckets.select("v").distinct().join(sets, "v").select("v", "digest", "doc_id")
-    pool = docs.join(wanted, "doc_id").select("v", "digest", F.col("text").alias("_text"))
-
-    def own(texts: pa.Array) -> list[pa.Array]:
-        s, b = shingle_sets(texts, n)
-        digests = pa.array([_digest(s[x:y]) for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary())
-        return [digests, texts.cast(pa.string()), pa.array(np.diff(b)), pa.array(list(planes(s, b, values)), pa.list_(pa.int64()))]
-
-    pool = map_texts(pool, own, "_digest binary, text string, items bigint, planes array<bigint>", ["v", "digest"], "_text").filter("digest = _digest")
-    pool = written(pool.select("v", "text", "items", "planes").dropDuplicates(["v"]))
-    buckets = written(buckets.join(popular, "v").join(pool.select("v", "items", F.col("items").alias("shared"), *_bits(values)), "v"))
-    labels = compared = None
-    for done, until in zip((0, *PIVOTS), (*PIVOTS, None), strict=True):  # `done` pivots of each bucket have met its members
-        here = buckets.filter(F.col("size") > done + 1)
-        if labels is not None:
-            here = here.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-            if done == PIVOTS[0]:  # most buckets are of one component by now, and stay so
-                open_ = here.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l <> _h").select("key")
-                here = here.join(open_, "key", "left_semi")
-                values = FINER
-                finer = _finer(pool.join(here.select("v").distinct(), "v", "left_semi"), n, values, bands, rows)
-                # a pair meets in the first bucket that both are in, and in no other
-                here_first = F.get(F.array_compact(F.zip_with("bands", "_bands", lambda x, y: F.when(x == y, x))), F.lit(0)) == F.col("key")
-                here = here.select("key", "v", "size", "popular", "items", "label").join(finer, "v").withColumn("shared", F.col("items") - F.col("alone"))
-                here = written(here)
-                buckets = here.drop("label")
-        else:
-            here = here.withColumn("label", F.col("v"))
-        order = Window.partitionBy("key").orderBy(F.col("popular").desc(), "v")
-        pivots = here.withColumn("_place", F.row_number().over(order))
-        if until is not None:
-            pivots = pivots.filter(F.col("_place") <= until)
-        more = [F.col("bands").alias("_bands")] if "bands" in here.columns else []
-        pivots = pivots.filter(F.col("_place") > done).select("key", *more, F.col("v").alias("p"), F.col("label").alias("_label"), F.col("items").alias("_items"), F.col("shared").alias("_shared"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(2 * ((values + 63) // 64))])
-        met = (F.col("label") != F.col("_label")) & _may_link(values, percent)
-        pairs = here.join(pivots, "key").filter(met & here_first if more else met)
-        pairs = pairs.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, free=False)
-        last = until is None or here.filter(F.col("size") > until + 1).isEmpty()
-        if not pairs.isEmpty():
-            links = written(confirmed(pairs, pool, n, percent))
-            if labels is not None:
-                known = labels.select(F.col("v"), F.col("label"))
-                links = links.join(known.select(F.col("v").alias("a"), F.col("label").alias("_a")), "a", "left").join(known.select(F.col("v").alias("b"), F.col("label").alias("_b")), "b", "left")
-                links = links.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-            joined = components(links)
-            if labels is None:
-                labels = joined
-            else:
-                moved = labels.join(joined.select(F.col("v").alias("label"), F.col("label").alias("_to")), "label", "left")
-                old = moved.select("v", F.coalesce("_to", "label").alias("label"))
-                labels = written(old.unionByName(joined.join(old, "v", "left_anti")), free=False)
-            compared = pairs if compared is None else written(compared.unionByName(pairs), free=False)
-        if last:
-            break
-    classes = sets.select("digest", "doc_id", "v")
-    if labels is not None:
-        classes = classes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        classes = classes.join(classes.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("digest", "component_id")
-    else:
-        classes = classes.select("digest", F.col("doc_id").alias("component_id"))
-    out = rows_.select("doc_id", "n_shingles", "digest").join(written(classes), "digest", "left")
+    sketch, labels = classes(_rows(docs, doc_id, text), n, percent, bands, rows)
+    found = sketch.join(labels, "v", "left")
+    least = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(written(least), "label", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     release(docs.sparkSession)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def distinct(docs: DataFrame, n: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, with all its columns; of rows that are equal in id and text, one."""
-    found = near_duplicates(docs, n, percent, doc_id=doc_id, text=text)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(gone, F.col(doc_id) == F.col("_id"), "left_anti")
-    once = Window.partitionBy(doc_id, "_own").orderBy(F.lit(1))
-    rows = rows.withColumn("_own", F.xxhash64(text)).withColumn("_n", F.row_number().over(once))
-    return rows.filter((F.col("_n") == 1) | F.col(doc_id).isNull()).select(*docs.columns)
+    """One document of each component, with all its columns: that of the least id; of rows that are equal in id and text, one."""
+    sketch, labels = classes(_rows(docs, doc_id, text), n, percent, BANDS, ROWS)
+    found = sketch.join(labels, "v", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    chosen = found.filter("label is not null").groupBy("label").agg(first).select(F.col("first.row").alias("row"))
+    own, place = fresh(docs, "own"), fresh(docs, "place")
+    chosen = written(chosen.unionByName(found.filter("label is null").select("row").distinct()).withColumnRenamed("row", own))
+    rows = docs.withColumn(own, F.xxhash64(doc_id, text)).join(chosen, own, "left_semi")
+    once = Window.partitionBy(own).orderBy(F.lit(1))
+    return rows.withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1).drop(own, place)

@@ -77,8 +77,47 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     t = "one two three four five six seven"
     rows = [(4, t), (4, t), (None, t), (9, t), (2, None), (2, None), (None, "alone here")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(table(spark, rows), 2).collect()), key=str)
-    assert got == sorted([(4, 6, 4, True)] * 2 + [(None, 6, 4, True), (9, 6, 4, False)] + [(2, 0, 2, True)] * 2 + [(None, 1, None, True)], key=str)
-    assert sorted(str(r.doc_id) for r in near_duplicates.distinct(table(spark, rows), 2).collect()) == ["2", "4", "None", "None"]
+    assert got == sorted([(4, 6, 4, True)] * 2 + [(None, 6, 4, False), (9, 6, 4, False)] + [(2, 0, 2, True)] * 2 + [(None, 1, None, True)], key=str)
+    assert sorted(str(r.doc_id) for r in near_duplicates.distinct(table(spark, rows), 2).collect()) == ["2", "4", "None"]
+    assert near_duplicates.distinct(table(spark, [(None, t), (None, t), (None, t + " eight")]), 2).count() == 1
+
+
+def test_a_row_without_an_id_links_near_copies(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, t), (5, t + " more"), (7, t + " more and"), (8, "else")]
+    got = {r.n_shingles: r.component_id for r in near_duplicates.near_duplicates(table(spark, rows), 2).collect()}
+    assert got == {59: 5, 60: 5, 61: 5, 1: 8}
+
+
+def test_distinct_keeps_columns_of_any_name(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    names = ["_n", "_own", "_id", "_copies", "_place", "row", "v", "label", "key"]
+    rows = [(k, x, *(f"{c}{k}" for c in names)) for k, x in ((1, t), (2, t + " x"), (3, "other words here"), (3, "a third text"), (3, "a third text"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    assert sorted(map(tuple, near_duplicates.distinct(docs).collect())) == sorted([rows[0], rows[2], rows[3]])
+
+
+def test_a_bucket_of_texts_below_the_threshold(spark, monkeypatch):
+    """Copies of one text, most of them too much changed to be linked: blocks give few rows, and no link is lost."""
+    import random
+
+    from meridia.llm import _buckets
+
+    monkeypatch.setattr(_buckets, "MEMBERS", 100)
+    rng, base = random.Random(8), [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(1200):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randrange(0, 13)):
+            copy[at] = f"e{rng.randrange(10**7)}"
+        rows.append((k, " ".join(copy)))
+    seen, real = [], near_duplicates.joined
+    monkeypatch.setattr(near_duplicates, "joined", lambda *a: seen.append(real(*a).cache()) or seen[-1])
+    want = brute.linked(rows, 2)
+    assert len({c for _, c in want.values()}) > 100
+    found = near_duplicates.near_duplicates(table(spark, rows), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert seen[0].count() < len(rows)
 
 
 def test_suffix_repetition(spark):
