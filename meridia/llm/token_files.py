@@ -3,7 +3,8 @@
 Documents are put in ascending order of their id by a range shuffle; a task encodes its range, appends the end id to each
 document and cuts shards of about `shard_ids` ids. In a shard, rounds of Re-Pair count the pairs of neighbouring symbols
 and replace the most frequent ones by nonterminals, from left to right, until no pair is frequent or symbols run out:
-a symbol takes 16 bits. Pairs never reach over the end of a document.
+a symbol takes 16 bits if the vocabulary leaves room for rules in them, else 32, of which rules use as many more as
+SYMBOLS. Pairs never reach over the end of a document.
 
 A shard file: a line of JSON (version, counts, the first id and the number of rules of each round, where sections lie);
 rules (two symbols each), the length of each rule's expansion, the symbols, for every STRIDE-th symbol the number of ids
@@ -144,8 +145,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def symbol_type(first: int) -> type:
+    """The type of symbols where rules begin at `first`."""
+    if first > 1 << 30:
+        raise ValueError("a vocabulary has at most 2**30 ids")
+    return np.uint16 if first + LEAST <= SYMBOLS else np.uint32
+
+
 def _cells(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - CELL_BITS)
+    folded = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (folded >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -156,14 +165,20 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FR
     A pair of which others in the round leave fewer than PAYS places, or whose cell of the lookup is taken, waits for the
     next one; as non-overlapping places are at least half of all, each round makes a rule.
     """
-    seq = ids.astype(np.uint32)
+    kind = symbol_type(first)
+    if len(ids) and int(ids.max()) >= first:
+        raise ValueError("an id isn't in the vocabulary")
+    limit = SYMBOLS if kind is np.uint16 else first + SYMBOLS
+    wide = np.uint32 if kind is np.uint16 else np.uint64  # a pair of symbols
+    shift = wide(8 * np.dtype(kind).itemsize)
+    seq = ids.astype(wide)
     last = np.zeros(len(seq), bool)  # the end of a document
     last[np.cumsum(counts)[counts > 0] - 1] = True
-    none = np.uint32(0xFFFFFFFF)  # no pair: the last symbol is free while there are rounds
+    none = wide(np.iinfo(wide).max)  # no pair: the last symbol is free while there are rounds
     rules, after, made, pays = [], [], 0, max(1, min(PAYS, frequent // 2))
     rule_of = np.full(1 << CELL_BITS, -1, np.int32)
-    while (free := SYMBOLS - first - made) > 0 and len(seq) > 1:
-        keys = (seq[:-1] << np.uint32(16)) | seq[1:]
+    while (free := limit - first - made) > 0 and len(seq) > 1:
+        keys = (seq[:-1] << shift) | seq[1:]
         keys[last[:-1]] = none
         ranked = np.sort(keys)
         ranked = ranked[: np.searchsorted(ranked, none)]
@@ -174,7 +189,9 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FR
         pairs, n = ranked[same[begin]], np.diff(np.append(begin, len(same)))
         most = min(free, max(free // 2, LEAST))
         if most < len(pairs):
-            pairs = pairs[np.argpartition(-n, most - 1)[:most]]
+            chosen = np.argpartition(-n, most - 1)[:most]
+            pairs, n = pairs[chosen], n[chosen]
+        pairs = pairs[np.argsort(n, kind="stable")]  # of pairs with one cell the most frequent one has it
         cell = _cells(pairs)
         rule_of[cell] = np.arange(len(pairs))
         rule = rule_of[_cells(keys)]
@@ -193,10 +210,10 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FR
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        rules.append(np.stack([(pairs >> np.uint32(16)).astype(np.uint16), (pairs & np.uint32(0xFFFF)).astype(np.uint16)], axis=1))
+        rules.append(np.stack([(pairs >> shift).astype(kind), (pairs & wide(np.iinfo(kind).max)).astype(kind)], axis=1))
         made += len(pairs)
         after.append(made)
-    return seq.astype(np.uint16), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), after
+    return seq.astype(kind), np.concatenate(rules) if rules else np.zeros((0, 2), kind), after
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, after: list[int], first: int) -> np.ndarray:
@@ -226,7 +243,7 @@ def shard_bytes(ids: np.ndarray, counts: np.ndarray, doc_ids: np.ndarray, valid:
     before = np.zeros(len(seq), np.int64)
     np.cumsum(size[seq[:-1]], out=before[1:]) if len(seq) else None
     sections = {"rules": rules, "expands": size[first:], "symbols": seq, "marks": before[::STRIDE], "doc_ids": doc_ids.astype("<i8"), "valid": valid.astype(np.uint8), "counts": counts.astype("<i8")}
-    head, at = {"version": 1, "first_rule": first, "rounds": after, "n_ids": len(ids), "sections": {}}, 0
+    head, at = {"version": 2, "first_rule": first, "rounds": after, "n_ids": len(ids), "sections": {}}, 0
     for name, x in sections.items():
         head["sections"][name] = [at, x.nbytes, x.dtype.str]
         at += x.nbytes
