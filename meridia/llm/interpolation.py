@@ -34,8 +34,8 @@ from meridia.llm._text import U64, mix, parts, words_of
 ORDER, BATCH = 3, 1_000_000
 #: Hashes of the end token and of what stands before a document.
 END, BEGIN = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
-#: Buckets of context counts, and cells for the logarithm of an estimate.
-BUCKETS, CELLS, FINENESS = 40, 128, 4
+#: Buckets of context counts, and cells for the logarithm of an estimate: FINENESS cells for each factor of two.
+BUCKETS, CELLS, FINENESS = 40, 32, 1
 
 
 def _pack(x: np.ndarray) -> bytes:
