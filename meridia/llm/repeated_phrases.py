@@ -6,13 +6,15 @@ A passage recurs if a window of `window` words of it starts at two places or mor
    are elected at two places or more are candidates; all other windows can't recur.
 2. Documents that hold a candidate are cut into pieces: the words of all windows that elected one occurrence of it. Equal
    pieces are counted once, with their number.
-3. Pieces are sharded by their phrase, which all windows that may be equal share. A shard counts its windows, which
-   confirms the passages that recur; its automaton (Aho-Corasick over words) is compiled from these passages, laid out in
+3. Pieces are sharded by their phrase, which all windows that may be equal share; any other words of a document can't hold a
+   passage that recurs, so they need not stream. A shard counts its windows, which confirms the passages that recur; its automaton (Aho-Corasick over words) is compiled from these passages, laid out in
    windows, and all pieces of the shard stream through it, so every occurrence is located. Automata hold about `automaton_bytes` of pieces.
 4. Located spans return to their documents and are united.
 
-A phrase with more than `hot` different pieces would be one shard's work; its windows are counted by their hash across the
-cluster instead, which gives the same spans. No table is collected; what a task holds is a document, a batch or a shard.
+A phrase with more than `hot` different pieces is dealt to several shards, by the pieces' hashes. As equal windows may then
+lie in different shards, the windows of such phrases are counted across the cluster, and each piece brings the places that
+recur to its shard; passages, automata and streams are the same. No table is collected; what a task holds is a document, a
+batch or a shard, whatever the number of a phrase's pieces.
 
 Cases: null and empty texts have no words; a text of fewer words than a window loses none; rows are judged by what they hold,
 so repeated rows recur in each other; ids may be null or repeated; an empty table gives no rows; other columns are ignored.
@@ -29,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm._store import bounded_batches, release, written
+from meridia.llm._store import bounded_batches, discard, release, tasks, written
 from meridia.llm._text import U64, Words, grams, inside, kept_text, map_texts, mix, parts, runs_of, slices, words_of
 
 WINDOW, PHRASE = 35, 8
@@ -108,8 +110,11 @@ def _pieces(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.select("row", "doc_id", "wanted", "_text").mapInArrow(run, f"phrase bigint, piece_id bigint, row bigint, doc_id {kind}, start bigint, piece string")
 
 
-def locate(pieces: pa.Array, counts: np.ndarray, window: int) -> pa.Array:
-    """Of each piece, the spans of words where passages lie that recur in these pieces; counts: how often a piece occurs."""
+def locate(pieces: pa.Array, counts: np.ndarray, window: int, known: pa.Array | None = None) -> pa.Array:
+    """Of each piece, the spans of words where passages lie that recur; counts: how often a piece occurs.
+
+    known: of each piece, the first words of windows that recur; where it is null, the pieces given here are counted.
+    """
     import ahocorasick
 
     words = words_of(pieces)
@@ -118,7 +123,14 @@ def locate(pieces: pa.Array, counts: np.ndarray, window: int) -> pa.Array:
     doc = words.doc_of()
     if len(at):
         _, number = np.unique(grams(hashes, window)[at], return_inverse=True)
-        at = at[np.bincount(number, counts[doc[at]])[number] >= 2]
+        recurs = np.bincount(number, counts[doc[at]])[number] >= 2
+        if known is not None and known.null_count < len(known):
+            told = known.is_valid().to_numpy(zero_copy_only=False)
+            lists = known.fill_null([])
+            places = np.zeros(len(words), bool)
+            places[lists.flatten().to_numpy() + np.repeat(bounds[:-1], np.diff(lists.offsets.to_numpy()))] = True
+            recurs = np.where(told[doc[at]], places[at], recurs)
+        at = at[recurs]
     if not len(at):
         return _spans(np.zeros(len(bounds), np.int64), at, at)
     begins = np.append(True, (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]]))
@@ -157,28 +169,30 @@ def _spans(bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
 
 
 def _located(shards: DataFrame, window: int, automaton_bytes: int) -> DataFrame:
-    """(phrase, piece_id, spans) of pieces (phrase, piece_id, piece, n), which lie together by their phrase, in its order."""
+    """(phrase, piece_id, spans) of pieces (phrase, part, piece_id, piece, n, known), in order of phrase and part, which lie together."""
     names = ["phrase", "piece_id", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(tables).combine_chunks()
-            found = locate(t.column("piece").combine_chunks(), t.column("n").to_numpy(), window)
+            found = locate(t.column("piece").combine_chunks(), t.column("n").to_numpy(), window, t.column("known").combine_chunks())
             some = pa.compute.greater(pa.compute.list_value_length(found), 0)
             return pa.RecordBatch.from_arrays([t.column("phrase").combine_chunks(), t.column("piece_id").combine_chunks(), found], names=names).filter(some)
 
         held: list[pa.RecordBatch] = []
         size = 0
         for part in (p for batch in batches for p in parts(batch, "piece", automaton_bytes // 2)):
-            phrases = part.column("phrase").to_numpy()
-            if held and size >= automaton_bytes:  # a shard ends where a phrase does
-                last = held[-1].column("phrase")[-1].as_py()
-                same = int(np.argmax(phrases != last)) if (phrases != last).any() else len(phrases)
-                held.append(part.slice(0, same))
-                if same < len(phrases):
+            if held and size >= automaton_bytes:  # a shard ends where a phrase or its part does
+                last = held[-1].slice(held[-1].num_rows - 1)
+                same = np.ones(part.num_rows, bool)
+                for c in ("phrase", "part"):
+                    same &= part.column(c).to_numpy() == last.column(c)[0].as_py()
+                n = part.num_rows if same.all() else int(np.argmin(same))
+                held.append(part.slice(0, n))
+                if n < part.num_rows:
                     yield shard(held)
                     held, size = [], 0
-                part = part.slice(same)
+                part = part.slice(n)
             if part.num_rows:
                 held.append(part)
                 size += part.nbytes
@@ -188,43 +202,50 @@ def _located(shards: DataFrame, window: int, automaton_bytes: int) -> DataFrame:
     return shards.mapInArrow(run, "phrase bigint, piece_id bigint, spans array<struct<a:bigint,b:bigint>>")
 
 
-def _counted(pieces: DataFrame, window: int) -> DataFrame:
-    """The same for phrases with very many pieces: windows are counted by their hash, each apart."""
+def _known(pieces: DataFrame, window: int) -> DataFrame:
+    """(phrase, piece_id, known): of pieces (phrase, piece_id, piece, n), the first words of windows that recur in any of them."""
 
     def each(texts: pa.Array) -> list[pa.Array]:
         words = words_of(texts)
-        hashes, out = words.hashes(), []
-        for a, b in zip(words.docs[:-1], words.docs[1:], strict=True):
-            x = grams(hashes[a:b], window)
-            out.append([{"at": i, "x": p, "y": q} for i, (p, q) in enumerate(zip(x.view(np.int64).tolist(), mix(x[::-1])[::-1].view(np.int64).tolist(), strict=True))])
-        return [pa.array(out, pa.list_(pa.struct([("at", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])))]
+        x = grams(words.hashes(), window)
+        at = np.flatnonzero(inside(words, window))
+        first = np.searchsorted(at, words.docs)
+        x, place = x[at], at - words.docs[:-1][words.doc_of()[at]]
+        y = mix(x ^ U64(0xD6E8FEB86659FD93)) + grams(words.hashes() * U64(0x2545F4914F6CDD1D), window)[at]  # 64 bits more
+        windows = pa.StructArray.from_arrays([pa.array(place), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["at", "x", "y"])
+        return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), windows)]
 
     windows = map_texts(pieces, each, "windows array<struct<at:bigint,x:bigint,y:bigint>>", ["phrase", "piece_id", "n"], "piece")
     windows = written(windows.select("phrase", "piece_id", "n", F.inline("windows")), free=False)
-    recurs = written(windows.groupBy("x", "y").agg(F.sum("n").alias("n")).filter("n > 1").select("x", "y"), free=False)
-    spans = F.collect_set(F.struct(F.col("at").alias("a"), (F.col("at") + window).alias("b")))
-    return windows.join(recurs, ["x", "y"]).groupBy("phrase", "piece_id").agg(spans.alias("spans"))
+    recurs = windows.groupBy("x", "y").agg(F.sum("n").alias("n")).filter("n > 1").select("x", "y")
+    return windows.join(recurs, ["x", "y"]).groupBy("phrase", "piece_id").agg(F.collect_list("at").alias("known"))
 
 
 def removed_spans(docs: DataFrame, window: int, phrase: int, hot: int = HOT, automaton_bytes: int = AUTOMATON) -> DataFrame:
     """(row, doc_id, spans): of documents (row, doc_id, _text), the spans of words that lie in recurring windows."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     sketch = written(_candidates(docs.withColumnRenamed("_text", "text"), window, phrase))
     uses = sketch.select("row", F.explode("phrases").alias("phrase"))
     twice = written(uses.groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1").select("phrase"))
     wanted = uses.join(twice, "phrase").groupBy("row").agg(F.collect_set("phrase").alias("wanted"))
     pieces = written(_pieces(docs.join(wanted, "row"), window, phrase))
+    discard(sketch, twice)
     kinds = written(pieces.groupBy("phrase", "piece_id", "piece").agg(F.count("*").alias("n")))
-    many = written(kinds.groupBy("phrase").agg(F.count("*").alias("_kinds")).filter(F.col("_kinds") > hot).select("phrase"))
-    some = not many.isEmpty()
-    cold = kinds.join(many, "phrase", "left_anti") if some else kinds
-    located = _located(cold.repartition("phrase").sortWithinPartitions("phrase"), window, automaton_bytes)
-    if some:
-        located = located.unionByName(_counted(kinds.join(many, "phrase", "left_semi"), window))
-    located = written(located)
+    many = written(kinds.groupBy("phrase").agg(F.ceil(F.count("*") / F.lit(hot)).cast("int").alias("shards")).filter("shards > 1"))
+    hot_kinds = kinds.join(many, "phrase")
+    known = _known(hot_kinds.select("phrase", "piece_id", "piece", "n"), window)
+    dealt = hot_kinds.withColumn("part", F.pmod(F.xxhash64("piece_id"), F.col("shards")).cast("int")).join(known, ["phrase", "piece_id"], "left")
+    dealt = dealt.select("phrase", "part", "piece_id", "piece", "n", F.coalesce("known", F.array().cast("array<bigint>")).alias("known"))
+    cold = kinds.join(many, "phrase", "left_anti").select("phrase", F.lit(0).alias("part"), "piece_id", "piece", "n", F.lit(None).cast("array<bigint>").alias("known"))
+    shards = cold.unionByName(dealt).repartition(tasks(spark), "phrase", "part").sortWithinPartitions("phrase", "part")
+    located = written(_located(shards, window, automaton_bytes))
+    discard(kinds)
     spans = pieces.select("phrase", "piece_id", "row", "doc_id", "start").join(located, ["phrase", "piece_id"])
     spans = spans.select("row", "doc_id", "start", F.inline("spans")).select("row", "doc_id", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
-    return written(spans.groupBy("row", "doc_id").agg(F.collect_set("span").alias("spans")))
+    spans = written(spans.groupBy("row", "doc_id").agg(F.collect_set("span").alias("spans")))
+    discard(pieces, located)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hot: int = HOT, automaton_bytes: int = AUTOMATON, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
