@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm._rank import running_total
-from meridia.llm._store import written
+from meridia.llm._store import fresh, tasks, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Cells in which points are looked up, and slots that are ranked together.
@@ -103,65 +103,79 @@ def schedule(goals: DataFrame, block_words: int) -> DataFrame:
     return ranked.select("slot", "key", "rank", (F.col("rank") % F.col("per_epoch")).alias("block"), F.when(last, cut).otherwise(F.lit(block_words)).cast("long").alias("words"))
 
 
-def mix(docs: DataFrame, block_words: int = 8192, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(row, doc_id, text_hash, size, source_size, target, taken, starts): how many words the mix takes of each document.
-
-    taken counts repeats and never exceeds three times the size; starts is how often the document's first word is taken.
+def _placed(docs: DataFrame, block_words: int, doc_id: str, text: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents of sized(), the sources' targets, the slots, and the pieces (row, key, block, _head, _a, _b) that the
+    documents' words make of their blocks: words _a to _b of the block; _head tells whether the first one begins the document.
     """
     sizes = written(sized(docs, doc_id, text, source), free=False)
     goals = written(targets(sizes), free=False)
-    uses = schedule(goals, block_words).groupBy("key", "block").agg(
-        F.sum(F.when(F.col("words") == block_words, 1).otherwise(0)).alias("_full"),
-        F.max(F.when(F.col("words") < block_words, F.col("words")).otherwise(0)).alias("_cut"),
-    )
     placed = running_total(sizes.withColumn("_piece", F.substring("place", 1, 2)), "key", "_piece", ["place", "doc_id", "size", "row"], F.col("size"), "begin")
     end = F.col("begin") + F.col("size")
     pieces = placed.filter(F.col("size") > 0).select(
-        "row", "key", "begin", end.alias("end"), F.explode(F.sequence(F.floor(F.col("begin") / block_words), F.floor((end - 1) / block_words))).alias("block")
+        "row", "doc_id", "text_hash", "key", "begin", end.alias("end"), F.explode(F.sequence(F.floor(F.col("begin") / block_words), F.floor((end - 1) / block_words))).alias("block")
     )
     a, b = F.greatest("begin", F.col("block") * block_words), F.least("end", (F.col("block") + 1) * block_words)
-    pieces = pieces.select("row", "key", "block", (F.col("begin") == a).alias("_head"), (a - F.col("block") * block_words).alias("_a"), (b - F.col("block") * block_words).alias("_b"))
+    pieces = pieces.select("row", "doc_id", "text_hash", "key", "block", (F.col("begin") == a).alias("_head"), (a - F.col("block") * block_words).alias("_a"), (b - F.col("block") * block_words).alias("_b"))
+    return sizes, goals, schedule(goals, block_words), pieces
+
+
+def mix(docs: DataFrame, block_words: int = 8192, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(row, doc_id, text_hash, size, source_size, target, taken, first_slot): how many words the mix takes of each document.
+
+    taken counts repeats and never exceeds three times the size; first_slot is the first slot that takes a word of it.
+    """
+    sizes, goals, slots, pieces = _placed(docs, block_words, doc_id, text, source)
+    taken = F.least("_b", "words") - F.col("_a")
     got = (
-        pieces.join(uses, ["key", "block"])
+        pieces.join(slots.select("key", "block", "slot", "words"), ["key", "block"])
+        .filter(taken > 0)
         .groupBy("row")
-        .agg(
-            F.sum(F.col("_full") * (F.col("_b") - F.col("_a")) + F.greatest(F.lit(0), F.least("_b", "_cut") - F.col("_a"))).alias("taken"),
-            F.sum(F.when(F.col("_head"), F.col("_full") + F.when(F.col("_cut") > F.col("_a"), 1).otherwise(0)).otherwise(0)).alias("starts"),
-        )
+        .agg(F.sum(taken).alias("taken"), F.min("slot").alias("first_slot"))
     )
-    zero = F.lit(0).cast("long")
     return (
         sizes.join(goals.select("key", "source_size", "target"), "key")
         .join(got, "row", "left")
-        .select("row", "doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("starts", zero).alias("starts"))
+        .select("row", "doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot")
     )
 
 
 def mixed(docs: DataFrame, block_words: int = 8192, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself, with the documents' own columns: each whole document as often as its first word is taken.
+    """The mix itself, with the documents' own columns: each whole document as often as its first word is taken, in the order
+    of the slots that take it.
 
-    Rows that are equal in id and text share their number of copies.
+    Rows that are equal in id and text share their places; one of them stands for all.
     """
-    copies = mix(docs, block_words, doc_id, text, source).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sum("starts").alias("_copies"))
-    rows = docs.withColumn("_own", F.xxhash64(text))
-    one = Window.partitionBy(doc_id, "_own").orderBy(F.lit(1))
-    rows = rows.join(copies, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))).filter(F.col("_copies") > 0)
-    rows = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return rows.select(*[rows[c] for c in docs.columns])
+    _, _, slots, pieces = _placed(docs, block_words, doc_id, text, source)
+    own, one, at, slot = (fresh(docs, x) for x in ("own", "one", "at", "slot"))
+    heads = pieces.filter("_head").join(slots.select("key", "block", "slot", "words"), ["key", "block"]).filter(F.col("words") > F.col("_a"))
+    places = heads.select(F.xxhash64("doc_id", "text_hash").alias(own), F.col("slot").alias(slot), F.col("_a").alias(at))
+    once = Window.partitionBy(own).orderBy(F.lit(1))
+    rows = docs.withColumn(own, F.xxhash64(F.col(doc_id), F.xxhash64(text))).withColumn(one, F.row_number().over(once)).filter(F.col(one) == 1)
+    return rows.join(places, own).repartitionByRange(tasks(docs.sparkSession), slot, at, own).sortWithinPartitions(slot, at, own).drop(own, one, at, slot)
 
 
-#: The rows of mix() for a table `documents`; taken from closed forms instead of slots.
+#: The rows of mix() for a table `documents`: levels by trying each number of full sources, slots from the bits of their
+#: numbers, and what each slot takes of each document.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
-f AS (SELECT *, cap / weight AS fills, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-l AS (SELECT arg_min(level, fills) AS level FROM f WHERE fills >= level),
-g AS (SELECT source, source_size, least(cap::DOUBLE, l.level * weight) AS target FROM f, l),
-h AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS words FROM g),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY coalesce(md5(doc_id::VARCHAR), ''), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(a + size, words % source_size) - a) END)::BIGINT AS taken
-FROM p JOIN h ON p.source IS NOT DISTINCT FROM h.source
-"""
+t AS (SELECT w.cap / w.weight AS tried FROM w UNION SELECT 0),
+f AS (SELECT tried, (SELECT sum(source_size) FROM w) AS whole, sum(cap) FILTER (cap / weight <= tried) AS full_caps, sum(weight) FILTER (cap / weight > tried) AS open_weight FROM t, w GROUP BY tried),
+l AS (SELECT max(((whole - coalesce(full_caps, 0)) / open_weight)::DOUBLE) FILTER ((whole - coalesce(full_caps, 0)) / open_weight >= tried) AS level FROM f),
+g AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(l.level, 0) * weight) AS target, 3 * source_size AS most FROM w, l),
+h AS (SELECT *, least(round(target)::BIGINT, most) AS words FROM g),
+n AS (SELECT *, (source_size + BLOCK - 1) // BLOCK AS per_epoch, words % source_size AS rest, (words // source_size) * ((source_size + BLOCK - 1) // BLOCK) + (words % source_size + BLOCK - 1) // BLOCK AS slots FROM h WHERE words > 0),
+c AS (SELECT *, sum(slots) OVER (ORDER BY coalesce('=' || source, '')) AS upto, sum(slots) OVER () AS every FROM n),
+p AS (SELECT i, sum(((i >> k) & 1) / 2.0::DOUBLE ** (k + 1)) AS u FROM range(0, (SELECT coalesce(max(every), 0)::BIGINT FROM c)) r(i), range(0, 40) z(k) GROUP BY i),
+e AS (SELECT c.source, c.slots, c.per_epoch, c.rest, i AS slot, row_number() OVER (PARTITION BY c.source ORDER BY i) - 1 AS rank FROM p JOIN c ON u >= (upto - slots) / every AND u < upto / every),
+k AS (SELECT source, slots, per_epoch, rest, slot, rank FROM e WHERE rank < slots
+      UNION ALL SELECT c.source, c.slots, per_epoch, rest, every + r.rank, r.rank FROM c JOIN range(0, 1000000) r(rank) ON r.rank < slots
+      AND r.rank >= (SELECT count(*) FROM e WHERE e.source IS NOT DISTINCT FROM c.source)),
+b AS (SELECT source, slot, (rank % per_epoch) * BLOCK AS x, (rank % per_epoch) * BLOCK + CASE WHEN rank = slots - 1 AND rest % BLOCK > 0 THEN rest % BLOCK ELSE BLOCK END AS y FROM k),
+o AS (SELECT d.*, row_number() OVER () AS row, coalesce(sum(size) OVER (PARTITION BY source ORDER BY coalesce(md5(doc_id::VARCHAR), ''), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d)
+SELECT any_value(o.doc_id) AS doc_id, any_value(o.size) AS size, any_value(h.source_size) AS source_size, any_value(h.target) AS target,
+  coalesce(sum(least(a + size, y) - greatest(a, x)) FILTER (slot IS NOT NULL), 0)::BIGINT AS taken, min(slot)::BIGINT AS first_slot
+FROM o JOIN h ON o.source IS NOT DISTINCT FROM h.source LEFT JOIN b ON o.source IS NOT DISTINCT FROM b.source AND least(a + size, y) > greatest(a, x)
+GROUP BY o.row
+""".replace("BLOCK", "8192")

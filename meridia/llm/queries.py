@@ -13,8 +13,11 @@ from meridia.llm._store import shared, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: Where the public vocabularies are.
-TOKENIZERS = "/opt/tokenizers"
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The file of a public tokenizer."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def remainder(key: str, modulus: int, value: int) -> Column:
@@ -52,7 +55,7 @@ def op7_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_shards(table(spark, sf_dir, "documents"), shared(spark), f"{TOKENIZERS}/byte_bpe_50k.json")
+    manifest = token_files.write_shards(table(spark, sf_dir, "documents"), shared(spark), vocabulary())
     return token_files.read_shards(manifest)
 
 

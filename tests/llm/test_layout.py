@@ -20,7 +20,7 @@ from meridia.llm._store import shared
 from tests.llm import brute
 from tests.test_oracles import table
 
-TOKENIZER = f"{Q.TOKENIZERS}/byte_bpe_50k.json"
+TOKENIZER = Q.vocabulary()
 ODD = ["a b", "a   b", "x　y z", " ", "a b\n", "\n", " \n a", "a<|endoftext|> b", "x <|endoftext|> y", "don't we'll  it's", " a   b c d", "a\x1c b", "١٢ ٣"]
 
 
@@ -51,6 +51,15 @@ def test_token_files_round_trip(spark):
         assert len(whole) == shard.head["n_ids"] == shard.section("counts").sum()
 
 
+def test_token_files_of_empty_table_long_text_and_clashing_names(spark):
+    rows = [(i, "the same words again and again " * (20_000 if i == 1 else 2), "x", "y", -1) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string, _text string, start long")
+    read = lambda df: token_files.read_shards(token_files.write_shards(df, shared(spark), TOKENIZER)).orderBy("start").collect()
+    got = read(docs)
+    assert [r.doc_id for r in got] == [0, 1, 2, 3] and got[1].n_tokens > 100_000 and got[0].ids_crc32 == got[2].ids_crc32
+    assert read(docs.limit(0)) == []
+
+
 def test_repair_of_random_ids():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 50, 20_000):
@@ -62,6 +71,25 @@ def test_repair_of_random_ids():
         assert size[seq].sum() == n and (n < 20_000 or len(seq) < 0.55 * n)
 
 
+def test_repair_of_a_large_vocabulary():
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([np.tile([70_001, 69_999, 3], 400), rng.integers(0, 70_002, 500)]).astype(np.uint32)
+    for first in (70_002, 65_536, 65_400):
+        own = np.minimum(ids, first - 1)
+        seq, rules, after = token_files.compress(own, np.array([700, 1000]), first)
+        assert seq.dtype == np.uint32 and len(rules) and token_files.expand(seq, rules, after, first).tolist() == own.tolist()
+    with pytest.raises(ValueError, match="vocabulary"):
+        token_files.compress(ids, np.array([1700]), 50_257)
+
+
+def test_rules_stand_for_frequent_pairs():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 30, 20_000).astype(np.uint32)
+    _, rules, after = token_files.compress(ids, np.array([20_000]), 65_000)
+    seen = Counter(zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True))
+    assert all(seen[tuple(r)] >= token_files.FREQUENT for r in rules[: after[0]].tolist())
+
+
 def test_repair_goes_on_until_no_pair_is_frequent():
     rng = np.random.default_rng(1)
     passage = rng.integers(0, 50_000, 300)
@@ -101,11 +129,11 @@ def mixed_rows(n=400):
 def test_mix(spark, block):
     rows = mixed_rows()
     docs = spark.createDataFrame([(*r, -5) for r in rows], "doc_id long, text string, source string, size long")
-    got = mixing.mix(docs, block).select("doc_id", "size", "source_size", "target", "taken")
+    got = mixing.mix(docs, block).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
     con = duckdb.connect()
     documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "source": [r[2] for r in rows]})
     con.register("documents", documents)
-    want = con.sql(mixing.ORACLE)
+    want = con.sql(mixing.ORACLE.replace("8192", str(block)))
     assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
     assert sum(r.taken for r in got.collect()) == pytest.approx(sum(r.size for r in got.collect()), abs=6)
 
@@ -128,6 +156,18 @@ def test_mixed_repeats_whole_documents(spark):
     n = Counter(r.source for r in out.collect())
     assert out.columns == docs.columns and n["b"] == 30 and abs(n["a"] - 70) <= 1
     assert mixing.mixed(docs.limit(0)).collect() == []
+    sources = [r.source for r in out.collect()]
+    assert all(8 <= sources[i : i + 25].count("b") + 3 and sources[i : i + 25].count("a") > 12 for i in range(0, 75, 25))
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    names = ["_n", "_own", "_id", "_copies", "_hash", "row", "size", "key", "_one", "_slot"]
+    rows = [(k, t, "a", *(f"{c}{k}" for c in names)) for k, t in ((1, "w w w"), (2, "v v v"), (3, "u u u"), (3, "u u u"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    got = [tuple(r) for r in mixing.mixed(docs, 4).collect()]
+    assert Counter(got) == Counter({rows[0]: 1, rows[1]: 1, rows[2]: 2})
+    places = {r[0]: i for i, r in enumerate(got)}
+    assert len(places) == 3
 
 
 def test_van_der_corput(spark):
