@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meridia.llm import decontamination, mixing, near_duplicates, token_files, toxicity
 from meridia.llm._store import shared, table, written
-from meridia.llm.queries import TOKENIZERS, remainder
+from meridia.llm.queries import remainder, vocabulary
 
 #: The stages can't be told in SQL; tests hold them against brute force.
 ORACLE_SQL = None
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' places in the shards, as read back from them."""
-    manifest = token_files.write_shards(docs, shared(spark), f"{TOKENIZERS}/byte_bpe_50k.json")
+    manifest = token_files.write_shards(docs, shared(spark), vocabulary())
     return token_files.read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
