@@ -63,7 +63,7 @@ def op9_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 4, 2)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held_out))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_offending", "worst_sentence", "worst_score")
 
 
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ their beginnings, hashed; a document's score is the noisy-or of its sentences',
 labels: the weights are fitted by gradient descent on the likelihood of the documents' labels, so the loss reaches the
 sentences that explain them, and offending() tells which these are.
 
-The fit takes at most `most` labelled documents of each class, the first by a hash of their id; everything else covers all
-rows. Cases: null and empty texts have no sentence and score 0; null labels are not learnt from; an id that is labelled
+The fit takes at most `most` labelled documents of each class, the first by a hash of their id that have together at most
+`most_bytes` bytes of text; a longer document is not learnt from, but scored like all others. So what the driver gathers is
+bounded. Everything else covers all rows. Cases: null and empty texts have no sentence and score 0; null labels are not learnt from; an id that is labelled
 twice counts as toxic if one label says so; without documents of both classes the scores are the share of toxic labels;
 an empty table gives no rows.
 """
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm._store import written
@@ -25,8 +26,8 @@ from meridia.llm._text import TERM, U64, Words, filter_texts, map_texts, mix, wo
 
 #: Bits of a feature's number, and the lengths in bytes of the beginnings that are features; 0 is the whole term.
 BITS, BEGINNINGS = 20, (0, 4, 5, 6)
-#: Documents of each class that a fit takes.
-MOST = 3000
+#: Documents of each class that a fit takes, and bytes of their texts.
+MOST, MOST_BYTES = 3000, 16_000_000
 #: Features that a model has at most; those with most evidence.
 FEATURES = 8192
 _ENDS = np.zeros(256, bool)
@@ -86,19 +87,28 @@ def _sentence_scores(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray
 def document_scores(texts: pa.Array, model: Model) -> np.ndarray:
     words = words_of(texts, lower=True, solid=TERM)
     p, _, docs = _sentence_scores(words, model)
+    return _noisy_or(p, docs, words, model)
+
+
+def _noisy_or(p: np.ndarray, docs: np.ndarray, words: Words, model: Model) -> np.ndarray:
     scores = -np.expm1(_sums(np.log1p(-np.minimum(p, 1 - 1e-12)), docs))
     if not len(model.features):
         scores = np.full(len(docs) - 1, model.prior)
     return np.clip(np.where(words.counts > 0, scores, 0.0), 0.0, 1.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST) -> Model:
-    """Fits to at most `most` documents of each class among those that both tables have."""
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST, most_bytes: int = MOST_BYTES) -> Model:
+    """Fits to at most `most` documents of each class, of at most `most_bytes` bytes, among those that both tables have."""
     marked = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     seen = marked.agg(F.avg("_y")).first()[0] or 0.0
     order = F.xxhash64("_id", F.lit("sample")), F.col("_id")
     chosen = marked.filter("_y = 1").orderBy(*order).limit(most).unionByName(marked.filter("_y = 0").orderBy(*order).limit(most))
-    rows = written(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id"), free=False)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "_id")
+    rows = written(rows.withColumn("_hash", F.xxhash64("_id", F.lit("sample"))), free=False)
+    upto = Window.partitionBy("_y").orderBy("_hash", "_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # a class has at most `most` documents here
+    sizes = rows.select("_y", "_id", "_hash", F.octet_length("text").cast("long").alias("_size")).groupBy("_y", "_id", "_hash").agg(F.sum("_size").alias("_size"))
+    fits = sizes.withColumn("_all", F.sum("_size").over(upto)).filter(F.col("_all") <= most_bytes).select("_id")
+    rows = rows.join(F.broadcast(fits), "_id", "left_semi").select("_id", "_y", "text")
 
     def features(texts: pa.Array) -> list[pa.Array]:
         """The distinct features of each document."""
@@ -188,9 +198,28 @@ def fit(bags: pa.ListArray, sentences: np.ndarray, y: np.ndarray, prior: float,
     return theta
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of every row."""
-    return map_texts(docs, lambda texts: [pa.array(document_scores(texts, model))], "score double", [doc_id], text)
+def score(docs: DataFrame, model: Model, least: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, score, n_sentences, n_offending, worst_sentence, worst_score) of every row.
+
+    n_offending: sentences that score `least` or more; worst_sentence: the number, from 0, of the first of those that score
+    most, null where there is no sentence.
+    """
+
+    def each(texts: pa.Array) -> list[pa.Array]:
+        words = words_of(texts, lower=True, solid=TERM)
+        p, _, first = _sentence_scores(words, model)
+        sizes = np.diff(first)
+        some = np.flatnonzero(sizes)
+        worst, at = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
+        if len(some):
+            worst[some] = np.maximum.reduceat(p, first[some])
+            hit = np.flatnonzero(p == np.repeat(worst, sizes))
+            at[some] = hit[np.searchsorted(hit, first[some])] - first[some]
+        none = sizes == 0
+        return [pa.array(_noisy_or(p, first, words, model)), pa.array(sizes), pa.array(_sums((p >= least).astype(float), first).astype(np.int64)), pa.array(at, mask=none), pa.array(worst, mask=none)]
+
+    fields = "score double, n_sentences bigint, n_offending bigint, worst_sentence bigint, worst_score double"
+    return map_texts(docs, each, fields, [doc_id], text)
 
 
 def below(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:

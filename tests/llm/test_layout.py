@@ -189,6 +189,35 @@ def test_hash_tree(spark):
     assert 0.02 < sum(r.grown_shard == 24 for r in got) / len(rows) < 0.06
 
 
+def plain_shard(key, tree):
+    """The shard of a key, or null, by plain draws."""
+    import math
+
+    import xxhash
+
+    def pick(children):
+        def draw(name, weight):
+            h = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+            h = xxhash.xxh64_intdigest(name.encode(), h)
+            return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+        return min(children, key=lambda c: draw(c[0], c[1]))[2]
+
+    region = pick([(f"region {i}", sum(w for rack in r for _, w in rack), i) for i, r in enumerate(tree)])
+    rack = pick([(f"rack {region} {j}", sum(w for _, w in r), j) for j, r in enumerate(tree[region])])
+    return pick([(f"shard {s}", w, s) for s, w in tree[region][rack]])
+
+
+def test_hash_tree_against_plain_draws(spark):
+    keys = [*range(-5, 1500), 2**40, None]
+    docs = spark.createDataFrame([(k, "x" * (300_000 if k == 7 else 1)) for k in keys], "doc_id long, text string")
+    heavy = sharding.layout(31, weights={3: 2.5, 30: 0.2})
+    got = {r.doc_id: r for r in sharding.hash_tree(docs, sharding.layout(24), heavy).collect()}
+    assert all((got[k].shard, got[k].grown_shard) == (plain_shard(k, sharding.layout(24)), plain_shard(k, heavy)) for k in keys)
+    assert got[7].size == 300_008
+    assert sharding.hash_tree(docs.limit(0), sharding.layout(24)).collect() == []
+
+
 def test_weights_move_only_what_they_touch(spark):
     ids = spark.range(4000)
     heavy = sharding.layout(24, weights={5: 3.0})

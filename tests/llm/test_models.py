@@ -113,6 +113,49 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert kept.columns == rows.columns and kept.count() == sum(s < 0.3 for s in scores.values())
 
 
+def test_noisy_or_against_plain_sentences(spark):
+    """Every score, and the worst sentence, from the model's weights by plain loops."""
+    import re
+
+    import numpy as np
+
+    rng = random.Random(11)
+    docs, labels = toxic_world(rng, 400)
+    docs += [(5000, None), (5001, ""), (5002, " .!? "), (5003, "vilex " * 3000 + "."), (5004, "vilex. vilex"), (5005, "VILEX é"), (None, "gruntz"), (5006, ". ".join(text(rng, 9) for _ in range(30_000)))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(rows, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    number = {}
+
+    def terms(sentence):
+        for t in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", sentence.translate(brute.LOWER)):
+            if t not in number:
+                number[t] = toxicity._features(toxicity.words_of(pa.array([t]), lower=True, solid=toxicity.TERM))[:, 0].tolist()
+            yield from number[t]
+
+    for r in toxicity.score(rows, model).collect():
+        body = next(t or "" for k, t in docs if k == r.doc_id)
+        sentences = [s for s in re.split(r"[.!?\n]", body) if re.search(r"[0-9A-Za-z\u0080-\U0010ffff]", s)]
+        p = [1 / (1 + math.exp(-max(-50, min(50, sum(weight.get(f, 0.0) for f in terms(s)) + model.bias)))) for s in sentences]
+        assert r.n_sentences == len(p) and r.n_offending == sum(x >= 0.3 for x in p)
+        assert r.score == pytest.approx(1 - math.exp(sum(math.log1p(-min(x, 1 - 1e-12)) for x in p)), abs=1e-6)
+        if p:
+            assert r.worst_score == pytest.approx(max(p), abs=1e-9) and p[r.worst_sentence] == pytest.approx(max(p), abs=1e-9)
+        else:
+            assert r.worst_sentence is None
+    assert np.all(np.diff(model.features) > 0)
+
+
+def test_sample_of_toxicity_is_bounded_in_bytes(spark):
+    rng = random.Random(12)
+    docs, labels = toxic_world(rng, 300)
+    docs.append((9000, "vilex " * 50_000))
+    rows, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (9000, 0)], "doc_id long, toxic int")
+    model = toxicity.learn(rows, marks, most_bytes=60_000)
+    assert {r.doc_id: r.score for r in toxicity.score(rows, model).collect()}[9000] > 0.5
+    assert not len(toxicity.learn(rows, marks, most_bytes=10).features)
+
+
 def test_toxicity_without_a_class(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "")], "doc_id long, text string")
     marks = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
@@ -186,6 +229,32 @@ def test_query_interpolates_trigrams(spark, monkeypatch):
     assert learnt[0].shape == (interpolation.BUCKETS, 4)
 
 
+def test_weights_are_those_of_plain_em(spark, monkeypatch):
+    """EM over every training token, each deleted from the counts in turn, instead of a histogram."""
+    import numpy as np
+
+    rng = random.Random(13)
+    rows = [(i, " ".join(FILL[min(int(rng.expovariate(0.02)), 400)] for _ in range(150)), i % 7 == 2) for i in range(60)]
+    learnt = []
+    real = interpolation.learn_weights
+    monkeypatch.setattr(interpolation, "learn_weights", lambda *a: learnt.append(real(*a)) or learnt[-1])
+    interpolation.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), F.col("held"), 2).count()
+    texts = [[*t.split(), None] for _, t, h in rows if not h]
+    one, two = Counter(x for t in texts for x in t), Counter(p for t in texts for p in zip([0, *t[:-1]], t, strict=True))
+    n, begun, uniform = sum(one.values()), len(texts), 1 / (len(one) + 1)
+    by = {}
+    for t in texts:
+        for a, b in zip([0, *t[:-1]], t, strict=True):
+            context = (begun if a == 0 else one[a]) - 1
+            by.setdefault(int(math.log2(context + 1)), []).append((uniform, (one[b] - 1) / (n - 1), (two[a, b] - 1) / context if context else 0.0))
+    for bucket, tokens in by.items():
+        p, w = np.array(tokens), np.full(3, 1 / 3)
+        for _ in range(200):
+            share = p * w
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert np.abs(w - learnt[0][bucket]).max() < 0.03
+
+
 def test_em_finds_the_mixture():
     import numpy as np
 
