@@ -2,8 +2,8 @@
 
 Terms are lower-cased runs of letters and digits. Documents join the test items on hashes of shared runs of `least` terms,
 the seeds. For a document and an item that share seeds, the longest run of equal terms that no tile has marked yet, in
-both, becomes a tile, and so on until none of `least` terms is left: a running Karp-Rabin hash over the item's and the
-document's terms proposes runs, and the terms themselves confirm them. Tiles may stand in any order, so reordered passages
+both, becomes a tile, and so on until none of `least` terms is left: running Karp-Rabin hashes over the unmarked terms of
+the item and of the document's seeds propose runs, at falling lengths, and the terms themselves confirm them. Tiles may stand in any order, so reordered passages
 are caught. A document is contaminated by an item if the tiles cover at least `share` of the item's terms.
 
 The items are the stated query set: they are read in blocks of at most BLOCK terms, and each block, of which the size is so
@@ -15,6 +15,7 @@ to one tile only; repeated items are items of their own; without documents or it
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +32,8 @@ from meridia.llm._text import TERM, U64, Words, filter_texts, grams, inside, par
 LEAST, SHARE = 5, 0.8
 #: Terms of the items that are sent at once, and bits of the table that rules most of a document's runs out.
 BLOCK, BITS = 1_000_000, 22
+#: The first length of matches that is searched, and base and modulus of running hashes.
+FIRST, BASE, PRIME = 20, 0x9E3779B97F4A7, (1 << 61) - 1
 
 
 @dataclass
@@ -78,48 +81,88 @@ def blocks(items: DataFrame, item_id: str, text: str, least: int, most: int = BL
         yield index(ids, pa.array(texts, pa.string()), least)
 
 
+class _Hashes:
+    """Running Karp-Rabin hashes of a row of terms' numbers."""
+
+    def __init__(self, codes: list[int]) -> None:
+        self.upto = [0]
+        for c in codes:
+            self.upto.append((self.upto[-1] * BASE + c + 2) % PRIME)
+
+    def windows(self, free: list[bool], length: int) -> Iterator[tuple[int, int]]:
+        """(place, hash) of each window whose terms are all free."""
+        top, run = pow(BASE, length, PRIME), 0
+        for i, ok in enumerate(free):
+            run = run + 1 if ok else 0
+            if run >= length:
+                yield i + 1 - length, (self.upto[i + 1] - self.upto[i + 1 - length] * top) % PRIME
+
+
 def tiles(item: list[bytes], doc: Words, offset: int, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in the item, place in the document, terms), longest first; ties go to the first in the document.
 
-    seeds: (place in the document, place in the item) of equal hashes. Runs are seeds in a row on one diagonal. A run that
-    has lost terms to a tile is cut, and its parts wait in the queue of their own length.
+    seeds: (place in the document, place in the item) of equal hashes; every common run of `least` terms consists of seeds, so
+    only terms that seeds cover are searched. A pass hashes all windows of some length that have no marked term; equal ones
+    are confirmed and grown to the longest match. If one is over twice as long, the pass is begun again at its length; else
+    the matches wait in a queue by their length, where one that has lost terms to a tile is cut. Then the length is halved,
+    down to `least`.
     """
-    diagonals = defaultdict(list)
-    for d, i in seeds:
-        if all(item[i + k] == doc.word(offset + d + k) for k in range(least)):  # equal hashes are confirmed
-            diagonals[d - i].append(d)
-    waiting = defaultdict(list)
-    for shift, places in diagonals.items():
-        places.sort()
-        begin = last = places[0]
-        for d in [*places[1:], None]:
-            if d != last + 1 if d is not None else True:
-                waiting[last - begin + least].append((begin, begin - shift))
-                begin = d
-            last = d
-    marked_doc, marked_item, out = set(), set(), []
-    length = max(waiting, default=0)
-    while length >= least:
-        for d, i in sorted(waiting.pop(length, [])):
-            free = [d + k not in marked_doc and i + k not in marked_item for k in range(length)]
+    places = sorted({d + k for d, _ in seeds for k in range(least)})
+    number = {t: n for n, t in enumerate(dict.fromkeys(item))}
+    item_codes = [number[t] for t in item]
+    doc_codes, at = [], []  # runs of covered places, with a term of no item between them
+    for p in places:
+        if at and p != at[-1] + 1:
+            doc_codes.append(-1)
+            at.append(at[-1] + 1)
+        doc_codes.append(number.get(doc.word(offset + p), -1))
+        at.append(p)
+    item_free, doc_free = [True] * len(item), [c >= 0 for c in doc_codes]
+    item_hashes, doc_hashes = _Hashes(item_codes), _Hashes(doc_codes)
+
+    def fits(d: int, i: int) -> bool:
+        return 0 <= d < len(doc_codes) and 0 <= i < len(item) and doc_free[d] and item_free[i] and doc_codes[d] == item_codes[i]
+
+    def found(length: int) -> list[tuple[int, int, int]]:
+        """(-terms, place in the document, place in the item) of the longest matches of at least so many terms."""
+        have = defaultdict(list)
+        for i, h in item_hashes.windows(item_free, length):
+            have[h].append(i)
+        out = []
+        for d, h in doc_hashes.windows(doc_free, length):
+            for i in have.get(h, ()):
+                if fits(d - 1, i - 1):
+                    continue  # it began earlier
+                k = 0
+                while fits(d + k, i + k):
+                    k += 1
+                if k >= length:
+                    out.append((-k, d, i))
+        return out
+
+    out, length = [], max(least, FIRST)
+    while True:
+        waiting = found(length)
+        if waiting and -min(waiting)[0] > 2 * length:
+            length = -min(waiting)[0]
+            continue
+        heapq.heapify(waiting)
+        while waiting:
+            size, d, i = heapq.heappop(waiting)
+            free = [doc_free[d + k] and item_free[i + k] for k in range(-size)]
             if all(free):
-                out.append((i, d, length))
-                marked_doc.update(range(d, d + length))
-                marked_item.update(range(i, i + length))
+                out.append((i, at[d], -size))
+                doc_free[d : d - size] = item_free[i : i - size] = [False] * -size
                 continue
-            k = 0
-            while k < length:  # what is left of the run
-                if not free[k]:
-                    k += 1
-                    continue
-                e = k
-                while e < length and free[e]:
-                    e += 1
-                if e - k >= least:
-                    waiting[e - k].append((d + k, i + k))
-                k = e
-        length = max((x for x in waiting if waiting[x]), default=0)
-    return out
+            begin = 0
+            for k in range(-size + 1):  # what is left of it
+                if k == -size or not free[k]:
+                    if k - begin >= length:
+                        heapq.heappush(waiting, (begin - k, d + begin, i + begin))
+                    begin = k + 1
+        if length == least:
+            return out
+        length = max(least, length // 2)
 
 
 def matches(texts: pa.Array, items: Items, table: np.ndarray, least: int, share: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]], int]]:

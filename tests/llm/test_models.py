@@ -75,6 +75,21 @@ def test_tiles_against_plain_search():
         assert (found[0][3] if found else 0) == brute_cover(item, doc)
 
 
+def test_long_tiles_against_plain_search():
+    """Matches of more than twice the first length, cut and reordered passages, and terms that repeat."""
+    rng = random.Random(21)
+    for _ in range(15):
+        item = [rng.choice(FILL[:60]) for _ in range(rng.randrange(90, 160))]
+        cuts = sorted(rng.sample(range(len(item)), 4))
+        pieces = [item[a:b] for a, b in zip([0, *cuts], [*cuts, len(item)], strict=True)]
+        rng.shuffle(pieces)
+        doc = [w for p in pieces for w in [*p, *(rng.choice(FILL[:60]) for _ in range(rng.randrange(3)))]] + item[20:80]
+        found = list(decontamination.matches(pa.array([" ".join(doc)]), x := decontamination.index([0], pa.array([" ".join(item)]), 5), x.table(), 5, 0.0))
+        assert found[0][3] == brute_cover(item, doc)
+        marked = [p for i, d, k in found[0][2] for p in zip(range(i, i + k), range(d, d + k), strict=True)]
+        assert all(item[i] == doc[d] for i, d in marked) and len({i for i, _ in marked}) == len({d for _, d in marked}) == len(marked)
+
+
 def test_blocks_of_items(spark):
     rng = random.Random(3)
     items = [(i, text(rng, 30)) for i in range(20)]
