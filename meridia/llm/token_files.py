@@ -153,8 +153,8 @@ def symbol_type(first: int) -> type:
 
 
 def _cells(pairs: np.ndarray) -> np.ndarray:
-    folded = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (folded >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    kind, bits = pairs.dtype.type, 8 * pairs.dtype.itemsize
+    return (pairs * kind(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> kind(bits - CELL_BITS)
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -163,7 +163,8 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FR
     Rounds go on until no pair occurs `frequent` times or symbols run out. A round counts all pairs exactly and gives the
     most frequent ones up to half of the free symbols, LEAST at least, so that symbols are left for the pairs of its rules.
     A pair of which others in the round leave fewer than PAYS places, or whose cell of the lookup is taken, waits for the
-    next one; as non-overlapping places are at least half of all, each round makes a rule.
+    next one; as non-overlapping places are at least half of all, each round makes a rule. Only pairs with a symbol of the
+    last round can have become frequent, so a round looks at these alone unless pairs wait.
     """
     kind = symbol_type(first)
     if len(ids) and int(ids.max()) >= first:
@@ -176,16 +177,21 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FR
     last[np.cumsum(counts)[counts > 0] - 1] = True
     none = wide(np.iinfo(wide).max)  # no pair: the last symbol is free while there are rounds
     rules, after, made, pays = [], [], 0, max(1, min(PAYS, frequent // 2))
-    rule_of = np.full(1 << CELL_BITS, -1, np.int32)
+    rule_of, taken = np.zeros(1 << CELL_BITS, np.int32), np.zeros(1 << CELL_BITS, bool)
+    where = None  # the places to look at, or all
     while (free := limit - first - made) > 0 and len(seq) > 1:
-        keys = (seq[:-1] << shift) | seq[1:]
-        keys[last[:-1]] = none
+        if where is None:
+            keys = (seq[:-1] << shift) | seq[1:]
+            keys[last[:-1]] = none
+        else:
+            keys = (seq[where] << shift) | seq[where + 1]
         ranked = np.sort(keys)
         ranked = ranked[: np.searchsorted(ranked, none)]
         same = np.flatnonzero(ranked[frequent - 1 :] == ranked[: max(0, len(ranked) - frequent + 1)])
         if not len(same):
             break
         begin = np.flatnonzero(np.concatenate([[True], ranked[same[1:]] != ranked[same[:-1]]]))
+        waiting = len(begin)
         pairs, n = ranked[same[begin]], np.diff(np.append(begin, len(same)))
         most = min(free, max(free // 2, LEAST))
         if most < len(pairs):
@@ -193,16 +199,20 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FR
             pairs, n = pairs[chosen], n[chosen]
         pairs = pairs[np.argsort(n, kind="stable")]  # of pairs with one cell the most frequent one has it
         cell = _cells(pairs)
-        rule_of[cell] = np.arange(len(pairs))
-        rule = rule_of[_cells(keys)]
-        rule_of[cell] = -1
-        at = np.flatnonzero(rule >= 0)
-        at = at[pairs[rule[at]] == keys[at]]
+        rule_of[cell], taken[cell] = np.arange(len(pairs)), True
+        cells = _cells(keys)
+        at = np.flatnonzero(taken[cells])
+        rule = rule_of[cells[at]]
+        taken[cell] = False
+        same = pairs[rule] == keys[at]
+        at, rule = at[same], rule[same]
+        if where is not None:
+            at = where[at]
         begins = np.ones(len(at), bool)
         begins[1:] = at[1:] != at[:-1] + 1
         run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]  # of overlapping pairs, every other one from the left
-        rule = rule[at]
+        chosen = (np.arange(len(at)) - run) % 2 == 0  # of overlapping pairs, every other one from the left
+        at, rule = at[chosen], rule[chosen]
         kept = np.bincount(rule, minlength=len(pairs)) >= pays
         at, rule, pairs = at[kept[rule]], (np.cumsum(kept) - 1)[rule[kept[rule]]], pairs[kept]
         seq[at] = first + made + rule
@@ -210,6 +220,10 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, frequent: int = FR
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
+        where = None
+        if len(pairs) == waiting:
+            new = seq >= first + made
+            where = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
         rules.append(np.stack([(pairs >> shift).astype(kind), (pairs & wide(np.iinfo(kind).max)).astype(kind)], axis=1))
         made += len(pairs)
         after.append(made)
