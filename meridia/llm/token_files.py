@@ -22,7 +22,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,8 +42,21 @@ FREQUENT, PAYS, LEAST = 16, 5, 512
 #: Pieces of text whose ids a worker remembers; it forgets all when they are more.
 REMEMBERED = 2_000_000
 CELL_BITS = 20
-#: White space other than ASCII's.
-_OTHER_SPACE = re.compile(rb"[\x1C-\x1F]|\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80")
+#: Bytes that begin white space other than the six characters of SPACES.
+_ODD = np.zeros(256, bool)
+_ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _other_spaces(data: np.ndarray) -> np.ndarray:
+    """Where white space other than 0x20 and 0x09-0x0D begins: U+001C-1F, 85, A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000."""
+    at = np.flatnonzero(_ODD[data])
+    if not len(at):
+        return at
+    a, b, c = (data[np.minimum(at + k, len(data) - 1)] for k in range(3))
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    three = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return at[(a < 0x20) | two | general | three]
 
 
 class Encoder:
@@ -111,8 +123,7 @@ class Encoder:
         cut = np.zeros(n, bool)
         if self.split:
             cut[1:-1] = (data[1:-1] == 0x20) & ~space[:-2] & ~space[2:]
-            odd = np.array([m.start() for m in _OTHER_SPACE.finditer(data.tobytes())], np.int64)
-            for d in np.unique(np.searchsorted(bounds, odd, "right") - 1):
+            for d in np.unique(np.searchsorted(bounds, _other_spaces(data), "right") - 1):
                 cut[bounds[d] : bounds[d + 1]] = False
             cut[bounds[1:-1][bounds[1:-1] > 0] - 1] = False  # a space that ends a text
         cut[bounds[:-1][filled]] = True
@@ -123,7 +134,8 @@ class Encoder:
         new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes) if len(self.hashes) else np.arange(len(hashes))
         if len(new):
             raw, of = data.tobytes(), first[new]
-            spaces = np.concatenate([[0], np.cumsum(space)])
+            spaces = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
+            np.cumsum(space, out=spaces[1:])
             a, b = start[of], end[of]
             # no white space but perhaps one leading 0x20 before something else
             plain = (spaces[b] == spaces[a + 1]) & ((data[a] == 0x20) & (b > a + 1) | ~space[a])
@@ -234,12 +246,15 @@ def expand(seq: np.ndarray, rules: np.ndarray, after: list[int], first: int) ->
     """The ids that symbols stand for; the rules of the last round go first."""
     out = seq.astype(np.uint32)
     for begin in reversed([0, *after[:-1]] if after else []):
-        rule = out >= first + begin
-        size = 1 + rule.astype(np.int64)
-        at = (np.cumsum(size) - size)[rule]
-        pair = rules[out[rule] - first]
-        out = np.repeat(out, size)
-        out[at], out[at + 1] = pair[:, 0], pair[:, 1]
+        at = np.flatnonzero(out >= first + begin)
+        pair = rules[out[at] - first]
+        second = at + np.arange(1, len(at) + 1)
+        stay = np.ones(len(out) + len(at), bool)
+        stay[second] = False
+        longer = np.empty(len(stay), np.uint32)
+        longer[stay] = out
+        longer[second - 1], longer[second] = pair[:, 0], pair[:, 1]
+        out = longer
     return out
 
 

@@ -60,6 +60,14 @@ def test_token_files_of_empty_table_long_text_and_clashing_names(spark):
     assert read(docs.limit(0)) == []
 
 
+def test_other_white_space():
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace() and chr(c) not in " \t\n\x0b\x0c\r"]
+    text = "".join(f"a{chr(c)}" for c in [*range(0x20, 0x300), *range(0x1600, 0x1700), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010)]) + "".join(spaces)
+    raw = text.encode()
+    want = [len(text[:i].encode()) for i, c in enumerate(text) if c in spaces]
+    assert token_files._other_spaces(np.frombuffer(raw, np.uint8)).tolist() == want
+
+
 def test_repair_of_random_ids():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 50, 20_000):
