@@ -6,17 +6,52 @@ without a positive are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.functions import vec
 
+def _packed(vectors: DataFrame, rows: int) -> DataFrame:
+    """(ids, matrix): blocks of at most `rows` unit vectors of (id, vec); vectors of one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+                some = part.filter(part.column("vec").is_valid())
+                if some.num_rows:
+                    x = some.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, -1)
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column("id"))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return vectors.select("id", "vec").mapInArrow(run, f"ids array<{kind}>, matrix binary")
 
-def cosine_scores(queries: DataFrame, gallery: DataFrame, query_id: str = "q", tile_id: str = "t", vector: str = "vec") -> DataFrame:
-    """Every query against every gallery vector, exactly. The queries are the stated set; both sides stay distributed."""
-    left = queries.select(F.col(query_id).alias("q"), vec.unit(F.col(vector)).alias("_a"))
-    right = gallery.select(F.col(tile_id).alias("t"), vec.unit(F.col(vector)).alias("_b"))
-    return right.crossJoin(left).select("q", "t", vec.dot(F.col("_a"), F.col("_b")).alias("s"))
+
+def cosine_scores(queries: DataFrame, gallery: DataFrame, query_id: str = "q", tile_id: str = "t", vector: str = "vec", block: int = 2048) -> DataFrame:
+    """(q, t, s): every query against every gallery vector, exactly. Null vectors are left out.
+
+    The queries are the stated set. Both sides are packed into blocks of vectors; blocks meet as rows, and each pair of blocks
+    is one product of matrices, so no row of numbers is joined and both sides stay distributed.
+    """
+    left = _packed(queries.select(F.col(query_id).alias("id"), F.col(vector).alias("vec")), block)
+    right = _packed(gallery.select(F.col(tile_id).alias("id"), F.col(vector).alias("vec")), block)
+    pairs = right.select(F.col("ids").alias("t"), F.col("matrix").alias("b")).crossJoin(left.select(F.col("ids").alias("q"), F.col("matrix").alias("a")))
+    kinds = [df.schema["ids"].dataType.elementType.simpleString() for df in (left, right)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, t = (batch.column(c).slice(i, 1).flatten() for c in ("q", "t"))
+                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(n, -1) for c, n in (("a", len(q)), ("b", len(t))))
+                s = a @ b.T
+                yield pa.RecordBatch.from_arrays([q.take(pa.array(np.repeat(np.arange(len(q)), len(t)))), t.take(pa.array(np.tile(np.arange(len(t)), len(q)))), pa.array(s.ravel())], names=["q", "t", "s"])
+
+    return pairs.mapInArrow(run, f"q {kinds[0]}, t {kinds[1]}, s double")
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -75,77 +110,74 @@ def capped(candidates: DataFrame, query: str, group: str, per_group: int, budget
 
 
 def greedy_capped(candidates: DataFrame, query: str, budget: int, per_position: int, per_cell: int, min_cells: int) -> DataFrame:
-    """(query, item) chosen best first: at most per_position of a position; a crop all of whose cells are full is passed
-    over once min_cells cells are in use. What is chosen depends on the order, so each query is walked by itself.
+    """(query, item): the best candidates first, under caps.
 
-    candidates: query, item, score, position, cells (an array).
+    A candidate is barred while its position has per_position choices, and also while all its cells have per_cell choices and
+    min_cells cells are in use. Both only grow, so what is barred stays barred, and the next choice is always the first
+    candidate behind the last one that isn't. candidates: query, item, score, position, cells (an array); a candidate without
+    cells counts as one whose cells are full. A query's candidates are one group.
     """
-    import pandas as pd
-
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        positions: dict[object, int] = {}
-        cells: dict[object, int] = {}
-        chosen = []
-        for row in pdf.sort_values(["score", "item"], ascending=[False, True]).itertuples():
-            if len(chosen) == budget:
+    def select(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = pdf.sort_values(["score", "item"], ascending=[False, True], ignore_index=True)
+        position = pd.factorize(best["position"])[0]
+        sizes = best["cells"].map(len).to_numpy()
+        flat = pd.factorize(best["cells"].explode().dropna())[0]
+        at_position = np.zeros(position.max(initial=-1) + 1, np.int64)
+        in_cell = np.zeros(flat.max(initial=-1) + 1, np.int64)
+        begin = np.cumsum(sizes) - sizes
+        chosen: list[int] = []
+        while len(chosen) < budget:
+            barred = at_position[position] >= per_position
+            if (in_cell > 0).sum() >= min_cells:
+                room = np.add.reduceat(np.append(in_cell[flat] < per_cell, False), begin) if len(begin) else begin
+                barred |= np.where(sizes > 0, room, 0) == 0
+            free = np.flatnonzero(~barred[chosen[-1] + 1 if chosen else 0 :])
+            if not len(free):
                 break
-            full = all(cells.get(c, 0) >= per_cell for c in row.cells)
-            if positions.get(row.position, 0) >= per_position or (full and len(cells) >= min_cells):
-                continue
-            chosen.append(row.item)
-            positions[row.position] = positions.get(row.position, 0) + 1
-            for c in row.cells:
-                cells[c] = cells.get(c, 0) + 1
-        return pd.DataFrame({query: [pdf[query].iloc[0]] * len(chosen), "item": chosen})
+            chosen.append(int(free[0]) + (chosen[-1] + 1 if chosen else 0))
+            at_position[position[chosen[-1]]] += 1
+            np.add.at(in_cell, flat[begin[chosen[-1]] : begin[chosen[-1]] + sizes[chosen[-1]]], 1)
+        return pd.DataFrame({query: best[query].iloc[chosen].to_numpy(), "item": best["item"].iloc[chosen].to_numpy()})
 
-    return candidates.groupBy(query).applyInPandas(walk, f"{query} {kinds[query]}, item {kinds['item']}")
+    return candidates.groupBy(query).applyInPandas(select, f"{query} {kinds[query]}, item {kinds['item']}")
 
 
 def planned_batches(pairs: DataFrame, neighbours: DataFrame, shard: str, size: int, seed: int = 0) -> DataFrame:
     """(shard, batch, place, pair): batches of a seed pair, up to size // 2 - 1 of its neighbours, and rarest others.
 
-    No query and no tile stands twice in a batch. pairs: shard, pair, q, t. neighbours: pair, rank, nbr. Shards are planned
-    apart, each from its own pairs; the shuffle is a hash of (seed, batch, pair).
+    Seeds are the pairs that no batch has yet, by number. A batch is filled by taking the first of an order and striking out
+    all that share its query or its tile, so neither stands twice: first the seed's neighbours in their order, then all
+    pairs, the least used first and in random order among these. pairs: shard, pair, q, t. neighbours: pair, rank, nbr.
+    Shards are planned apart, each from its own pairs; one seed gives the same batches again.
     """
-    import hashlib
-
-    import pandas as pd
-
     known = neighbours.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr"))).alias("near"))
     rows = pairs.join(known, "pair", "left").select(shard, "pair", "q", "t", F.transform("near", lambda x: x["nbr"]).alias("near"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        of = {int(r.pair): (r.q, r.t, [] if r.near is None else list(r.near)) for r in pdf.itertuples()}
-        used = dict.fromkeys(of, 0)
-        waiting, out, batch = sorted(of), [], 0
-        while waiting:
-            shuffled = sorted(of, key=lambda p: (used[p], hashlib.sha256(f"{seed}|{batch}|{p}".encode()).digest()))
-            chosen: list[int] = []
-            queries, tiles = set(), set()
-
-            def add(p: int) -> bool:
-                if p not in of or p in chosen or of[p][0] in queries or of[p][1] in tiles:
-                    return False
-                chosen.append(p)
-                queries.add(of[p][0])
-                tiles.add(of[p][1])
-                return True
-
-            add(waiting[0])
-            want = 1 + max(0, size // 2 - 1)
-            for p in of[waiting[0]][2]:
-                if len(chosen) < want:
-                    add(int(p))
-            for p in shuffled:
-                if len(chosen) < size:
-                    add(p)
-            for p in chosen:
-                used[p] += 1
-            out += [(pdf[shard].iloc[0], batch, i, p) for i, p in enumerate(chosen)]
-            waiting, batch = [p for p in waiting if not used[p]], batch + 1
-        return pd.DataFrame(out, columns=[shard, "batch", "place", "pair"])
+        table = pdf.sort_values("pair", ignore_index=True)
+        number = pd.Index(table["pair"])
+        same = np.stack([pd.factorize(table[c])[0] for c in ("q", "t")])
+        near = [number.get_indexer([] if x is None else x) for x in table["near"]]
+        uses, random = np.zeros(len(table), np.int64), np.random.default_rng(seed)
+        parts = []
+
+        def take(order: np.ndarray, most: int, batch: np.ndarray) -> np.ndarray:
+            order = order[(order >= 0) & ~(np.isin(same[0][order], same[0][batch]) | np.isin(same[1][order], same[1][batch]))]
+            while len(order) and len(batch) < most:
+                batch = np.append(batch, order[0])
+                order = order[(same[:, order] != same[:, order[:1]]).all(axis=0)]
+            return batch
+
+        while (uses == 0).any():
+            first = np.flatnonzero(uses == 0)[:1]
+            batch = take(near[first[0]], max(1, size // 2), first)
+            batch = take(np.lexsort((random.random(len(uses)), uses)), size, batch)
+            uses[batch] += 1
+            parts.append(batch)
+        sizes = [len(b) for b in parts]
+        return pd.DataFrame({shard: pdf[shard].iloc[0], "batch": np.repeat(np.arange(len(parts)), sizes), "place": np.concatenate([np.arange(n) for n in sizes]), "pair": number.to_numpy()[np.concatenate(parts)]})
 
     return rows.groupBy(shard).applyInPandas(plan, f"{shard} {kinds[shard]}, batch long, place long, pair long")

@@ -200,3 +200,55 @@ def test_kmeans_and_batches_take_the_whole_table(spark, monkeypatch, tmp_path):
     assert registry.queries()["VE07_kmeans"](spark, str(tmp_path)).count() > 0 and seen == [121]
     planned = registry.queries()["GR10_planned_batches"](spark, str(tmp_path)).collect()
     assert {r["pair"] for r in planned} == {i for i, *_ in rows}
+
+
+def test_caps_hold_and_nothing_free_is_passed_over(spark):
+    rng = random.Random(3)
+    rows = [(q, i, rng.randrange(50), rng.randrange(6), [rng.randrange(5) for _ in range(rng.randrange(0, 3))]) for q in range(4) for i in range(60)]
+    table = spark.createDataFrame(rows, "q int, item int, score int, position int, cells array<int>")
+    caps = {"budget": 12, "per_position": 3, "per_cell": 4, "min_cells": 3}
+    found = {}
+    for r in K.greedy_capped(table, "q", **caps).collect():
+        found.setdefault(r.q, []).append(r.item)
+    for q in range(4):
+        own = {r[1]: r for r in rows if r[0] == q}
+        order = sorted(own, key=lambda i: (-own[i][2], i))
+        picks = found[q]
+        assert picks == [i for i in order if i in picks] and len(picks) <= 12
+        for i in order[: order.index(picks[-1]) + 1]:  # each candidate is chosen exactly if the choices before it leave room
+            before = [own[k] for k in picks if order.index(k) < order.index(i)]
+            uses = [c for r in before for c in r[4]]
+            full = all(uses.count(c) >= 4 for c in own[i][4]) and len(set(uses)) >= 3
+            assert (i in picks) == (not full and sum(r[3] == own[i][3] for r in before) < 3)
+
+
+def test_batches_have_each_query_and_tile_once(spark):
+    pairs = [(i % 2, i, i // 3, i % 11) for i in range(80)]
+    near = [(i, k, (i + 2 * k) % 80) for i in range(80) for k in range(1, 5)]
+    args = spark.createDataFrame(pairs, "shard int, pair int, q int, t int"), spark.createDataFrame(near, "pair int, rank int, nbr int")
+    rows = K.planned_batches(*args, "shard", 6, seed=5).collect()
+    assert sorted(rows) == sorted(K.planned_batches(*args, "shard", 6, seed=5).collect())
+    of = {p[1]: p for p in pairs}
+    batches = {}
+    for r in rows:
+        assert of[r.pair][0] == r.shard
+        batches.setdefault((r.shard, r.batch), []).append((r.place, r.pair))
+    seen = {0: set(), 1: set()}
+    for (shard, _), members in sorted(batches.items()):
+        ids = [p for _, p in sorted(members)]
+        assert [x for x, _ in sorted(members)] == list(range(len(ids))) and len(ids) <= 6
+        assert len({of[p][2] for p in ids}) == len({of[p][3] for p in ids}) == len(ids)
+        assert ids[0] == min(p[1] for p in pairs if p[0] == shard and p[1] not in seen[shard])
+        assert set(ids[1:3]) <= {(ids[0] + 2 * k) % 80 for k in range(1, 5)}
+        seen[shard].update(ids)
+    assert {p[1] for p in pairs} == seen[0] | seen[1]
+
+
+def test_scores_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(57, 8))
+    x[3] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, vec array<double>").repartition(3)
+    got = {(r.q, r.t): r.s for r in K.cosine_scores(rows.filter("id < 20"), rows, "id", "id", block=7).collect()}
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    assert len(got) == 20 * 57 and all(abs(s - unit[q] @ unit[t]) < 1e-12 for (q, t), s in got.items())
