@@ -13,14 +13,14 @@ def _numbers(tokens: Column) -> Column:
 
 def parse_after_first(stem: Column) -> Column:
     """The first two numbers behind the first token; tokens end at _ and comma."""
-    found = _numbers(F.slice(F.split(stem, "[_,]"), 2, 1000))
+    found = _numbers(F.slice(F.split(stem, "[_,]"), F.lit(2), F.size(F.split(stem, "[_,]"))))
     return F.when(F.size(found) >= 2, F.struct(F.get(found, F.lit(0)).alias("lat"), F.get(found, F.lit(1)).alias("lon")))
 
 
 def parse_in_range(stem: Column, lat: tuple[float, float] = (44.0, 53.0), lon: tuple[float, float] = (20.0, 45.0)) -> Column:
     """The first two neighbouring tokens that are a latitude and a longitude in range."""
     tokens = F.transform(F.split(stem, "[_,]"), lambda t: t.try_cast("double"))
-    pairs = F.arrays_zip(tokens.alias("lat"), F.slice(tokens, 2, 1000).alias("lon"))
+    pairs = F.arrays_zip(tokens.alias("lat"), F.slice(tokens, F.lit(2), F.size(tokens)).alias("lon"))
     good = F.filter(pairs, lambda p: p["lat"].between(*lat) & p["lon"].between(*lon))
     first = F.get(good, F.lit(0))
     return F.when(first.isNotNull(), F.struct(first["lat"].alias("lat"), first["lon"].alias("lon")))
@@ -47,6 +47,12 @@ def parse_last_numbers(point_id: Column) -> Column:
     return F.when(F.size(found) >= 2, F.struct(F.element_at(found, -2).alias("lat"), F.element_at(found, -1).alias("lon")))
 
 
+def looks_corrupt(stem: Column, low: float = 44.0, high: float = 53.0) -> Column:
+    """Whether the first token between underscores is a number out of the band of latitudes; other names are accepted."""
+    lat = F.get(F.split(stem, "_"), F.lit(0)).try_cast("double")
+    return F.coalesce(~lat.between(low, high), F.lit(False))
+
+
 def without_leading_id(stem: Column) -> Column:
     return F.regexp_replace(stem, r"^\d+_", "")
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.sources.scratch import written
+
 
 def _bucket(v: Column, width: float) -> Column:
     return F.floor(v / width).cast("long")
@@ -38,12 +40,14 @@ def self_pairs(df: DataFrame, id_: str, reach: float, keys: list[str] | None = N
     return box_join(df, df, reach, keys, x, y, x, y).filter(F.col(id_) < F.col(f"r_{id_}"))
 
 
-def nearest(points: DataFrame, tiles: DataFrame, ring: float, point_id: str = "point_id", tile_id: str = "tile_id", keys: list[str] | None = None) -> DataFrame:
+def nearest(points: DataFrame, tiles: DataFrame, ring: float, point_id: str = "point_id", tile_id: str = "tile_id", keys: list[str] | None = None, apart: bool = False) -> DataFrame:
     """Each point's nearest tile centre: its columns with the prefix `r_`, and `d2`, the squared distance.
 
     Points look within growing boxes: a hit is final if it is no farther than the box's half side. What finds nothing goes on
     with eight times the reach, until the reach spans all tiles; so points far from all tiles cost a wide box, not a cross
-    join of everything. Ties go to the smaller tile id; points without a position or tiles with equal keys find nothing.
+    join of everything. What each round found, and what is left, are written tables, so no round computes an earlier one again.
+    Ties go to the smaller tile id; points without a position or tiles with equal keys find nothing. apart: a tile with the
+    point's own id doesn't count.
     """
     keys = keys or []
     d2 = F.pow(F.col("x") - F.col("r_x"), 2) + F.pow(F.col("y") - F.col("r_y"), 2)
@@ -53,11 +57,15 @@ def nearest(points: DataFrame, tiles: DataFrame, ring: float, point_id: str = "p
     best = Window.partitionBy(point_id).orderBy("d2", f"r_{tile_id}")
     rest, out, reach = points, None, ring
     while True:
-        hits = box_join(rest, tiles, reach, keys).withColumn("d2", d2).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+        hits = box_join(rest, tiles, reach, keys).withColumn("d2", d2)
+        if apart:
+            hits = hits.filter(F.col(point_id) != F.col(f"r_{tile_id}"))
+        hits = hits.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
         last = reach >= span
-        found = hits if last else hits.filter(F.col("d2") <= reach * reach)
+        found = written(hits if last else hits.filter(F.col("d2") <= reach * reach))
         out = found if out is None else out.unionByName(found)
-        if last:
+        if not last:
+            rest = written(rest.join(found.select(point_id), point_id, "left_anti"))
+        if last or rest.isEmpty():
             return out
-        rest = rest.join(found.select(point_id), point_id, "left_anti")
         reach *= 8

@@ -102,3 +102,24 @@ def fixed_projection(spark: SparkSession, width: int, out: int) -> DataFrame:
     grid = spark.range(width * out).select((F.col("id") % out).alias("j"), F.floor(F.col("id") / out).alias("i"))
     sign = F.when((F.col("i") * 7919 + F.col("j") * 104729 + F.col("i") * F.col("j") * 31) % 101 < 50, 1.0).otherwise(-1.0)
     return grid.select("j", "i", (sign / float(out) ** 0.5).alias("w"))
+
+
+def best_by(gates: DataFrame) -> DataFrame:
+    """gates (frame_id, level, b, s) with by_gate, by_score, by_product: whether the level has its frame's largest weight b,
+    score s, product of both; ties, within nine decimals, go to the smaller level."""
+    first = lambda v: F.row_number().over(Window.partitionBy("frame_id").orderBy(F.round(v, 9).desc(), "level")) == 1
+    return gates.select("*", first(F.col("b")).alias("by_gate"), first(F.col("s")).alias("by_score"), first(F.col("b") * F.col("s")).alias("by_product"))
+
+
+def gate_summary(gates: DataFrame, collapse: float = 0.9) -> DataFrame:
+    """One row of all frames: n, mean and least entropy of their weights, the share in which the three best levels disagree, the
+    level that most gates prefer, its share, and whether that share exceeds `collapse`."""
+    at = lambda c: F.max(F.when(F.col(c), F.col("level")))
+    entropy = -F.sum(F.col("b") * F.ln(F.greatest(F.col("b"), F.lit(1e-9))))
+    frames = best_by(gates).groupBy("frame_id").agg(at("by_gate").alias("g"), at("by_score").alias("s"), at("by_product").alias("c"), entropy.alias("h"))
+    differ = ((F.col("s") != F.col("g")) | (F.col("c") != F.col("g")) | (F.col("s") != F.col("c"))).cast("int")
+    by = frames.groupBy("g").agg(F.count("*").alias("k"), F.sum("h").alias("h"), F.min("h").alias("least"), F.sum(differ).alias("d"))
+    n, top = F.sum("k"), F.max(F.struct("k", -F.col("g")))
+    out = by.agg(n.alias("n"), (F.sum("h") / n).alias("entropy_mean"), F.min("least").alias("entropy_min"), (F.sum("d") / n).alias("disagree"), top.alias("_t"))
+    share = F.col("_t.k") / F.col("n")
+    return out.select("n", "entropy_mean", "entropy_min", "disagree", (-F.col("_t.col2")).alias("dominant"), share.alias("dominant_share"), (share > collapse).alias("collapse"))

@@ -153,6 +153,48 @@ def without_positive(points: DataFrame, matches: DataFrame) -> DataFrame:
     return points.join(matches, "point_id", "left_anti").select("point_id")
 
 
+def canonical_pairs(matches: DataFrame, points: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(point_id, tile_id, d2): of each point's positives the one whose centre is nearest; ties go to the smaller tile id."""
+    at = matches.select("point_id", "tile_id").join(points.select("point_id", "x", "y"), "point_id")
+    at = at.join(tiles.select("tile_id", F.col("x").alias("_x"), F.col("y").alias("_y")), "tile_id")
+    d2 = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
+    return at.groupBy("point_id").agg(F.min(F.struct(d2.alias("d2"), "tile_id")).alias("m")).select("point_id", "m.tile_id", "m.d2")
+
+
+def nearest_within(points: DataFrame, tiles: DataFrame, metres: float) -> DataFrame:
+    """(point_id, tile_id, metres) of points with a tile centre within so many true metres, at the point's latitude; ties go
+    to the smaller tile id."""
+    import math
+
+    lat = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0  # the farther from the equator, the longer a metre on the grid
+    hits = box_join(points.select("point_id", "x", "y", "lat"), tiles.select("tile_id", "x", "y"), metres / math.cos(math.radians(min(lat, 89.0))) + 1e-6)
+    d = F.sqrt(F.pow(F.col("x") - F.col("r_x"), 2) + F.pow(F.col("y") - F.col("r_y"), 2)) * F.cos(F.radians("lat"))
+    best = hits.withColumn("_d", d).filter(F.col("_d") <= metres).groupBy("point_id").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("r_tile_id").alias("tile_id"))).alias("m"))
+    return best.select("point_id", "m.tile_id", F.col("m.d").alias("metres"))
+
+
+def touching(points: DataFrame, tiles: DataFrame, query_size: float = 1000.0, epsilon: float = 0.0, fallback: float = 1000.0) -> DataFrame:
+    """(point_id, tile_id) of tiles that aren't safe negatives: along each axis, half of both sides less the distance of the
+    centres, at least 0; the product of both exceeds epsilon."""
+    top = tiles.agg(F.max(geo.side(F.col("size_m"), fallback))).first()[0] or fallback
+    hits = box_join(points.select("point_id", "x", "y"), tiles.select("tile_id", "x", "y", "size_m"), (top + query_size) / 2)
+    half = (geo.side(F.col("r_size_m"), fallback) + query_size) / 2
+    left = lambda a, b: F.greatest(F.lit(0.0), half - F.abs(F.col(a) - F.col(b)))
+    return hits.filter(left("x", "r_x") * left("y", "r_y") > epsilon).select("point_id", F.col("r_tile_id").alias("tile_id"))
+
+
+def relevance(points: DataFrame, matches: DataFrame, tiles: DataFrame, **sizes: float) -> DataFrame:
+    """(point_id, positives, safe, weight) of points that have a positive: how many positives and safe negatives they have, and
+    the sum of the positives' weights, their scores, or 1 for those without.
+
+    Safe is every tile that is neither positive nor touching(); it is what is left of all tiles, so the pairs aren't made.
+    """
+    n = tiles.count()
+    own = best_matches(matches).groupBy("point_id").agg(F.count("*").alias("positives"), F.sum(F.coalesce("score", F.lit(1.0))).alias("weight"))
+    out = touching(points, tiles, **sizes).unionByName(matches.select("point_id", "tile_id")).distinct().groupBy("point_id").agg(F.count("*").alias("_n"))
+    return points.select("point_id").join(own, "point_id").join(out, "point_id").select("point_id", "positives", (F.lit(n) - F.col("_n")).alias("safe"), "weight")
+
+
 def match_stats(points: DataFrame, matches: DataFrame) -> DataFrame:
     """One row: points, points with a positive, links, different tiles, mean links of a point that has some."""
     own = matches.groupBy("point_id").agg(F.count("*").alias("n"))
@@ -161,9 +203,10 @@ def match_stats(points: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def fingerprint(matches: DataFrame) -> DataFrame:
-    """One row: the SHA-256 of all matches, in order of their ids.
+    """One row: a SHA-256 that is equal for equal sets of matches, whatever their order.
 
-    Each row's own hash is summed in two 62-bit halves, so no row order and no single task is needed.
+    Two 40-bit pieces of each row's own SHA-256 are summed over all rows, and the sums and the number of rows are hashed; so no
+    task sees all rows. Scores count with six decimals, and a missing one as -1. It isn't a hash of the rows in a row.
     """
     one = F.sha2(F.concat_ws("|", F.col("point_id").cast("string"), F.col("tile_id").cast("string"), F.format_string("%.6f", F.coalesce("score", F.lit(-1.0)))), 256)
     part = lambda a: F.conv(F.substring(one, a, 10), 16, 10).cast("decimal(38,0)")

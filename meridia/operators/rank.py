@@ -85,6 +85,45 @@ def mutual_nearest(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rows.drop("_f").join(back, [*by, "q", "t"])
 
 
+def cheap_scores(scores: DataFrame, by: list[str], n_queries: int) -> DataFrame:
+    """(by, chamfer, mnn) of each pair of token grids: the mean over query tokens of their best score, and the share of query
+    tokens that have a mutual nearest one. scores: by, q, t, s; n_queries: tokens of a query."""
+    best = Window.partitionBy(*by, "q").orderBy(F.col("s").desc(), "t")
+    back = Window.partitionBy(*by, "t").orderBy(F.col("s").desc(), "q")
+    rows = scores.withColumn("_f", F.row_number().over(best)).withColumn("_b", F.row_number().over(back)).filter("_f = 1")
+    return rows.groupBy(*by).agg(F.avg("s").alias("chamfer"), (F.count(F.when(F.col("_b") == 1, 1)) / n_queries).alias("mnn"))
+
+
+def patch_overlap(scores: DataFrame, by: list[str], n_queries: int, n_tiles: int, ratio: float = 0.9, trim: float = 0.1, unit: float = 1.0) -> DataFrame:
+    """(by, n_matches, cq, cg, score) of each pair of token grids.
+
+    Matches are mutual nearest neighbours whose second best score is at most ratio times the best (1.0: no such test). The
+    score is their trimmed mean times sqrt(cq * cg), the shares of both grids' tokens that are matched; 0 without a match.
+    scores: by, q, t, s, in parts of `unit`.
+    """
+    best, back = Window.partitionBy(*by, "q").orderBy(F.col("s").desc(), "t"), Window.partitionBy(*by, "t").orderBy(F.col("s").desc(), "q")
+    rows = scores.withColumn("_f", F.row_number().over(best)).withColumn("_b", F.row_number().over(back)).withColumn("_next", F.lead("s").over(best))
+    far = F.lit(True) if ratio >= 1 else F.col("_next").isNull() | (F.col("_next") <= ratio * F.greatest(F.col("s"), F.lit(1e-9 * unit)))
+    rows = rows.filter("_f = 1").withColumn("_match", (F.col("_b") == 1) & far)
+    found = rows.filter("_match").groupBy(*by).agg(F.count("*").alias("n_matches"), F.countDistinct("t").alias("_t"))
+    mean = trimmed_mean(rows.filter("_match"), by, "s", trim)
+    out = rows.select(*by).distinct().join(found, by, "left").join(mean, by, "left").fillna(0, ["n_matches", "_t"])
+    cq, cg = F.col("n_matches") / n_queries, F.col("_t") / n_tiles
+    score = F.coalesce(F.col("mean") / unit * F.sqrt(cq * cg), F.lit(0.0))
+    return out.select(*by, "n_matches", cq.alias("cq"), cg.alias("cg"), score.alias("score"))
+
+
+def ablations(levels: DataFrame) -> DataFrame:
+    """(variant, n, r1, r5, r10, median_rank): how well three ways of joining levels rank the positives: `learned`, the sum
+    weighted by beta; `mean`; and `max`. levels: q, t, level, s, beta, positive; a query's betas weigh every tile alike."""
+    joined = levels.groupBy("q", "t").agg(F.bool_or("positive").alias("positive"), F.sum(F.col("s") * F.col("beta")).alias("learned"), F.sum("s").alias("mean"), F.max("s").alias("max"))
+    rows = joined.unpivot(["q", "t", "positive"], ["learned", "mean", "max"], "variant", "s")
+    order = Window.partitionBy("variant", "q").orderBy(F.col("s").desc(), "t")
+    first = rows.withColumn("rank", F.row_number().over(order)).filter("positive").groupBy("variant", "q").agg(F.min("rank").alias("rank"))
+    shares = [F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"r{k}") for k in (1, 5, 10)]
+    return first.groupBy("variant").agg(F.count("*").alias("n"), *shares, F.percentile("rank", F.lit(0.5)).alias("median_rank"))
+
+
 def reciprocal_rank_fusion(scores: DataFrame, by: str, method: str, item: str, k: int = 60) -> DataFrame:
     """(by, item, score): the sum over methods of 1 / (k + rank + 1), rank from 0; methods without a positive score don't vote."""
     over = Window.partitionBy(by, method)

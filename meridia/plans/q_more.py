@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridia.functions import geo
+from meridia.operators import association as A
+from meridia.operators import osm as O
+from meridia.operators import positives as P
 from meridia.operators import rank as K
-from meridia.operators.box_join import box_join
+from meridia.operators.box_join import box_join, nearest
 from meridia.plans.q_geometry import POSITIONED, points, tiles
 from meridia.plans.q_rank import _S, scores, token_scores
 from meridia.registry import register
@@ -87,11 +90,11 @@ def has_tokens(spark, sf_dir):
     return carrier(spark, sf_dir, "points").select("point_id").join(known, "point_id", "left").select("point_id", F.coalesce("has", F.lit(False)).alias("has"))
 
 
-@register("SC09_rounded_lookup", POSITIONED + ", k AS (SELECT tile_id, CAST(round(x * 100) AS BIGINT) AS cx, CAST(round(y * 100) AS BIGINT) AS cy FROM t) SELECT a.tile_id AS a, b.tile_id AS b FROM k a JOIN k b ON a.cx = b.cx AND a.cy = b.cy WHERE a.tile_id % 3 = 0")
+@register("SC09_rounded_lookup", POSITIONED + ", k AS (SELECT tile_id, CAST(round(x * 100) AS BIGINT) AS cx, CAST(round(y * 100) AS BIGINT) AS cy FROM t) SELECT a.tile_id AS a, b.tile_id AS b FROM k a JOIN k b ON a.cx = b.cx AND a.cy = b.cy")
 def rounded_lookup(spark, sf_dir):
     cent = lambda c: F.round(F.col(c) * 100).cast("long")
     rows = tiles(spark, sf_dir).select("tile_id", cent("x").alias("cx"), cent("y").alias("cy"))
-    return rows.filter("tile_id % 3 = 0").withColumnRenamed("tile_id", "a").join(rows.withColumnRenamed("tile_id", "b"), ["cx", "cy"]).select("a", "b")
+    return rows.withColumnRenamed("tile_id", "a").join(rows.withColumnRenamed("tile_id", "b"), ["cx", "cy"]).select("a", "b")
 
 
 @register("SC11_first_level_centres", "SELECT l_orderkey AS tile, arg_min(l_partkey, {'l': l_linenumber, 'p': l_partkey}) AS centre FROM lineitem GROUP BY l_orderkey")
@@ -105,17 +108,17 @@ def tile_jobs(spark, sf_dir):
     return cells.select("col", "row", (100.0 + F.col("col") * 256.0).alias("x0"), (900.0 - F.col("row") * 256.0).alias("y1")).filter("x0 < 1500e0")
 
 
-@register("GN10_crop_list", POSITIONED + " SELECT tile_id, l AS level FROM t, (SELECT unnest([250, 500, 1000]) AS l) WHERE l <= size AND tile_id % 4 <> 0")
+@register("GN10_crop_list", POSITIONED + " SELECT tile_id, l AS level FROM t, (SELECT unnest([250, 500, 1000]) AS l) WHERE l <= size")
 def crop_list(spark, sf_dir):
     rows = tiles(spark, sf_dir).withColumn("level", F.explode(F.array(*map(F.lit, (250, 500, 1000)))))
-    return rows.filter((F.col("level") <= geo.side(F.col("size_m"), 1000.0)) & (F.col("tile_id") % 4 != 0)).select("tile_id", "level")
+    return rows.filter(F.col("level") <= geo.side(F.col("size_m"), 1000.0)).select("tile_id", "level")
 
 
-@register("JN14_geometry_relevance", POSITIONED + """, o AS (SELECT point_id, tile_id, greatest(0e0, 1000e0 - abs(p.x - t.x)) * greatest(0e0, 1000e0 - abs(p.y - t.y)) AS s FROM p, t WHERE p.city = t.city AND point_id < 200)
+@register("JN14_geometry_relevance", POSITIONED + """, o AS (SELECT point_id, tile_id, greatest(0e0, 1000e0 - abs(p.x - t.x)) * greatest(0e0, 1000e0 - abs(p.y - t.y)) AS s FROM p, t WHERE p.city = t.city)
 SELECT point_id, count(*) FILTER (s / (2e6 - s) >= 0.25e0) AS pos, count(*) FILTER (s / (2e6 - s) <= 1e-9) AS safe FROM o GROUP BY point_id""")
 def geometry_relevance(spark, sf_dir):
     """Positives share enough with the query; what shares nothing is safe: all tiles of the city less those that touch."""
-    ask = points(spark, sf_dir).filter("point_id < 200").select("point_id", "city", "x", "y")
+    ask = points(spark, sf_dir).select("point_id", "city", "x", "y")
     all_ = tiles(spark, sf_dir).select("tile_id", "city", "x", "y")
     hits = box_join(ask, all_, 1000.0, ["city"])
     s = geo.square_intersection(F.col("x"), F.col("y"), F.lit(1000.0), F.col("r_x"), F.col("r_y"), F.lit(1000.0))
@@ -142,10 +145,7 @@ def cross_weights(spark, sf_dir):
 
 @register("JN20_nearest_within", POSITIONED + """, d AS (SELECT point_id, tile_id, p.lat, power(p.x - t.x, 2) + power(p.y - t.y, 2) AS d2 FROM p, t), n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, tile_id) AS k FROM d WHERE sqrt(d2) * cos(radians(lat)) <= 140e0) SELECT point_id, tile_id FROM n WHERE k = 1""")
 def nearest_within(spark, sf_dir):
-    hits = box_join(points(spark, sf_dir), tiles(spark, sf_dir).select("tile_id", "x", "y"), 225.0)
-    d2 = F.pow(F.col("x") - F.col("r_x"), 2) + F.pow(F.col("y") - F.col("r_y"), 2)
-    near = hits.withColumn("d2", d2).filter(F.sqrt("d2") * F.cos(F.radians("lat")) <= 140)
-    return near.groupBy("point_id").agg(F.min_by("r_tile_id", F.struct("d2", "r_tile_id")).alias("tile_id"))
+    return P.nearest_within(points(spark, sf_dir), tiles(spark, sf_dir), 140.0).select("point_id", "tile_id")
 
 
 @register("JN22_known_only", ctes("points", "tiles") + " SELECT point_id FROM points WHERE point_id IN (SELECT tile_id FROM tiles WHERE size_m IS NOT NULL)")
@@ -178,12 +178,10 @@ def pair_numbers(spark, sf_dir):
     return hits.select("point_id").distinct().select("point_id", (F.row_number().over(Window.orderBy("point_id")) - 1).alias("pair"))
 
 
-@register("AG08_distance_shares", POSITIONED + """, d AS (SELECT point_id, min(sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) * cos(radians(p.lat))) AS d FROM p, t WHERE abs(p.x - t.x) <= 2000 AND abs(p.y - t.y) <= 2000 GROUP BY point_id)
+@register("AG08_distance_shares", POSITIONED + """, d AS (SELECT point_id, min(sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) * cos(radians(p.lat))) AS d FROM p, t GROUP BY point_id)
 SELECT count(*) AS n, round(avg(CAST(d <= 190 AS INT)), 6) AS near, round(avg(CAST(d <= 380 AS INT)), 6) AS mid, round(quantile_cont(d, 0.5), 2) AS median FROM d""")
 def distance_shares(spark, sf_dir):
-    hits = box_join(points(spark, sf_dir), tiles(spark, sf_dir).select("x", "y"), 2000.0)
-    d = F.sqrt(F.pow(F.col("x") - F.col("r_x"), 2) + F.pow(F.col("y") - F.col("r_y"), 2)) * F.cos(F.radians("lat"))
-    per = hits.groupBy("point_id").agg(F.min(d).alias("d"))
+    per = nearest(points(spark, sf_dir), tiles(spark, sf_dir), 1000.0).select((F.sqrt("d2") * F.cos(F.radians("lat"))).alias("d"))
     share = lambda m, n: F.round(F.avg((F.col("d") <= m).cast("int")), 6).alias(n)
     return per.agg(F.count("*").alias("n"), share(190, "near"), share(380, "mid"), F.round(F.percentile("d", F.lit(0.5)), 2).alias("median"))
 
@@ -238,10 +236,27 @@ def group_fingerprints(spark, sf_dir):
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("n_name")), "|"), 256).alias("print"))
 
 
-@register("FL04_association_status", _PAIRS + " SELECT a, CASE WHEN s / (sa * sa) >= 0.5e0 THEN 'strong' WHEN s / (sa * sa) >= 0.1e0 THEN 'partial' WHEN s = 0 THEN 'negative' ELSE 'undetermined' END AS status FROM i")
+# frames of one to seven possible sizes; every ninth is refused
+_ASSOCIATED = POSITIONED + ctes("scores").replace("WITH RECURSIVE ", ",\n") + """, l AS (SELECT frame_id, level * 150e0 AS scale, score AS w FROM scores WHERE method = 'global' AND score > 0),
+f AS (SELECT point_id, x, y, point_id % 9 = 0 AS refused FROM p), s AS (SELECT frame_id, scale, w / sum(w) OVER (PARTITION BY frame_id) AS w FROM l),
+o AS (SELECT point_id, tile_id, refused, w, scale * scale AS q, size * size AS t, greatest(0e0, least(f.x + scale / 2, t.x + size / 2) - greatest(f.x - scale / 2, t.x - size / 2)) * greatest(0e0, least(f.y + scale / 2, t.y + size / 2) - greatest(f.y - scale / 2, t.y - size / 2)) AS i FROM f JOIN s ON point_id = frame_id, t),
+e AS (SELECT point_id, tile_id, refused, sum(w * i / q) AS cq, sum(w * i / t) AS ct, sum(w * i / (q + t - i)) AS iou FROM o GROUP BY ALL HAVING sum(w * i / (q + t - i)) > 0)"""
+
+
+def associations(spark, sf_dir):
+    frames = points(spark, sf_dir).select(F.col("point_id").alias("frame_id"), "x", "y", (F.col("point_id") % 9 == 0).alias("refused"))
+    levels = carrier(spark, sf_dir, "scores").filter("method = 'global'").select("frame_id", (F.col("level") * 150.0).alias("scale_m"), F.col("score").alias("weight"))
+    return A.associated(frames, levels, tiles(spark, sf_dir))
+
+
+@register("JN11_expected_overlap", _ASSOCIATED + " SELECT point_id AS frame_id, tile_id, round(cq, 6) AS cq, round(ct, 6) AS ct, round(iou, 6) AS iou FROM e")
+def expected_overlap(spark, sf_dir):
+    return associations(spark, sf_dir).select("frame_id", "tile_id", *[F.round(c, 6).alias(c) for c in ("cq", "ct", "iou")])
+
+
+@register("FL04_association_status", _ASSOCIATED + " SELECT status, count(*) AS n, round(sum(weight), 4) AS weight FROM (SELECT CASE WHEN refused THEN 'undetermined' WHEN cq >= 0.7e0 AND ct >= 0.3e0 THEN 'strong' WHEN iou >= 0.05e0 THEN 'partial' ELSE 'negative' END AS status, CASE WHEN refused THEN 0e0 WHEN cq >= 0.7e0 AND ct >= 0.3e0 THEN greatest(cq, iou) WHEN iou >= 0.05e0 THEN iou ELSE 0e0 END AS weight FROM e) GROUP BY status")
 def association_status(spark, sf_dir):
-    share = F.col("s") / F.pow("size", F.lit(2))
-    return _pairs(spark, sf_dir).select(F.col("tile_id").alias("a"), F.when(share >= 0.5, "strong").when(share >= 0.1, "partial").when(F.col("s") == 0, "negative").otherwise("undetermined").alias("status"))
+    return associations(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 @register("FL07_hypotheses", _S + ", f AS (SELECT q, min(rank) AS rank FROM k WHERE tl = ql GROUP BY q), m AS (SELECT avg(CAST(rank <= 10 AS INT)) AS r10, quantile_cont(rank, 0.5) AS med FROM f) SELECT unnest(['overfit', 'labels']) AS hypothesis, unnest([CASE WHEN r10 < 0.1 THEN 'supported' ELSE 'rejected' END, CASE WHEN med > 100 THEN 'open' ELSE 'rejected' END]) AS status FROM m")
@@ -292,16 +307,30 @@ def union_of_cities(spark, sf_dir):
     return whole.withColumn("_x", F.when(again, F.raise_error(F.lit("a tile id stands in two cities")).cast("int"))).filter("_x IS NULL").drop("_x")
 
 
-@register("SO09_union_of_cells", POSITIONED + " SELECT DISTINCT b.tile_id FROM t a JOIN t b ON abs(a.x - b.x) <= 500e0 AND abs(a.y - b.y) <= 500e0 WHERE a.tile_id % 20 = 0")
+@register("SO09_union_of_cells", POSITIONED + " SELECT DISTINCT b.tile_id FROM t a JOIN t b ON abs(a.x - b.x) <= 500e0 AND abs(a.y - b.y) <= 500e0")
 def union_of_cells(spark, sf_dir):
     rows = tiles(spark, sf_dir).select("tile_id", "x", "y")
-    return box_join(rows.filter("tile_id % 20 = 0"), rows, 500.0).select(F.col("r_tile_id").alias("tile_id")).distinct()
+    return box_join(rows, rows, 500.0).select(F.col("r_tile_id").alias("tile_id")).distinct()
+
+
+# two segments a line item; areas are triangles of their ends and a corner
+_BURN = """WITH RECURSIVE s AS (SELECT l_orderkey % 20 AS image, CAST(l_linenumber AS BIGINT) AS band, l_orderkey * 8 + l_linenumber AS id, (l_partkey % 97) / 2e0 AS x0, (l_suppkey % 89) / 2e0 AS y0, (l_orderkey % 83) / 2e0 AS x1, (l_partkey % 71) / 2e0 AS y1 FROM {lineitem}),
+e AS (SELECT *, false AS area FROM s WHERE band <> 2 UNION ALL SELECT image, band, id, x0, y0, x1, y1, true FROM s WHERE band = 2 UNION ALL SELECT image, band, id, x1, y1, 47e0, 0e0, true FROM s WHERE band = 2 UNION ALL SELECT image, band, id, 47e0, 0e0, x0, y0, true FROM s WHERE band = 2)"""
+_BURNED = _BURN.format(lineitem="lineitem") + """, k AS (SELECT image, band, r, x0, y0, x1, y1, CASE WHEN y0 = y1 THEN x0 ELSE x0 + (greatest(least(y0, y1), least(greatest(y0, y1), r)) - y0) * (x1 - x0) / (y1 - y0) END AS a, CASE WHEN y0 = y1 THEN x1 ELSE x0 + (greatest(least(y0, y1), least(greatest(y0, y1), r + 1)) - y0) * (x1 - x0) / (y1 - y0) END AS b
+  FROM e JOIN range(0, 48) q(r) ON r >= floor(least(y0, y1)) AND r <= floor(greatest(y0, y1))),
+t AS (SELECT DISTINCT image, band, r, c FROM k JOIN range(0, 48) z(c) ON c >= floor(least(a, b)) AND c <= floor(greatest(a, b))),
+i AS (SELECT image, band, r, c FROM e JOIN range(0, 48) q(r) ON area AND (y0 <= r + 0.5e0) <> (y1 <= r + 0.5e0) JOIN range(0, 48) z(c) ON x0 + (r + 0.5e0 - y0) * (x1 - x0) / (y1 - y0) <= c + 0.5e0 GROUP BY id, image, band, r, c HAVING count(*) % 2 = 1)
+SELECT band, count(*) AS cells, sum(r * 48 + c)::BIGINT AS places FROM (SELECT * FROM t UNION SELECT * FROM i) GROUP BY band"""
 
 
-@register("RA05_burned_bands", "SELECT band, count(*) AS cells FROM (SELECT DISTINCT l_linenumber AS band, l_orderkey % 48 AS r, l_partkey % 48 AS c FROM lineitem) GROUP BY band")
+@register("RA05_burned_bands", _BURNED)
 def burned(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linenumber").alias("band"), (F.col("l_orderkey") % 48).alias("r"), (F.col("l_partkey") % 48).alias("c")).distinct()
-    return rows.groupBy("band").agg(F.count("*").alias("cells"))
+    """Bands of images of 48 x 48 pixels: lines in six bands, triangles in one."""
+    rows = spark.sql("WITH" + _BURN.split("RECURSIVE", 1)[1] + " SELECT * FROM e", lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    areas = rows.filter("area")
+    inside = areas.select("image", "band", "id", "x0", "y0", "x1", "y1")
+    pixels = O.burned(rows.filter("NOT area").select("image", "band", "id", "x0", "y0", "x1", "y1"), inside, ["image", "band", "id"], 48, 48).select("image", "band", "r", "c").distinct()
+    return pixels.groupBy("band").agg(F.count("*").alias("cells"), F.sum(F.col("r") * 48 + F.col("c")).alias("places"))
 
 
 @register("RA07_sky_keep", ctes("pixels") + " SELECT CAST(floor(r / 8e0) AS BIGINT) AS br, CAST(floor(c / 8e0) AS BIGINT) AS bc, avg(CAST(v = 0 AS INT)) <= 0.2e0 AS keep FROM pixels GROUP BY 1, 2")
@@ -322,15 +351,15 @@ def inverted(spark, sf_dir):
 def ransac(spark, sf_dir):
     from meridia.operators.verify import verified
 
-    rows = K.mutual_nearest(token_scores(spark, sf_dir), ["w"])
+    rows = K.mutual_nearest(token_scores(spark, sf_dir), ["u", "w"])
     at = lambda c: ((F.col(c) % 5).cast("double"), F.floor(F.col(c) / 5).cast("double"))
     (ax, ay), (bx, by) = at("q"), at("t")
-    return verified(rows.select("w", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by_")), ["w"], "similarity")
+    return verified(rows.select("u", "w", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by_")), ["u", "w"], "similarity")
 
 
 @register("VE06_match_share")
 def match_share(spark, sf_dir):
-    return ransac(spark, sf_dir).select("w", (F.col("inliers") / 25.0).alias("score"))
+    return ransac(spark, sf_dir).select("u", "w", (F.col("inliers") / 25.0).alias("score"))
 
 
 @register("VE14_level_similarity", _S + " SELECT q, tl, max(s) AS best, round(avg(s), 3) AS mean FROM a GROUP BY q, tl")
@@ -351,10 +380,11 @@ def safe_class(spark, sf_dir):
     return carrier(spark, sf_dir, "names").select("id", F.lower(F.regexp_replace(F.concat_ws(" ", "folder", "stem"), "[^A-Za-z0-9]+", "-")).alias("class"))
 
 
-@register("ST13_area_query", ctes("points") + " SELECT city, printf('way[highway](%.3f,%.3f,%.3f,%.3f);', round(min(lat), 3), round(min(lon), 3), round(max(lat), 3), round(max(lon), 3)) AS query FROM points GROUP BY city")
+@register("ST13_area_query", ctes("points") + """, b AS (SELECT city, concat_ws(',', round(min(lat), 3)::VARCHAR, round(min(lon), 3)::VARCHAR, round(max(lat), 3)::VARCHAR, round(max(lon), 3)::VARCHAR) AS b FROM points GROUP BY city)
+SELECT city, '[out:json][timeout:120];' || chr(10) || '(' || chr(10) || '  way["highway"~"^(motorway|primary|residential|road|secondary|service|tertiary|track|trunk|unclassified)$"](' || b || ');' || chr(10) || '  way["waterway"](' || b || ');' || chr(10) || '  way["natural"="water"](' || b || ');' || chr(10) || ');' || chr(10) || 'out body;' || chr(10) || '>;' || chr(10) || 'out skel qt;' || chr(10) AS query FROM b""")
 def area_query(spark, sf_dir):
-    box = F.format_string("way[highway](%.3f,%.3f,%.3f,%.3f);", *[F.round(f(c), 3) for f, c in ((F.min, "lat"), (F.min, "lon"), (F.max, "lat"), (F.max, "lon"))])
-    return carrier(spark, sf_dir, "points").groupBy("city").agg(box.alias("query"))
+    box = [F.round(f(c), 3) for f, c in ((F.min, "lat"), (F.min, "lon"), (F.max, "lat"), (F.max, "lon"))]
+    return carrier(spark, sf_dir, "points").groupBy("city").agg(O.query_text(*box).alias("query"))
 
 
 @register("SK13_union_columns", "SELECT r_regionkey AS k, CAST(NULL AS INTEGER) AS nation, r_name AS region FROM region UNION ALL SELECT n_regionkey, n_nationkey, NULL FROM nation")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from meridia.functions import geo, stats, vec
+from meridia.functions import geo, stats
+from meridia.operators import positives as P
 from meridia.operators import rank as K
 from meridia.operators.box_join import box_join
 from meridia.plans.q_geometry import POSITIONED, points, tiles
@@ -14,20 +15,20 @@ from meridia.sources.carriers import carrier, ctes
 
 # scores in whole micro-units, so that both engines order them alike
 _S = ctes("vectors") + """, a AS (SELECT a.vec_id AS q, b.vec_id AS t, a.label AS ql, b.label AS tl, a.city AS qc, b.city AS tc,
-CAST(round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / (sqrt(list_dot_product(a.vec::DOUBLE[], a.vec::DOUBLE[])) * sqrt(list_dot_product(b.vec::DOUBLE[], b.vec::DOUBLE[]))) * 1e6) AS BIGINT) AS s FROM vectors a, vectors b WHERE a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id),
+CAST(round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / (sqrt(list_dot_product(a.vec::DOUBLE[], a.vec::DOUBLE[])) * sqrt(list_dot_product(b.vec::DOUBLE[], b.vec::DOUBLE[]))) * 1e6) AS BIGINT) AS s FROM vectors a, vectors b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, t) AS rank FROM a)"""
 
 
 def scores(spark, sf_dir):
     rows = carrier(spark, sf_dir, "vectors")
-    found = K.cosine_scores(rows.where("vec_id % 10 = 0"), rows, "vec_id", "vec_id").filter("q <> t")
+    found = K.cosine_scores(rows.where("vec_id % 100 = 0"), rows, "vec_id", "vec_id").filter("q <> t")
     of = lambda p: rows.select(F.col("vec_id").alias(p), F.col("label").alias(f"{p}l"), F.col("city").alias(f"{p}c"))
     return found.withColumn("s", F.round(F.col("s") * 1e6).cast("long")).join(of("q"), "q").join(of("t"), "t")
 
 
-@register("VE02_score_matrix", _S + " SELECT q, t, s FROM a WHERE q < 100")
+@register("VE02_score_matrix", _S + " SELECT q, t, s FROM a")
 def score_matrix(spark, sf_dir):
-    return scores(spark, sf_dir).filter("q < 100").select("q", "t", "s")
+    return scores(spark, sf_dir).select("q", "t", "s")
 
 
 @register("WN03_top_k", _S + " SELECT q, t, rank FROM k WHERE rank <= 10")
@@ -71,46 +72,49 @@ def sampled_negatives(spark, sf_dir):
     return K.first_positive(rows, F.col("pos"), 10**6)
 
 
-@register("VE03_mutual_nearest", ctes("tokens") + """, a AS (SELECT a.tile_id AS u, b.tile_id AS w, a.r * 5 + a.c AS q, b.r * 5 + b.c AS t, CAST(round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / (sqrt(list_dot_product(a.vec::DOUBLE[], a.vec::DOUBLE[])) * sqrt(list_dot_product(b.vec::DOUBLE[], b.vec::DOUBLE[]))) * 1e6) AS BIGINT) AS s FROM tokens a, tokens b WHERE a.tile_id = 0 AND b.tile_id BETWEEN 1 AND 19),
-f AS (SELECT *, row_number() OVER (PARTITION BY u, w, q ORDER BY s DESC, t) AS x, row_number() OVER (PARTITION BY u, w, t ORDER BY s DESC, q) AS y FROM a) SELECT w, q, t, s FROM f WHERE x = 1 AND y = 1""")
+@register("VE03_mutual_nearest", ctes("tokens") + """, a AS (SELECT a.tile_id AS u, b.tile_id AS w, a.r * 5 + a.c AS q, b.r * 5 + b.c AS t, CAST(round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / (sqrt(list_dot_product(a.vec::DOUBLE[], a.vec::DOUBLE[])) * sqrt(list_dot_product(b.vec::DOUBLE[], b.vec::DOUBLE[]))) * 1e6) AS BIGINT) AS s FROM tokens a, tokens b WHERE a.tile_id % 100 = 0 AND b.tile_id <> a.tile_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY u, w, q ORDER BY s DESC, t) AS x, row_number() OVER (PARTITION BY u, w, t ORDER BY s DESC, q) AS y FROM a) SELECT u, w, q, t, s FROM f WHERE x = 1 AND y = 1""")
 def mutual(spark, sf_dir):
-    return K.mutual_nearest(token_scores(spark, sf_dir), ["w"]).select("w", "q", "t", "s")
+    return K.mutual_nearest(token_scores(spark, sf_dir), ["u", "w"]).select("u", "w", "q", "t", "s")
 
 
 def token_scores(spark, sf_dir):
-    rows = carrier(spark, sf_dir, "tokens").withColumn("i", F.col("r") * 5 + F.col("c")).withColumn("vec", vec.unit(F.col("vec")))
-    left = rows.where("tile_id = 0").select(F.col("i").alias("q"), F.col("vec").alias("a"))
-    right = rows.where("tile_id BETWEEN 1 AND 19").select(F.col("tile_id").alias("w"), F.col("i").alias("t"), F.col("vec").alias("b"))
-    return left.crossJoin(right).select("w", "q", "t", F.round(vec.dot(F.col("a"), F.col("b")) * 1e6).cast("long").alias("s"))
+    """(u, w, q, t, s): tokens of each tile u of an id divisible by 100 against those of every other tile w."""
+    rows = carrier(spark, sf_dir, "tokens").select((F.col("tile_id") * 25 + F.col("r") * 5 + F.col("c")).alias("id"), "tile_id", "vec")
+    found = K.cosine_scores(rows.where("tile_id % 100 = 0"), rows, "id", "id")
+    tile, place = lambda c: F.floor(F.col(c) / 25), lambda c: F.col(c) % 25
+    found = found.select(tile("q").alias("u"), tile("t").alias("w"), place("q").alias("q"), place("t").alias("t"), F.round(F.col("s") * 1e6).cast("long").alias("s"))
+    return found.filter("u <> w")
 
 
-_T = ctes("tokens") + """, a AS (SELECT b.tile_id AS w, a.r * 5 + a.c AS q, b.r * 5 + b.c AS t, CAST(round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / (sqrt(list_dot_product(a.vec::DOUBLE[], a.vec::DOUBLE[])) * sqrt(list_dot_product(b.vec::DOUBLE[], b.vec::DOUBLE[]))) * 1e6) AS BIGINT) AS s FROM tokens a, tokens b WHERE a.tile_id = 0 AND b.tile_id BETWEEN 1 AND 19)"""
+_T = ctes("tokens") + """, a AS (SELECT a.tile_id AS u, b.tile_id AS w, a.r * 5 + a.c AS q, b.r * 5 + b.c AS t, CAST(round(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / (sqrt(list_dot_product(a.vec::DOUBLE[], a.vec::DOUBLE[])) * sqrt(list_dot_product(b.vec::DOUBLE[], b.vec::DOUBLE[]))) * 1e6) AS BIGINT) AS s FROM tokens a, tokens b WHERE a.tile_id % 100 = 0 AND b.tile_id <> a.tile_id)"""
 
 
-@register("VE04_cheap_scores", _T + ", c AS (SELECT w, q, max(s) AS m FROM a GROUP BY w, q) SELECT w, round(avg(m), 3) AS chamfer, max(m) AS best FROM c GROUP BY w")
+@register("VE04_cheap_scores", _T + ", f AS (SELECT *, row_number() OVER (PARTITION BY u, w, q ORDER BY s DESC, t) AS x, row_number() OVER (PARTITION BY u, w, t ORDER BY s DESC, q) AS y FROM a) SELECT u, w, round(avg(s) FILTER (x = 1) / 1e6, 6) AS chamfer, count(*) FILTER (x = 1 AND y = 1) / 25e0 AS mnn FROM f GROUP BY u, w")
 def cheap(spark, sf_dir):
-    best = token_scores(spark, sf_dir).groupBy("w", "q").agg(F.max("s").alias("m"))
-    return best.groupBy("w").agg(F.round(F.avg("m"), 3).alias("chamfer"), F.max("m").alias("best"))
+    return K.cheap_scores(token_scores(spark, sf_dir), ["u", "w"], 25).select("u", "w", F.round(F.col("chamfer") / 1e6, 6).alias("chamfer"), "mnn")
 
 
-@register("AG22_ratio_test", _T + """, k AS (SELECT *, row_number() OVER (PARTITION BY w, q ORDER BY s DESC, t) AS n FROM a) SELECT x.w, count(*) AS kept, sum(x.s) AS total FROM k x JOIN k y ON x.w = y.w AND x.q = y.q AND x.n = 1 AND y.n = 2 WHERE y.s <= 0.8e0 * x.s GROUP BY x.w""")
-def ratio_test(spark, sf_dir):
-    over = Window.partitionBy("w", "q").orderBy(F.col("s").desc(), "t")
-    rows = token_scores(spark, sf_dir).withColumn("n", F.row_number().over(over)).withColumn("next", F.lead("s").over(over))
-    return rows.filter("n = 1 AND next <= 0.8e0 * s").groupBy("w").agg(F.count("*").alias("kept"), F.sum("s").alias("total"))
+@register("AG22_patch_overlap", _T + """, k AS (SELECT *, row_number() OVER (PARTITION BY u, w, q ORDER BY s DESC, t) AS n, row_number() OVER (PARTITION BY u, w, t ORDER BY s DESC, q) AS y FROM a),
+m AS (SELECT x.u, x.w, x.q, x.s, row_number() OVER (PARTITION BY x.u, x.w ORDER BY x.s, x.q) AS place, count(*) OVER (PARTITION BY x.u, x.w) AS n FROM k x JOIN k z ON x.u = z.u AND x.w = z.w AND x.q = z.q AND z.n = 2 WHERE x.n = 1 AND x.y = 1 AND z.s <= 0.9e0 * greatest(x.s, 0.001e0)),
+g AS (SELECT u, w, max(n) AS n, avg(s) FILTER (place > floor(n * 0.1e0) AND place <= n - floor(n * 0.1e0)) AS mean FROM m GROUP BY u, w)
+SELECT p.u, p.w, coalesce(n, 0) AS n_matches, round(coalesce(mean / 1e6 * sqrt((n / 25e0) * (n / 25e0)), 0e0), 6) AS score FROM (SELECT DISTINCT u, w FROM a) p LEFT JOIN g ON p.u = g.u AND p.w = g.w""")
+def patch_overlap(spark, sf_dir):
+    found = K.patch_overlap(token_scores(spark, sf_dir), ["u", "w"], 25, 25, unit=1e6)
+    return found.select("u", "w", "n_matches", F.round("score", 6).alias("score"))
 
 
-@register("JN18_dense_within_cell", POSITIONED + " SELECT DISTINCT a.tile_id AS cell, b.tile_id AS dense FROM t a JOIN t b ON a.city = b.city AND abs(a.x - b.x) <= 500e0 AND abs(a.y - b.y) <= 500e0 WHERE a.tile_id % 20 = 0")
+@register("JN18_dense_within_cell", POSITIONED + " SELECT DISTINCT a.tile_id AS cell, b.tile_id AS dense FROM t a JOIN t b ON a.city = b.city AND abs(a.x - b.x) <= 500e0 AND abs(a.y - b.y) <= 500e0")
 def dense_within(spark, sf_dir):
     rows = tiles(spark, sf_dir).select("tile_id", "city", "x", "y")
-    return box_join(rows.where("tile_id % 20 = 0"), rows, 500.0, ["city"]).select(F.col("tile_id").alias("cell"), F.col("r_tile_id").alias("dense")).distinct()
+    return box_join(rows, rows, 500.0, ["city"]).select(F.col("tile_id").alias("cell"), F.col("r_tile_id").alias("dense")).distinct()
 
 
-@register("JN19_ordered_pool", POSITIONED + """, h AS (SELECT a.tile_id % 3 AS q, CAST(floor(a.tile_id / 20e0) AS BIGINT) AS cell_rank, b.tile_id AS t FROM t a JOIN t b ON a.city = b.city AND abs(a.x - b.x) <= 500e0 AND abs(a.y - b.y) <= 500e0 WHERE a.tile_id % 20 = 0),
+@register("JN19_ordered_pool", POSITIONED + """, h AS (SELECT a.tile_id % 3 AS q, CAST(floor(a.tile_id / 20e0) AS BIGINT) AS cell_rank, b.tile_id AS t FROM t a JOIN t b ON a.city = b.city AND abs(a.x - b.x) <= 500e0 AND abs(a.y - b.y) <= 500e0),
 m AS (SELECT q, t, min(cell_rank) AS first FROM h GROUP BY q, t), n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY first, t) AS place FROM m) SELECT q, t, first, place FROM n WHERE place <= 30""")
 def ordered_pool(spark, sf_dir):
     rows = tiles(spark, sf_dir).select("tile_id", "city", "x", "y")
-    hits = box_join(rows.where("tile_id % 20 = 0"), rows, 500.0, ["city"])
+    hits = box_join(rows, rows, 500.0, ["city"])
     pool = hits.groupBy((F.col("tile_id") % 3).alias("q"), F.col("r_tile_id").alias("t")).agg(F.min(F.floor(F.col("tile_id") / 20)).alias("first"))
     return pool.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("first", "t"))).filter("place <= 30")
 
@@ -126,11 +130,8 @@ def limited_area(spark, sf_dir):
 
 @register("WN07_canonical_pair", POSITIONED + ", m AS (SELECT point_id, tile_id, power(p.x - t.x, 2) + power(p.y - t.y, 2) AS d FROM p, t WHERE p.city = t.city AND abs(p.x - t.x) <= (size + 250e0) / 2 AND abs(p.y - t.y) <= (size + 250e0) / 2) SELECT point_id, arg_min(tile_id, {'d': d, 't': tile_id}) AS tile_id FROM m GROUP BY point_id")
 def canonical_pair(spark, sf_dir):
-    hits = box_join(points(spark, sf_dir), tiles(spark, sf_dir), 625.0, ["city"])
-    half = (geo.side(F.col("r_size_m"), 1000.0) + 250) / 2
-    hits = hits.filter((F.abs(F.col("x") - F.col("r_x")) <= half) & (F.abs(F.col("y") - F.col("r_y")) <= half))
-    d = F.pow(F.col("x") - F.col("r_x"), 2) + F.pow(F.col("y") - F.col("r_y"), 2)
-    return hits.groupBy("point_id").agg(F.min_by("r_tile_id", F.struct(d.alias("d"), F.col("r_tile_id").alias("t"))).alias("tile_id"))
+    ask, all_ = points(spark, sf_dir), tiles(spark, sf_dir)
+    return P.canonical_pairs(P.select("current_rule", ask, all_), ask, all_).select("point_id", "tile_id")
 
 
 @register("WN06_checkerboard", POSITIONED + """, o AS (SELECT *, min(x) OVER (PARTITION BY city) AS x0, min(y) OVER (PARTITION BY city) AS y0 FROM t), g AS (SELECT *, CAST(round_even((x - x0) / 1500e0, 0) AS BIGINT) AS cx, CAST(round_even((y - y0) / 1500e0, 0) AS BIGINT) AS cy FROM o),
@@ -221,9 +222,9 @@ def greedy_capped(spark, sf_dir):
     return K.greedy_capped(rows, "q", budget=10, per_position=3, per_cell=4, min_cells=5)
 
 
-def planned(spark, sf_dir, some: str = "true"):
-    """Batches of the vectors for which `some` holds, with their nearest among these."""
-    rows = carrier(spark, sf_dir, "vectors").where(some)
+def planned(spark, sf_dir):
+    """Batches of all vectors, with their nearest neighbours."""
+    rows = carrier(spark, sf_dir, "vectors")
     pairs = rows.select(F.col("city").alias("shard"), F.col("vec_id").alias("pair"), F.col("vec_id").alias("q"), (F.col("vec_id") % 45).alias("t"))
     found = K.cosine_scores(rows, rows, "vec_id", "vec_id").filter("q <> t").withColumn("s", F.round(F.col("s") * 1e6).cast("long"))
     near = K.top_k(found, 5).select(F.col("q").alias("pair"), "rank", F.col("t").alias("nbr"))
@@ -257,9 +258,21 @@ def split_shift(spark, sf_dir):
     return points(spark, sf_dir).groupBy((F.col("point_id") % 3).alias("split")).agg(F.count("*").alias("n"), F.countDistinct("city").alias("cities"), F.round(F.avg("x"), 2).alias("cx"), F.round(F.stddev_pop("x"), 2).alias("sx"), F.round(F.min("y"), 2).alias("y0"), F.round(F.max("y"), 2).alias("y1"))
 
 
-@register("AG32_ablations", _F + " SELECT frame_id, round(avg(score), 6) AS mean, max(score) AS max, round(sum(score * level) / sum(level), 6) AS learned FROM scores GROUP BY frame_id")
+_LEVELS = _S + """, l AS (SELECT q, t, level, ql = tl AS pos, s * (1 + (q + t * level) % 5) AS s, 1 + (q * 7 + level * 3) % 4 AS beta FROM a, (SELECT unnest([1, 2, 3]) AS level)),
+v AS (SELECT q, t, bool_or(pos) AS pos, sum(s * beta) AS learned, sum(s) AS mean, max(s) AS max FROM l GROUP BY q, t),
+u AS (UNPIVOT v ON learned, mean, max INTO NAME variant VALUE s), r AS (SELECT *, row_number() OVER (PARTITION BY variant, q ORDER BY s DESC, t) AS rank FROM u), f AS (SELECT variant, q, min(rank) AS rank FROM r WHERE pos GROUP BY variant, q)"""
+
+
+def level_matrix(spark, sf_dir):
+    """(q, t, level, s, beta, positive): scores of three levels, and a weight of each level for each query."""
+    rows = scores(spark, sf_dir).withColumn("level", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    q, t, level = (F.col(c) for c in ("q", "t", "level"))
+    return rows.select("q", "t", "level", (F.col("s") * (1 + (q + t * level) % 5)).alias("s"), (1 + (q * 7 + level * 3) % 4).alias("beta"), (F.col("ql") == F.col("tl")).alias("positive"))
+
+
+@register("AG32_ablations", _LEVELS + " SELECT variant, count(*) AS n, round(avg(CAST(rank <= 1 AS INT)), 6) AS r1, round(avg(CAST(rank <= 5 AS INT)), 6) AS r5, round(avg(CAST(rank <= 10 AS INT)), 6) AS r10, quantile_cont(rank, 0.5) AS median_rank FROM f GROUP BY variant")
 def ablations(spark, sf_dir):
-    return level_scores(spark, sf_dir).groupBy("frame_id").agg(F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("max"), F.round(F.sum(F.col("score") * F.col("level")) / F.sum("level"), 6).alias("learned"))
+    return K.ablations(level_matrix(spark, sf_dir))
 
 
 @register("FL06_interpret", _S + ", f AS (SELECT q, min(rank) AS rank FROM k WHERE tl = ql GROUP BY q) SELECT round(avg(CAST(rank <= 10 AS INT)), 6) AS r10, CASE WHEN avg(CAST(rank <= 10 AS INT)) >= 0.5 THEN 'high' WHEN avg(CAST(rank <= 10 AS INT)) < 0.1 THEN 'low' ELSE 'medium' END AS reading FROM f")
@@ -281,8 +294,8 @@ def crop_major(spark, sf_dir):
     return rows.groupBy("crop", "level").agg(F.count("*").alias("queries"), F.min("q").alias("first"))
 
 
-@register("JN28_missing_as_floor", _S + ", w AS (SELECT q, t, s FROM a WHERE q < 50 AND t < 40), x AS (SELECT q, t, s FROM w WHERE t % 3 <> 0) SELECT w.q, w.t, coalesce(x.s, -1000000000) AS s FROM w LEFT JOIN x USING (q, t)")
+@register("JN28_missing_as_floor", _S + ", w AS (SELECT q, t, s FROM a), x AS (SELECT q, t, s FROM w WHERE t % 3 <> 0) SELECT w.q, w.t, coalesce(x.s, -1000000000) AS s FROM w LEFT JOIN x USING (q, t)")
 def missing_floor(spark, sf_dir):
-    rows = scores(spark, sf_dir).filter("q < 50 AND t < 40").select("q", "t", "s")
+    rows = scores(spark, sf_dir).select("q", "t", "s")
     known = rows.filter("t % 3 <> 0")
     return rows.select("q", "t").join(known, ["q", "t"], "left").select("q", "t", F.coalesce("s", F.lit(-1000000000)).alias("s"))

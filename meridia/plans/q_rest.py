@@ -86,12 +86,12 @@ def validated_masks(spark, sf_dir):
     return L.validated(carrier(spark, sf_dir, "batch")).groupBy("q").agg(n("is_pos").alias("positives"), n("is_cand").alias("candidates"))
 
 
-@register("GR11_epoch_seeds", ctes("vectors") + " SELECT vec_id % 3 AS shard, count(*) AS pairs FROM vectors WHERE vec_id % 10 = 0 GROUP BY 1")
+@register("GR11_epoch_seeds", ctes("vectors") + " SELECT vec_id % 3 AS shard, count(*) AS pairs FROM vectors GROUP BY 1")
 def epoch_seeds(spark, sf_dir):
     """Every pair is in a batch of the epoch."""
     from meridia.plans.q_rank import planned
 
-    return planned(spark, sf_dir, "vec_id % 10 = 0").groupBy("shard").agg(F.countDistinct("pair").alias("pairs"))
+    return planned(spark, sf_dir).groupBy("shard").agg(F.countDistinct("pair").alias("pairs"))
 
 
 @register("SC08_kept_tokens", ctes("tokens") + ", k AS (SELECT tile_id, list_transform(generate_series(0, 8), lambda i: i * 3) AS keep FROM (SELECT DISTINCT tile_id FROM tokens)) SELECT tile_id, CAST(n AS INTEGER) AS n, CAST(floor(keep[n + 1] / 5e0) AS BIGINT) AS r, keep[n + 1] % 5 AS c FROM k, (SELECT unnest(generate_series(0, 8)) AS n)")
@@ -211,13 +211,13 @@ def frame_estimates(spark, sf_dir):
     return fused.withColumn("n", F.row_number().over(order)).filter("n = 1").select("frame_id", "level")
 
 
-@register("VE11_soft_assignment", ctes("vectors") + """, s AS (SELECT a.vec_id AS t, b.vec_id % 8 AS k, list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / 0.2e0 AS z FROM vectors a, vectors b WHERE a.vec_id < 50 AND b.vec_id >= 400 AND b.vec_id < 408)
+@register("VE11_soft_assignment", ctes("vectors") + """, s AS (SELECT a.vec_id AS t, b.vec_id % 8 AS k, list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[]) / 0.2e0 AS z FROM vectors a, vectors b WHERE b.vec_id >= 400 AND b.vec_id < 408)
 SELECT k, round(sum(p), 5) AS mass FROM (SELECT k, exp(z) / sum(exp(z)) OVER (PARTITION BY t) AS p FROM s) GROUP BY k""")
 def soft_assignment(spark, sf_dir):
     from meridia.functions import stats, vec
 
     rows = carrier(spark, sf_dir, "vectors")
     centres = rows.filter("vec_id >= 400 AND vec_id < 408").select((F.col("vec_id") % 8).alias("k"), F.col("vec").alias("b"))
-    pairs = rows.filter("vec_id < 50").select(F.col("vec_id").alias("t"), F.col("vec").alias("a")).crossJoin(centres)
+    pairs = rows.select(F.col("vec_id").alias("t"), F.col("vec").alias("a")).crossJoin(centres)
     soft = pairs.withColumn("s", vec.dot(F.col("a"), F.col("b"))).withColumn("p", stats.softmax(F.col("s"), ["t"], 0.2))
     return soft.groupBy("k").agg(F.round(F.sum("p"), 5).alias("mass"))

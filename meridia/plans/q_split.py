@@ -62,13 +62,15 @@ def point_components(spark, sf_dir):
 
 @register(
     "GR02_connected_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS a, 1000 + l_partkey % 500 AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0),
-r AS (SELECT a AS v, a AS w FROM e UNION SELECT b, b FROM e UNION SELECT r.v, CASE WHEN e.a = r.w THEN e.b ELSE e.a END FROM r JOIN e ON e.a = r.w OR e.b = r.w)
-SELECT v, min(w) AS component FROM r GROUP BY v""",
+    """WITH RECURSIVE e AS (SELECT o_orderkey AS a, CASE WHEN o_orderkey % 50 < 46 THEN o_orderkey + 1 + o_custkey % 3 ELSE o_orderkey END AS b FROM orders),
+d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(v, component) USING KEY (v) AS (SELECT a, a FROM d GROUP BY a UNION (SELECT d.a, min(r.component) FROM r JOIN d ON d.b = r.v JOIN recurring.r AS c ON c.v = d.a WHERE r.component < c.component GROUP BY d.a))
+SELECT v, component FROM r""",
 )
 def connected_components(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1 AND l_orderkey % 5 = 0")
-    edges = rows.select((F.col("l_orderkey") % 500).alias("a"), (1000 + F.col("l_partkey") % 500).alias("b")).distinct()
+    """Chains of orders that skip up to two numbers, in blocks of fifty numbers."""
+    k = F.col("o_orderkey")
+    edges = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("a"), F.when(k % 50 < 46, k + 1 + F.col("o_custkey") % 3).otherwise(k).alias("b"))
     return C.connected(edges.select(F.col("a").alias("v")).union(edges.select("b")), edges)
 
 
@@ -142,12 +144,10 @@ def per_city_counts(spark, sf_dir):
 @register("AG07_stride_stats", _SPARSE + """, d AS (SELECT a.tile_id, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) * cos(radians(a.lat))) AS d FROM t a JOIN t b ON a.tile_id <> b.tile_id GROUP BY a.tile_id)
 SELECT round(quantile_cont(d, 0.5), 2) AS median, round(min(d), 2) AS least, round(quantile_cont(d, 0.9), 2) AS p90 FROM d""")
 def stride_stats(spark, sf_dir):
-    """Distances to the nearest other tile; every tile is its own query, so the second nearest centre counts."""
-    from meridia.operators.box_join import box_join
+    """Distances of all tiles to the nearest other one."""
+    from meridia.operators.box_join import nearest
 
     tiles = sparse_tiles(spark, sf_dir)
-    d = F.sqrt(F.pow(F.col("x") - F.col("r_x"), 2) + F.pow(F.col("y") - F.col("r_y"), 2))
-    rest, out, reach = tiles.select("tile_id", "x", "y", "lat"), None, 4000.0
-    pairs = box_join(rest, tiles.select("tile_id", "x", "y"), reach).filter("tile_id <> r_tile_id").groupBy("tile_id", "lat").agg(F.min(d).alias("d"))
-    near = pairs.select((F.col("d") * F.cos(F.radians("lat"))).alias("d"))
+    near = nearest(tiles.select("tile_id", "x", "y", "lat"), tiles.select("tile_id", "x", "y"), 1000.0, "tile_id", apart=True)
+    near = near.select((F.sqrt("d2") * F.cos(F.radians("lat"))).alias("d"))
     return near.agg(F.round(F.percentile("d", F.lit(0.5)), 2).alias("median"), F.round(F.min("d"), 2).alias("least"), F.round(F.percentile("d", F.lit(0.9)), 2).alias("p90"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import text as X
+from meridia.operators import osm as O
 from meridia.registry import register
 from meridia.sources.carriers import carrier, ctes
 
@@ -82,9 +83,9 @@ def derived_seed(spark, sf_dir):
     return _names(spark, sf_dir).select("id", X.hash_number(F.col("stem"), 8).alias("seed"))
 
 
-@register("ST19_error_kinds", "SELECT event_id, event_type || ' 429 Too Many Requests' AS message, event_id % 2 = 0 AS quota FROM events WHERE event_id < 500")
+@register("ST19_error_kinds", "SELECT event_id, event_type || ' 429 Too Many Requests' AS message, event_id % 2 = 0 AS quota FROM events")
 def error_kinds(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 500").withColumn("message", F.concat("event_type", F.lit(" 429 Too Many Requests")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("message", F.concat("event_type", F.lit(" 429 Too Many Requests")))
     seen = F.when(F.col("event_id") % 2 == 0, F.col("message")).otherwise("timed out")
     return rows.select("event_id", "message", X.is_quota_error(seen).alias("quota"))
 
@@ -106,29 +107,37 @@ def dedupe_positions(spark, sf_dir):
     return rows.groupBy("a", "b").agg(F.min("point_id").alias("point_id"))
 
 
-@register("SC10_sample_tokens", ctes("tokens") + ", q AS (SELECT tile_id, r, c, row_number() OVER (PARTITION BY tile_id ORDER BY (r * 31 + c * 17 + tile_id * 7) % 101, r, c) AS n FROM tokens WHERE tile_id % 2 = 0) SELECT tile_id, r, c FROM q WHERE n <= 6")
+@register("SC10_sample_tokens", ctes("tokens") + ", q AS (SELECT tile_id, r, c, row_number() OVER (PARTITION BY tile_id ORDER BY (r * 31 + c * 17 + tile_id * 7) % 101, r, c) AS n FROM tokens) SELECT tile_id, r, c FROM q WHERE n <= 6")
 def sample_tokens(spark, sf_dir):
     from pyspark.sql import Window
 
     order = Window.partitionBy("tile_id").orderBy((F.col("r") * 31 + F.col("c") * 17 + F.col("tile_id") * 7) % 101, "r", "c")
-    rows = carrier(spark, sf_dir, "tokens").where("tile_id % 2 = 0").withColumn("n", F.row_number().over(order))
+    rows = carrier(spark, sf_dir, "tokens").withColumn("n", F.row_number().over(order))
     return rows.filter("n <= 6").select("tile_id", "r", "c")
 
 
-@register("FL01_corrupt_latitude", _N + " SELECT id, coalesce(try_cast(string_split_regex(stem, '[_,]')[1] AS DOUBLE) NOT BETWEEN -90 AND 90, true) AS corrupt FROM names")
+@register("FL01_corrupt_latitude", _N + ", h AS (SELECT id, CASE WHEN id % 4 = 0 THEN '8.5901_37.2' WHEN id % 4 = 1 THEN (40 + id % 20) || '.25_30.1' ELSE stem END AS stem FROM names) SELECT id, coalesce(try_cast(split_part(stem, '_', 1) AS DOUBLE) NOT BETWEEN 44 AND 53, false) AS corrupt FROM h")
 def corrupt_latitude(spark, sf_dir):
-    first = F.get(F.split("stem", "[_,]"), F.lit(0)).try_cast("double")
-    return _names(spark, sf_dir).select("id", F.coalesce(~first.between(-90, 90), F.lit(True)).alias("corrupt"))
+    k = F.col("id") % 4
+    stem = F.when(k == 0, "8.5901_37.2").when(k == 1, F.concat((40 + F.col("id") % 20).cast("string"), F.lit(".25_30.1"))).otherwise(F.col("stem"))
+    return _names(spark, sf_dir).select("id", X.looks_corrupt(stem).alias("corrupt"))
 
 
-@register("FL02_classify_way", """SELECT event_id, CASE WHEN k < 3 THEN 'road' WHEN k < 5 THEN 'water' WHEN k = 5 THEN 'lake' END AS class FROM (SELECT event_id, event_id % 8 AS k FROM events)""")
+_WAYS = """WITH w AS (SELECT event_id, event_id % 16 AS k, ['motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'unclassified', 'residential', 'service', 'road', 'track', 'footway', 'steps'][1 + event_id % 12] AS h FROM events)"""
+
+
+def ways(spark, sf_dir):
+    """(event_id, tags): roads of known and other classes, rivers, lakes, buildings, some with several tags."""
+    k = F.col("event_id") % 16
+    kinds = F.array(*map(F.lit, (*O.ROADS, "footway", "steps")))
+    tag = lambda name, value, when: F.when(when, F.struct(F.lit(name).alias("key"), value.alias("value")))
+    found = F.array_compact(F.array(tag("highway", F.get(kinds, (F.col("event_id") % 12).cast("int")), k < 8), tag("waterway", F.lit("river"), (k >= 6) & (k < 11)), tag("natural", F.lit("water"), (k == 12) | (k == 0)), tag("natural", F.lit("wood"), k == 13), tag("building", F.lit("yes"), k == 14)))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.map_from_entries(found).alias("tags"))
+
+
+@register("FL02_classify_way", _WAYS + " SELECT event_id, CASE WHEN k < 8 AND event_id % 12 < 10 THEN h WHEN k >= 6 AND k < 11 THEN 'waterway' WHEN k IN (0, 12) THEN 'natural_water' END AS class FROM w")
 def classify_way(spark, sf_dir):
-    k = F.col("event_id") % 8
-    tag = lambda name, value, when: F.when(when, F.struct(F.lit(name).alias("key"), F.lit(value).alias("value")))
-    found = F.array_compact(F.array(tag("highway", "primary", k < 3), tag("waterway", "river", (k >= 2) & (k < 5)), tag("natural", "water", (k == 5) | (k == 0)), tag("building", "yes", k == 7)))
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.map_from_entries(found).alias("tags"))
-    roads = F.array(*map(F.lit, ("primary", "secondary", "residential")))
-    return rows.select("event_id", F.when(F.array_contains(roads, F.col("tags")["highway"]), "road").when(F.col("tags")["waterway"].isNotNull(), "water").when(F.col("tags")["natural"] == "water", "lake").alias("class"))
+    return ways(spark, sf_dir).select("event_id", O.way_class(F.col("tags")).alias("class"))
 
 
 @register("FL03_coverage_status", ctes("points") + """, q AS (SELECT point_id, greatest(48.51e0 - lat, lat - 48.55e0, 0e0) AS dy, greatest(37.52e0 - lon, lon - 37.6e0, 0e0) AS dx, least(lat - 48.51e0, 48.55e0 - lat, lon - 37.52e0, 37.6e0 - lon) AS margin FROM points)

@@ -47,9 +47,9 @@ SQL = {
     "runs": """SELECT o_orderkey AS annotation_id, o_orderkey % 50 AS image_id, o_custkey % 4 AS category_id, o_orderkey % 200 AS skip, 1 + o_custkey % 40 AS fill FROM {orders}""",
     # pixels of overlapping layers, of which the finest that has data counts
     "pixels": """SELECT CAST(l_linenumber AS BIGINT) AS layer, l_orderkey % 64 AS r, l_partkey % 64 AS c, CASE WHEN l_suppkey % 5 = 0 THEN 0 ELSE 1 + l_suppkey % 200 END AS v FROM {lineitem}""",
-    # the frames of a training batch against a gallery: scores, positives and candidates
+    # the frames of a training batch, every id divisible by 100, against the whole gallery: scores, positives and candidates
     "batch": """SELECT a.vec_id AS q, b.vec_id AS t, (a.vec_id * 31 + b.vec_id * 17) % 97 / 97e0 AS s, a.label = b.label AS is_pos, a.label = b.label OR (a.vec_id + b.vec_id) % 3 = 0 AS is_cand
-        FROM {embeddings} AS a, {embeddings} AS b WHERE a.vec_id % 16 = 0 AND a.vec_id < 160 AND b.vec_id < 200""",
+        FROM {embeddings} AS a, {embeddings} AS b WHERE a.vec_id % 100 = 0""",
 }
 
 
