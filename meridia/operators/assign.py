@@ -8,6 +8,7 @@ least deviation, until it fits or three are left. That no assignment fits is a r
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meridia.operators.components import overlapping
+from meridia.sources.scratch import written
 
 SPLITS = ("train", "val", "test")
 EXCLUDED = "excluded"
@@ -71,10 +73,13 @@ def solve(components: list[tuple[int, int, object]], ratios: tuple[float, ...] =
     return Outcome("ok", splits, bool(dropped))
 
 
-def assigned(components: DataFrame, sizes: DataFrame, ratios: tuple[float, ...] = RATIOS, tolerance: float = 0.05) -> tuple[DataFrame, Outcome]:
-    """(point_id, component_id, split) and the outcome. Only a row for each component goes to the driver, in order of size."""
+def assigned(components: DataFrame, sizes: DataFrame, ratios: tuple[float, ...] = RATIOS, tolerance: float = 0.05, solver: Callable[..., Outcome] = solve) -> tuple[DataFrame, Outcome]:
+    """(point_id, component_id, split) and the outcome. Only a row for each component goes to the driver, in order of size.
+
+    solver: solve, the greedy one, or exact_split.best_or_greedy.
+    """
     spark = components.sparkSession
-    found = solve([tuple(r) for r in sizes.select("component_id", "size", "name").collect()], ratios, tolerance)
+    found = solver([tuple(r) for r in sizes.select("component_id", "size", "name").collect()], ratios, tolerance)
     kind = T.StructType.fromDDL("component_id int, split string")
     table = spark.createDataFrame(list(found.splits.items()), kind)
     return components.join(table, "component_id").select("point_id", "component_id", "split"), found
@@ -97,8 +102,9 @@ def audit(points: DataFrame, splits: DataFrame, matches: DataFrame, tiles: DataF
 
     points: all that must be labelled; splits: (point_id, split).
     """
+    splits, components = written(splits), written(components)  # each is read by several checks
     kept = splits.filter(F.col("split").isin(*SPLITS))
-    tile_splits = matches.join(kept, "point_id").select("tile_id", "split").distinct()
+    tile_splits = written(matches.join(kept, "point_id").select("tile_id", "split").distinct())
     shared = tile_splits.groupBy("tile_id").agg(F.count("*").alias("n")).filter("n > 1")
     pairs = overlapping(tiles.join(tile_splits.select("tile_id").distinct(), "tile_id", "left_semi"), epsilon=epsilon)
     crossing = pairs.join(tile_splits.select(F.col("tile_id").alias("a"), F.col("split").alias("sa")), "a").join(tile_splits.select(F.col("tile_id").alias("b"), F.col("split").alias("sb")), "b").filter("sa <> sb").select("a", "b").distinct()

@@ -28,6 +28,17 @@ def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds `out`: the rows' numbers from 0 in order of the key. Ranges of the key are counted, and each is numbered from the sum
+    of those before it, so no task sees all rows."""
+    rows = written(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return rows.join(F.broadcast(offsets), "_p").withColumn(out, (F.col("_o") + place).cast("int")).drop("_p", "_o")
+
+
 def overlap_true_m2(fallback: float) -> Column:
     """Shared area in true square metres of a pair of tiles (left columns and r_): grid squares at the mean latitude."""
     a, b = geo.side(F.col("size_m"), fallback), geo.side(F.col("r_size_m"), fallback)
@@ -54,7 +65,7 @@ def point_components(matches: DataFrame, clusters: DataFrame) -> DataFrame:
     hub = links.groupBy("cluster").agg(F.min("point_id").alias("b"))  # a star for each cluster, not all its pairs
     edges = links.join(hub, "cluster").select(F.col("point_id").alias("a"), "b")
     found = connected(links.select(F.col("point_id").alias("v")), edges)
-    names = found.select("component").distinct().withColumn("component_id", F.row_number().over(Window.orderBy("component")) - 1)
+    names = numbered(found.select("component").distinct(), "component", "component_id")
     return found.join(names, "component").select(F.col("v").alias("point_id"), "component_id", F.col("component").alias("name"))
 
 

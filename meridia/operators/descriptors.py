@@ -90,6 +90,19 @@ def residual_query(tokens: DataFrame, centroids: DataFrame, by: list[str]) -> Da
     return sums.join(centre, ["k", "i"]).select(*by, "k", "i", (F.col("x") - F.col("w") * F.col("c")).alias("x"))
 
 
+def soft_vlad(tokens: DataFrame, centroids: DataFrame, by: list[str], tau: float = 0.2) -> DataFrame:
+    """(by, k, i, x): residuals to every centroid of a dictionary of stated size, weighted by the softmax over centroids of the
+    token's product with them, summed, and scaled to length 1 for each group."""
+    pairs = tokens.withColumn("_t", F.monotonically_increasing_id()).crossJoin(F.broadcast(centroids))
+    z = F.aggregate(F.zip_with("vec", "centre", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda t, x: t + x) / tau
+    rows = pairs.withColumn("_z", z)
+    over = Window.partitionBy("_t")
+    rows = rows.withColumn("_e", F.exp(F.col("_z") - F.max("_z").over(over))).withColumn("_p", F.col("_e") / F.sum("_e").over(over))
+    rows = rows.withColumn("residual", F.zip_with("vec", "centre", lambda a, b: a.cast("double") - b))
+    sums = positional(rows, [*by, "k"], "residual", F.col("_p")).drop("w")
+    return sums.withColumn("x", F.col("x") / F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*by))), F.lit(1e-12)))
+
+
 def concentric_weight(r: Column, c: Column, n: int, share: float) -> Column:
     """The part of token (r, c) of an n x n grid that the centred square of this share of the side covers."""
     low, high = n * (1 - share) / 2, n * (1 + share) / 2

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import stats
-from meridia.operators import rank
+from meridia.operators import descriptors, rank, raster
 
 
 class Registry:
@@ -35,9 +35,30 @@ class Registry:
 ESTIMATORS, FUSIONS, AGGREGATIONS, MASKERS = (Registry(x) for x in ("estimator", "fusion", "aggregation", "masker"))
 
 
+# Estimators: fn(scores of token pairs (frame_id, level, q, t, s), tokens of a query, tokens of a level) -> (frame_id, level, score)
+
+
+@ESTIMATORS.add("patch_overlap")
+def patch_overlap(scores: DataFrame, n_queries: int, n_tiles: int) -> DataFrame:
+    return rank.patch_overlap(scores, ["frame_id", "level"], n_queries, n_tiles).select("frame_id", "level", "score")
+
+
+@ESTIMATORS.add("chamfer")
+def chamfer(scores: DataFrame, n_queries: int, n_tiles: int) -> DataFrame:
+    return rank.cheap_scores(scores, ["frame_id", "level"], n_queries).select("frame_id", "level", F.col("chamfer").alias("score"))
+
+
+@ESTIMATORS.add("mutual_share")
+def mutual_share(scores: DataFrame, n_queries: int, n_tiles: int) -> DataFrame:
+    return rank.cheap_scores(scores, ["frame_id", "level"], n_queries).select("frame_id", "level", F.col("mnn").alias("score"))
+
+
+# Fusions: fn(level scores (frame_id, method, level, score)) -> (frame_id, level, weight)
+
+
 @FUSIONS.add("rank_vote")
 def rank_vote(scores: DataFrame) -> DataFrame:
-    """(frame_id, level, weight): reciprocal ranks of all methods, as a softmax."""
+    """Reciprocal ranks of all methods, as a softmax."""
     fused = rank.reciprocal_rank_fusion(scores, "frame_id", "method", "level")
     return fused.withColumn("weight", stats.softmax(F.col("score"), ["frame_id"], 0.01)).drop("score")
 
@@ -48,30 +69,63 @@ def mean(scores: DataFrame) -> DataFrame:
     return fused.withColumn("weight", stats.softmax(F.col("score"), ["frame_id"], 0.1)).drop("score")
 
 
-@ESTIMATORS.add("best")
-def best(scores: DataFrame) -> DataFrame:
-    """Each method's best level."""
-    return scores.groupBy("frame_id", "method").agg(F.max_by("level", F.struct(F.col("score"), -F.col("level"))).alias("level"))
+@FUSIONS.add("cascade")
+def cascade(scores: DataFrame, first: str = "global", then: str = "patch", most: int = 3, tau: float = 0.1) -> DataFrame:
+    """The softmax of the second method over the `most` best levels of the first; other levels weigh nothing."""
+    of = lambda m: F.max(F.when(F.col("method") == m, F.col("score")))
+    rows = scores.groupBy("frame_id", "level").agg(of(first).alias("a"), of(then).alias("b"))
+    place = F.row_number().over(Window.partitionBy("frame_id").orderBy(F.col("a").desc_nulls_last(), "level"))
+    rows = rows.withColumn("_n", place)
+    return rows.select("frame_id", "level", stats.softmax(F.col("b"), ["frame_id"], tau, F.col("_n") <= most).alias("weight"))
+
+
+# Aggregations: fn(tokens, dictionary (k, centre), keys) -> (keys, k, i, x)
 
 
-@AGGREGATIONS.add("sum", "residual")
-def summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("frame_id").agg(F.sum("score").alias("score"))
+@AGGREGATIONS.add("vlad")
+def vlad(tokens: DataFrame, centroids: DataFrame, by: list[str]) -> DataFrame:
+    return descriptors.vlad(tokens, centroids, by)
 
 
-@AGGREGATIONS.add("max")
-def maximum(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("frame_id").agg(F.max("score").alias("score"))
+@AGGREGATIONS.add("supervlad", "residual")
+def supervlad(tokens: DataFrame, centroids: DataFrame, by: list[str]) -> DataFrame:
+    """Residuals to every centroid, weighted by the softmax of their products."""
+    return descriptors.soft_vlad(tokens, centroids, by)
+
+
+@AGGREGATIONS.add("query")
+def query(tokens: DataFrame, centroids: DataFrame, by: list[str]) -> DataFrame:
+    return descriptors.residual_query(tokens, centroids, by)
+
+
+# Maskers, in the order in which they are asked: fn(frames with a key) -> (key, keep)
 
 
 @MASKERS.add("stored")
-def stored(rows: DataFrame) -> DataFrame:
-    return rows.filter("mask IS NOT NULL")
+def stored(masks: DataFrame, key: str = "frame_id") -> DataFrame:
+    """Masks that were written before."""
+    return masks.filter("mask IS NOT NULL").select(key, F.col("mask").alias("keep"))
+
+
+@MASKERS.add("blocks")
+def blocks(masks: DataFrame, key: str = "frame_id", most: float = 0.2) -> DataFrame:
+    """Blocks whose share of sky is at most `most`; masks: key, sky_share (an array)."""
+    return masks.filter("sky_share IS NOT NULL").select(key, F.transform("sky_share", lambda s: s <= most).alias("keep"))
+
+
+@MASKERS.add("everything")
+def everything(masks: DataFrame, key: str = "frame_id") -> DataFrame:
+    """Keeps all of a grid of n tokens; masks: key, n."""
+    return masks.select(key, F.array_repeat(F.lit(True), F.col("n").cast("int")).alias("keep"))
+
+
+def masked(frames: DataFrame, names: list[str], key: str = "frame_id") -> DataFrame:
+    """(key, keep, backend): each frame's mask by the first masker that has one; that none has it is an error."""
+    found = raster.resolved(frames, [MASKERS[n](frames, key) for n in names], key, "keep")
+    return found.withColumn("backend", F.get(F.array(*map(F.lit, names)), F.col("backend")))
 
 
 def estimated(scores: DataFrame, fusion: str = "rank_vote") -> DataFrame:
     """(frame_id, level, weight, top): a frame's levels under a fusion, and which is the best."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("frame_id").orderBy(F.col("weight").desc(), "level")
     return FUSIONS[fusion](scores).withColumn("top", F.row_number().over(order) == 1)

@@ -84,7 +84,7 @@ def kmeans(spark, sf_dir):
     return D.kmeans(rows, 4, steps=4)[1]
 
 
-@register("VE08_vlad", _C + ", s AS (SELECT tile_id, k, i, sum(v - m) AS x FROM x GROUP BY tile_id, k, i), a AS (SELECT tile_id, k, i, x / sqrt(sum(x * x) OVER (PARTITION BY tile_id, k)) AS x FROM s) SELECT tile_id, k, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY tile_id)), 5) AS x FROM a")
+@register("VE08_vlad", _C + ", s AS (SELECT tile_id, k, i, sum(v - m) AS x FROM x GROUP BY tile_id, k, i), a AS (SELECT tile_id, k, i, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY tile_id, k)), 1e-12) AS x FROM s) SELECT tile_id, k, i, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY tile_id)), 1e-12), 5) AS x FROM a")
 def vlad(spark, sf_dir):
     return D.vlad(all_tokens(spark, sf_dir), dictionary(spark, sf_dir), ["tile_id"]).select("tile_id", "k", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
 

@@ -406,10 +406,3 @@ def placemarks(spark, sf_dir):
 def shortlist(spark, sf_dir):
     rows = K.top_k(scores(spark, sf_dir), 5).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("m"))
     return rows.select("q", F.transform("m", lambda e: e["t"]).alias("cells"))
-
-
-@register("UD01_rules", "SELECT unnest(['contains_point', 'current_rule', 'nearest_tile', 'overlap_weighted', 'pyramid_top_iou_250', 'tile_iou_1000']) AS rule")
-def rules(spark, sf_dir):
-    from meridia.operators.positives import RULES
-
-    return spark.createDataFrame([(r,) for r in sorted(RULES)], "rule string")

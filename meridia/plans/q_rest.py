@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from meridia.functions import geo, text
 from meridia.operators import components as C
 from meridia.operators import losses as L
-from meridia.operators import strategies as S
 from meridia.operators import sync as Y
 from meridia.operators.box_join import box_join
 from meridia.plans.q_geometry import POSITIONED, points, tiles
@@ -196,12 +195,6 @@ def skip_masks(spark, sf_dir):
     return total.crossJoin(left.agg(F.count("*").alias("_left"))).select("total", (F.col("total") - F.col("_left")).alias("skipped"))
 
 
-@register("UD02_strategies", "SELECT unnest(['best', 'mean', 'rank_vote', 'max', 'residual', 'sum', 'stored']) AS name")
-def strategies(spark, sf_dir):
-    names = [n for r in (S.ESTIMATORS, S.FUSIONS, S.AGGREGATIONS, S.MASKERS) for n in r.known]
-    return spark.createDataFrame([(n,) for n in names], "name string")
-
-
 @register("VE15_frame_estimates", ctes("scores") + ", r AS (SELECT frame_id, level, row_number() OVER (PARTITION BY frame_id, method ORDER BY score DESC, level) - 1 AS r, max(score) OVER (PARTITION BY frame_id, method) AS m FROM scores), f AS (SELECT frame_id, level, round(sum(1 / (60 + r + 1e0)), 12) AS s FROM r WHERE m > 0 GROUP BY frame_id, level), n AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY s DESC, level) AS n FROM f) SELECT frame_id, level FROM n WHERE n = 1")
 def frame_estimates(spark, sf_dir):
     from meridia.operators.rank import reciprocal_rank_fusion

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from meridia.operators import assign as A
 from meridia.operators import components as C
+from meridia.operators import exact_split as exact_split_
 from meridia.operators import positives as P
 from meridia.plans.q_geometry import sql_x, sql_y
 from meridia.registry import register
 from meridia.sources.carriers import carrier, ctes
+from meridia.sources.scratch import written
 
 # a frame a little north of each sparse tile
 _SPARSE = ctes("sparse") + f""",
@@ -37,12 +39,12 @@ def sparse_points(spark, sf_dir):
 
 
 def sparse_matches(spark, sf_dir):
-    return P.best_matches(P.select("current_rule", sparse_points(spark, sf_dir), sparse_tiles(spark, sf_dir), P.params(same_city=False)))
+    return written(P.best_matches(P.select("current_rule", sparse_points(spark, sf_dir), sparse_tiles(spark, sf_dir), P.params(same_city=False))))
 
 
-def sparse_components(spark, sf_dir):
+def sparse_components(spark, sf_dir, matches=None):
     tiles = sparse_tiles(spark, sf_dir)
-    return C.point_components(sparse_matches(spark, sf_dir), C.tile_clusters(tiles))
+    return written(C.point_components(matches or sparse_matches(spark, sf_dir), C.tile_clusters(tiles)))
 
 
 @register("JN09_overlap_pairs", _SPARSE + " SELECT a, b, round(area, 2) AS area FROM o")
@@ -103,9 +105,18 @@ def split_counts(spark, sf_dir):
 
 @register("AG04_audit", "SELECT unnest(['partition_complete', 'valid_labels', 'components_atomic', 'tile_id_disjoint', 'geo_disjoint', 'ratios_within_tolerance']) AS \"check\", true AS ok, CAST(0 AS BIGINT) AS n")
 def audit(spark, sf_dir):
-    parts = sparse_components(spark, sf_dir)
+    matches = sparse_matches(spark, sf_dir)
+    parts = sparse_components(spark, sf_dir, matches)
     splits = A.assigned(parts, C.sizes(parts))[0]
-    return A.audit(sparse_points(spark, sf_dir), splits.select("point_id", "split"), sparse_matches(spark, sf_dir), sparse_tiles(spark, sf_dir), parts)
+    return A.audit(sparse_points(spark, sf_dir), splits.select("point_id", "split"), matches, sparse_tiles(spark, sf_dir), parts)
+
+
+@register("GR07_exact_split")
+def exact_split(spark, sf_dir):
+    """The best split where the driver can find it, else the greedy one."""
+    parts = sparse_components(spark, sf_dir)
+    splits, found = A.assigned(parts, C.sizes(parts), solver=exact_split_.best_or_greedy)
+    return splits.withColumn("proven", F.lit(found.proven))
 
 
 # a split by the parity of ids tears the overlapping pairs apart
@@ -123,6 +134,22 @@ def cross_split(spark, sf_dir):
     return pairs.join(left, "a").join(right, "b").filter("sa <> sb").select("a", "b").distinct()
 
 
+@register("AG04_planted_leaks", _PLANTED + """, lb AS (SELECT split FROM s WHERE point_id % 11 <> 0),
+sq AS (SELECT count(*) FILTER (split = 'train') / count(*) AS a, count(*) FILTER (split = 'val') / count(*) AS b, count(*) FILTER (split = 'test') / count(*) AS d FROM lb),
+tsl AS (SELECT DISTINCT tile_id, split FROM m JOIN s USING (point_id) WHERE point_id % 11 <> 0), shl AS (SELECT tile_id FROM tsl GROUP BY tile_id HAVING count(*) > 1),
+crl AS (SELECT o.a, o.b FROM o JOIN tsl x ON o.a = x.tile_id JOIN tsl y ON o.b = y.tile_id WHERE x.split <> y.split GROUP BY o.a, o.b),
+tnl AS (SELECT name FROM c LEFT JOIN (SELECT * FROM s WHERE point_id % 11 <> 0) u USING (point_id) GROUP BY name HAVING count(DISTINCT coalesce(split, '?')) > 1),
+rr AS (SELECT 'partition_complete' AS "check", (SELECT count(*) FROM p WHERE point_id % 11 = 0) AS n UNION ALL SELECT 'valid_labels', 0 UNION ALL SELECT 'components_atomic', (SELECT count(*) FROM tnl) UNION ALL SELECT 'tile_id_disjoint', (SELECT count(*) FROM shl)
+ UNION ALL SELECT 'geo_disjoint', (SELECT count(*) FROM crl) + (SELECT count(*) FROM shl) UNION ALL SELECT 'ratios_within_tolerance', (SELECT CASE WHEN abs(a - 0.7) <= 0.05 AND abs(b - 0.15) <= 0.05 AND abs(d - 0.15) <= 0.05 THEN 0 ELSE 1 END FROM sq))
+SELECT "check", n = 0 AS ok, n FROM rr""")
+def planted_leaks(spark, sf_dir):
+    """The audit of a split by the parity of ids, of which some points have no label."""
+    id_ = F.col("point_id")
+    matches = sparse_matches(spark, sf_dir)
+    splits = sparse_points(spark, sf_dir).filter(id_ % 11 != 0).select("point_id", F.when(id_ % 2 == 0, "train").when(id_ % 4 == 1, "val").otherwise("test").alias("split"))
+    return A.audit(sparse_points(spark, sf_dir), splits, matches, sparse_tiles(spark, sf_dir), sparse_components(spark, sf_dir, matches))
+
+
 @register("GR05_component_cities", _SPARSE + " SELECT name, min(city) AS city, count(DISTINCT city) > 1 AS spans FROM c JOIN p USING (point_id) GROUP BY name")
 def component_cities(spark, sf_dir):
     rows = sparse_components(spark, sf_dir).join(sparse_points(spark, sf_dir).select("point_id", "city"), "point_id")

@@ -41,22 +41,44 @@ def split_json(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def kmz_ring(path: str) -> list[tuple[float, float]]:
-    """(lon, lat) of the first polygon of a KMZ file; without one, the convex hull of its three or more points."""
+def kmz_rings(spark: SparkSession, path: str, name_filter: str | None = None) -> DataFrame:
+    """(path, ring) of KMZ files, which Spark reads as whole binaries; ring: lon and lat of the vertices, the first not again."""
+    from pyspark.sql.functions import udf
+
+    ring = udf(lambda content: [tuple(p) for p in ring_of(bytes(content), name_filter)], "array<struct<lon:double,lat:double>>")
+    return spark.read.format("binaryFile").load(path).select("path", ring("content").alias("ring"))
+
+
+def kmz_ring(path: str, name_filter: str | None = None) -> list[tuple[float, float]]:
+    """ring_of() of a local file."""
+    with open(path, "rb") as f:
+        return ring_of(f.read(), name_filter)
+
+
+def ring_of(content: bytes, name_filter: str | None = None) -> list[tuple[float, float]]:
+    """(lon, lat) of a KMZ file's first polygon, without its closing vertex; without one, the convex hull of its three or more
+    points. name_filter: only placemarks whose names contain it, whatever the case. A ring of less than three is an error."""
+    import io
     import re
     import zipfile
     from xml.etree import ElementTree
 
-    with zipfile.ZipFile(path) as box:
+    with zipfile.ZipFile(io.BytesIO(content)) as box:
         root = ElementTree.fromstring(box.read(next(n for n in box.namelist() if n.endswith(".kml"))))
     name = lambda e: e.tag.rpartition("}")[2]
     places = lambda e: [tuple(map(float, p.split(",")[:2])) for x in e.iter() if name(x) == "coordinates" for p in re.split(r"\s+", (x.text or "").strip()) if p]
-    for e in root.iter():
+    title = lambda e: next((x.text or "" for x in e if name(x) == "name"), "")
+    marks = [root] if name_filter is None else [e for e in root.iter() if name(e) == "Placemark" and name_filter.lower() in title(e).lower()]
+    for e in (x for m in marks for x in m.iter()):
         if name(e) == "Polygon":
-            return places(e)
-    points = sorted({p for e in root.iter() if name(e) == "Point" for p in places(e)})
+            found = places(e)
+            found = found[:-1] if len(found) > 1 and found[0] == found[-1] else found
+            if len(found) < 3:
+                raise ValueError("a polygon has less than three vertices")
+            return found
+    points = sorted({p for m in marks for e in m.iter() if name(e) == "Point" for p in places(e)})
     if len(points) < 3:
-        raise ValueError(f"{path} has no polygon and less than three points")
+        raise ValueError("the file has no polygon and less than three points")
 
     def half(row: list[tuple[float, float]]) -> list[tuple[float, float]]:
         out: list[tuple[float, float]] = []

@@ -12,11 +12,36 @@ from pyspark.sql import functions as F
 SCHEMA_VERSION = 1
 
 
-def write_run(folder: str, splits: DataFrame, audit: DataFrame, by: str | None = None) -> None:
-    """The split (by city, if named) and the audit's checks, as JSON under a folder."""
+def write_run(folder: str, splits: DataFrame, audit: DataFrame, by: str | None = None, components: DataFrame | None = None, config: dict | None = None) -> None:
+    """A run under a folder, as JSON: the split (by city, if named), what it excludes, the audit's checks, a summary of points
+    for each split (and city), the components with their sizes, and the settings."""
     writer = splits.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).json(f"{folder}/split")
+    splits.filter("split = 'excluded'").write.mode("overwrite").json(f"{folder}/excluded")
     audit.coalesce(1).write.mode("overwrite").json(f"{folder}/audit")
+    keys = [by, "split"] if by else ["split"]
+    splits.groupBy(*keys).agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+    if components is not None:
+        sized = components.groupBy("component_id", "name").agg(F.count("*").alias("size"))
+        of = splits.select("component_id", "split").distinct()
+        sized.join(of, "component_id", "left").write.mode("overwrite").json(f"{folder}/components")
+    if config is not None:
+        rows = [(k, json.dumps(v, default=str)) for k, v in sorted(config.items())]
+        splits.sparkSession.createDataFrame(rows, "setting string, value string").coalesce(1).write.mode("overwrite").json(f"{folder}/config")
+
+
+def polygons(df: DataFrame, name: str, ring: str, style: str) -> DataFrame:
+    """(kml): a KML polygon for each row, from a closed ring of (lon, lat) structs."""
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), "&", "&amp;"), "<", "&lt;")
+    line = F.array_join(F.transform(ring, lambda p: F.format_string("%.7f,%.7f,0", p["lon"], p["lat"])), " ")
+    return df.select(F.concat(F.lit("<Placemark><name>"), clean(name), F.lit("</name><styleUrl>#"), clean(style), F.lit("</styleUrl><Polygon><outerBoundaryIs><LinearRing><coordinates>"), line, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>")).alias("kml"))
+
+
+def write_pixels(pixels: DataFrame, images: DataFrame, folder: str, by: str, key: str = "image_id") -> None:
+    """Masks or mosaics as pixels, by class or layer, and the images that have none, so that an empty one can be told from one
+    that is missing."""
+    pixels.write.mode("overwrite").partitionBy(by).parquet(f"{folder}/pixels")
+    images.select(key).distinct().join(pixels.select(key).distinct(), key, "left_anti").write.mode("overwrite").parquet(f"{folder}/empty")
 
 
 def write_json(path: str, value: dict) -> None:
