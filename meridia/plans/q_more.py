@@ -102,12 +102,6 @@ def first_level(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("tile")).agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("centre"))
 
 
-@register("GN06_tile_jobs", "SELECT c AS col, r AS row, 100e0 + c * 256e0 AS x0, 900e0 - r * 256e0 AS y1 FROM (SELECT unnest(generate_series(0, 5)) AS c), (SELECT unnest(generate_series(0, 3)) AS r) WHERE 100e0 + c * 256e0 < 1500e0")
-def tile_jobs(spark, sf_dir):
-    cells = spark.range(24).select((F.col("id") % 6).alias("col"), F.floor(F.col("id") / 6).alias("row"))
-    return cells.select("col", "row", (100.0 + F.col("col") * 256.0).alias("x0"), (900.0 - F.col("row") * 256.0).alias("y1")).filter("x0 < 1500e0")
-
-
 @register("GN10_crop_list", POSITIONED + " SELECT tile_id, l AS level FROM t, (SELECT unnest([250, 500, 1000]) AS l) WHERE l <= size")
 def crop_list(spark, sf_dir):
     rows = tiles(spark, sf_dir).withColumn("level", F.explode(F.array(*map(F.lit, (250, 500, 1000)))))

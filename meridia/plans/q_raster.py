@@ -93,11 +93,6 @@ def nodata(spark, sf_dir):
     return ask.join(value, ["r", "c"], "left").select("r", "c", (F.coalesce("v", F.lit(0)) == 0).alias("nodata"))
 
 
-@register("JN12_priority_overlay", ctes("pixels") + " SELECT r, c, max(layer) AS zoom FROM pixels GROUP BY r, c")
-def overlay(spark, sf_dir):
-    return carrier(spark, sf_dir, "pixels").groupBy("r", "c").agg(F.max("layer").alias("zoom"))
-
-
 @register("JN30_annotations", ctes("runs") + ", i AS (SELECT DISTINCT image_id FROM runs WHERE image_id % 7 <> 0), k AS (SELECT DISTINCT category_id, 'class ' || category_id AS name FROM runs WHERE category_id > 0) SELECT annotation_id, coalesce(k.name, 'cat' || runs.category_id) AS class FROM runs JOIN i USING (image_id) LEFT JOIN k USING (category_id)")
 def annotations(spark, sf_dir):
     rows = carrier(spark, sf_dir, "runs")

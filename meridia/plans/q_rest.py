@@ -52,27 +52,6 @@ def validated_numbers(spark, sf_dir):
     return carrier(spark, sf_dir, "points").select("point_id", F.coalesce(bad, lat).alias("lat"))
 
 
-@register("GN07_clipped_jobs", "SELECT c AS col, r AS row FROM (SELECT unnest(generate_series(0, 9)) AS c), (SELECT unnest(generate_series(0, 9)) AS r) WHERE c * 100 < 555 AND c * 100 + 100 > 123 AND r * 100 < 700 AND r * 100 + 100 > 50")
-def clipped_jobs(spark, sf_dir):
-    cells = spark.range(100).select((F.col("id") % 10).alias("col"), F.floor(F.col("id") / 10).alias("row"))
-    box = [F.col("col") * 100.0, F.col("row") * 100.0, F.col("col") * 100.0 + 100, F.col("row") * 100.0 + 100]
-    return cells.filter(geo.rect_intersection(box, [F.lit(v) for v in (123.0, 50.0, 555.0, 700.0)]) > 0)
-
-
-@register("GN08_job_windows", "SELECT c AS col, r AS row, r * 256 AS top, c * 256 AS \"left\", least(256, 1000 - r * 256) AS height, least(256, 1300 - c * 256) AS width FROM (SELECT unnest(generate_series(0, 5)) AS c), (SELECT unnest(generate_series(0, 3)) AS r)")
-def job_windows(spark, sf_dir):
-    cells = spark.range(24).select((F.col("id") % 6).alias("col"), F.floor(F.col("id") / 6).alias("row"))
-    side = lambda c, n: F.least(F.lit(256).cast("long"), F.lit(n) - F.col(c) * 256)
-    return cells.select("col", "row", (F.col("row") * 256).alias("top"), (F.col("col") * 256).alias("left"), side("row", 1000).alias("height"), side("col", 1300).alias("width"))
-
-
-@register("GN12_coverage_zoom", ctes("points") + " SELECT point_id, CASE WHEN lon BETWEEN 37.55e0 AND 37.6e0 AND lat < 48.55e0 THEN 19 WHEN lat < 48.6e0 THEN 18 ELSE 0 END AS zoom FROM points")
-def coverage_zoom(spark, sf_dir):
-    """The highest zoom of the rectangles that hold a point."""
-    rect = lambda zoom, w, e, s, n: F.when(F.col("lon").between(w, e) & (F.col("lat") >= s) & (F.col("lat") < n), zoom).otherwise(0)
-    return carrier(spark, sf_dir, "points").select("point_id", F.greatest(rect(19, 37.55, 37.6, -90, 48.55), rect(18, -180, 180, -90, 48.6)).alias("zoom"))
-
-
 @register("GR01_union_find", "WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey - s_suppkey % 7 AS b FROM supplier), r AS (SELECT a AS v, a AS w FROM e UNION SELECT r.v, CASE WHEN e.a = r.w THEN e.b ELSE e.a END FROM r JOIN e ON e.a = r.w OR e.b = r.w) SELECT v, min(w) AS component FROM r GROUP BY v")
 def union_find(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("a"))

@@ -6,7 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from meridia.operators import augment, osm, raster, report, store
+from meridia.functions import geo
+from meridia.operators import augment, extract, osm, raster, report, store, tiling
 from meridia.operators import positives as P
 from meridia.operators import rank as K
 from meridia.operators import strategies as S
@@ -15,7 +16,7 @@ from meridia.plans.q_learn import _C, all_tokens, dictionary
 from meridia.plans.q_raster import _R, run_pixels
 from meridia.plans.q_rank import _F, _LEVELS, _T, level_matrix, level_scores, token_scores
 from meridia.registry import oracles, register
-from meridia.sources import readers, sinks
+from meridia.sources import readers, sinks, tile_source
 from meridia.sources.carriers import carrier, ctes
 from meridia.sources.scratch import folder
 from meridia.streaming import progress
@@ -211,3 +212,125 @@ def maskers(spark, sf_dir):
     found = S.masked(frames, ["stored", "blocks", "everything"])
     value = next(c for c in found.columns if c not in ("frame_id", "backend"))
     return found.select("frame_id", "backend", F.size(F.filter(value, lambda x: x)).alias("kept"))
+
+
+_H, _STEP = "20037508.342789244e0", "1222.992452562822e0"  # half of the world, and a tile's side at zoom 15
+
+
+@register("GN06_metre_jobs", POSITIONED + f""", b AS (SELECT city, floor((min(x) + {_H}) / {_STEP}) * {_STEP} - {_H} AS x0, floor((min(y) + {_H}) / {_STEP}) * {_STEP} - {_H} AS y0, ceil((max(x) + {_H}) / {_STEP}) * {_STEP} - {_H} AS x1, ceil((max(y) + {_H}) / {_STEP}) * {_STEP} - {_H} AS y1 FROM p GROUP BY city),
+n AS (SELECT *, round_even((x1 - x0) / {_STEP}, 0)::INT AS cols, round_even((y1 - y0) / {_STEP}, 0)::INT AS rows FROM b)
+SELECT city, c::INT AS col, r::INT AS row, round(x0 + c * {_STEP}, 2) AS x0, round(y1 - r * {_STEP}, 2) AS y1, (c * 256)::INT AS col_off, (r * 256)::INT AS row_off FROM n JOIN range(0, 2000) a(c) ON c < cols JOIN range(0, 2000) z(r) ON r < rows""")
+def metre_jobs(spark, sf_dir):
+    found = tiling.metre_jobs(points(spark, sf_dir), ["city"], 15)
+    return found.select("city", "col", "row", F.round("x0", 2).alias("x0"), F.round("y1", 2).alias("y1"), "col_off", "row_off")
+
+
+_SLIPPY = POSITIONED + """, n AS (SELECT city, floor((lon + 180) / 360 * 16384e0)::BIGINT AS tx, floor((1 - asinh(tan(radians(lat))) / 3.141592653589793e0) / 2 * 16384e0)::BIGINT AS ty FROM p), b AS (SELECT city, min(tx) AS x0, max(tx) AS x1, min(ty) AS y0, max(ty) AS y1 FROM n GROUP BY city),
+j AS (SELECT city, x0 + c AS x, y0 + r AS y, c * 256 AS col_off, r * 256 AS row_off, (x0 + c) / 16384e0 * 360 - 180 AS west, (x0 + c + 1) / 16384e0 * 360 - 180 AS east, degrees(atan(sinh(3.141592653589793e0 * (1 - 2 * (y0 + r) / 16384e0)))) AS north, degrees(atan(sinh(3.141592653589793e0 * (1 - 2 * (y0 + r + 1) / 16384e0)))) AS south
+  FROM b JOIN range(0, 2000) a(c) ON x0 + c <= x1 JOIN range(0, 2000) z(r) ON y0 + r <= y1)"""
+
+
+@register("GN07_numbered_jobs", _SLIPPY + " SELECT city, x, y, round(west, 7) AS west, round(south, 7) AS south, round(east, 7) AS east, round(north, 7) AS north, col_off, row_off FROM j")
+def numbered_jobs(spark, sf_dir):
+    found = tiling.numbered_jobs(points(spark, sf_dir), ["city"], 14)
+    return found.select("city", "x", "y", *[F.round(c, 7).alias(c) for c in ("west", "south", "east", "north")], "col_off", "row_off")
+
+
+@register("GN08_clipped_windows", _SLIPPY + " SELECT city, x, y, col_off, row_off FROM j WHERE west <= 37.62e0 AND east >= 37.5e0 + city * 0.01e0 AND south <= 48.57e0 AND north >= 48.505e0")
+def clipped_windows(spark, sf_dir):
+    """Where the numbered tiles that meet each city's box lie in its mosaic."""
+    clip = spark.range(3).select(F.col("id").alias("city"), (37.5 + F.col("id") * 0.01).alias("west"), F.lit(48.505).alias("south"), F.lit(37.62).alias("east"), F.lit(48.57).alias("north"))
+    return tiling.numbered_jobs(points(spark, sf_dir), ["city"], 14, clip).select("city", "x", "y", "col_off", "row_off")
+
+
+_RECTS = """WITH v AS (SELECT s_nationkey % 4 AS view, s_suppkey, 30 + s_suppkey % 13 AS west, 44 + s_suppkey % 7 AS south, 31 + s_suppkey % 13 + s_suppkey % 5 AS east, 45 + s_suppkey % 7 + s_suppkey % 4 AS north, CAST(13 + s_suppkey % 9 AS INT) AS zoom FROM {supplier}
+UNION ALL SELECT CAST(0 AS INT), CAST(-1 AS BIGINT), CAST(-180 AS BIGINT), CAST(-90 AS BIGINT), CAST(180 AS BIGINT), CAST(90 AS BIGINT), CAST(21 AS INT))"""
+
+
+def rects(spark, sf_dir):
+    """Rectangles of several zooms in four views, one of which spans the world."""
+    return spark.sql(_RECTS + " SELECT view, west, south, east, north, zoom FROM v", supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+
+
+@register("FL10_zoom_cap", _RECTS.format(supplier="supplier") + " SELECT view, west, south, east, north, least(zoom, 19) AS zoom FROM v WHERE NOT (north >= 89 AND south <= -89)")
+def zoom_cap(spark, sf_dir):
+    return tiling.capped_zooms(rects(spark, sf_dir), 19)
+
+
+_AREAS = _RECTS.format(supplier="supplier") + """, u AS (SELECT view, x, y, max(least(zoom, 19)) AS zoom FROM v JOIN range(32, 43) a(x) ON x >= west AND x < east JOIN range(45, 53) b(y) ON y >= south AND y < north WHERE NOT (north >= 89 AND south <= -89) GROUP BY view, x, y)"""
+
+
+def zooms(spark, sf_dir):
+    area = spark.createDataFrame([(k, 32, 45, 43, 53) for k in range(4)], "view int, west long, south long, east long, north long")
+    return tiling.effective_zooms(tiling.capped_zooms(rects(spark, sf_dir), 19), area, ["view"])
+
+
+@register("JN12_priority_overlay", _AREAS + " SELECT view, x, y, zoom FROM u")
+def overlay(spark, sf_dir):
+    """The zoom of each square degree of an area: that of the highest rectangle over it."""
+    cells = zooms(spark, sf_dir).withColumn("x", F.explode(F.sequence("west", F.col("east") - 1)))
+    return cells.withColumn("y", F.explode(F.sequence("south", F.col("north") - 1))).select("view", "x", "y", "zoom")
+
+
+@register("GN12_zoom_coverage", _AREAS + " SELECT view, zoom, count(*) AS area FROM u GROUP BY view, zoom")
+def zoom_coverage(spark, sf_dir):
+    """How many square degrees of a view each zoom covers."""
+    return zooms(spark, sf_dir).groupBy("view", "zoom").agg(F.sum((F.col("east") - F.col("west")) * (F.col("north") - F.col("south"))).alias("area"))
+
+
+_ASKED = ctes("pixels") + ", x AS (SELECT DISTINCT r, c, max(v) AS v FROM pixels WHERE layer = 1 GROUP BY r, c), q AS (SELECT p_partkey AS id, p_partkey % 70 - 3 AS r, p_size * 2 - 5 AS c FROM part)"
+
+
+def layer(spark, sf_dir):
+    return carrier(spark, sf_dir, "pixels").filter("layer = 1").groupBy("r", "c").agg(F.max("v").alias("v"))
+
+
+def asked(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 70 - 3).alias("r"), (F.col("p_size") * 2 - 5).alias("c"))
+
+
+@register("SC16_raster_windows", _ASKED + " SELECT id, count(*) AS pixels, sum(v * (1 + (x.r - q.r) * 12 + x.c - q.c))::BIGINT AS total FROM q JOIN x ON x.r >= q.r AND x.r < q.r + 9 AND x.c >= q.c AND x.c < q.c + 12 GROUP BY id")
+def raster_windows(spark, sf_dir):
+    ask = asked(spark, sf_dir).select("id", F.col("r").alias("r0"), F.col("c").alias("c0"), F.lit(9).alias("height"), F.lit(12).alias("width"))
+    rows = tiling.read_windows(layer(spark, sf_dir), ask)
+    return rows.groupBy("id").agg(F.count("*").alias("pixels"), F.sum(F.col("v") * (1 + F.col("r") * 12 + F.col("c"))).alias("total"))
+
+
+@register("SC17_levels_of_one_read", _ASKED + " SELECT id, size, count(*) AS pixels, sum(v * (1 + (x.r - q.r + size // 2) * size + x.c - q.c + size // 2))::BIGINT AS total FROM q, (VALUES (4), (7), (16)) AS s(size), x WHERE x.r >= q.r - size // 2 AND x.r < q.r - size // 2 + size AND x.c >= q.c - size // 2 AND x.c < q.c - size // 2 + size GROUP BY id, size")
+def levels_of_one_read(spark, sf_dir):
+    rows = tiling.read_levels(layer(spark, sf_dir), asked(spark, sf_dir), [4, 7, 16])
+    return rows.groupBy("id", "size").agg(F.count("*").alias("pixels"), F.sum(F.col("v") * (1 + F.col("r") * F.col("size") + F.col("c"))).alias("total"))
+
+
+@register("SC18_crops_in_metres", POSITIONED + ctes("pixels").replace("WITH RECURSIVE ", ",\n") + """, x AS (SELECT r, c, max(v) AS v FROM pixels WHERE layer = 1 GROUP BY r, c), o AS (SELECT min(x) AS x0, max(y) AS y0 FROM t),
+q AS (SELECT tile_id AS id, round_even((t.y0 - t.y) / 50 - size / 100 / cos(radians(lat)), 0)::BIGINT AS r, round_even((t.x - t.x0) / 50 - size / 100 / cos(radians(lat)), 0)::BIGINT AS c, round_even(size / 50 / cos(radians(lat)), 0)::BIGINT AS n FROM (SELECT t.*, o.x0, o.y0 FROM t, o) t)
+SELECT id, count(*) AS pixels, sum(v)::BIGINT AS total FROM q JOIN x ON x.r >= q.r AND x.r < q.r + n AND x.c >= q.c AND x.c < q.c + n GROUP BY id""")
+def crops_in_metres(spark, sf_dir):
+    """Crops of true metres around tiles' centres, from a raster of 50 grid units a pixel."""
+    all_ = tiles(spark, sf_dir)
+    x0, y0 = all_.agg(F.min("x"), F.max("y")).first()
+    side = geo.to_grid(geo.side(F.col("size_m"), 1000.0), F.col("lat"))
+    at = lambda v: F.rint(v - side / 100).cast("long")
+    ask = all_.select(F.col("tile_id").alias("id"), at((y0 - F.col("y")) / 50).alias("r0"), at((F.col("x") - x0) / 50).alias("c0"), F.rint(side / 50).cast("long").alias("height"))
+    rows = tiling.read_windows(layer(spark, sf_dir), ask.withColumn("width", F.col("height")))
+    return rows.groupBy("id").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
+
+
+@register("UD06_tile_source", "SELECT c::INT AS col, r::INT AS row, CASE WHEN (c + r) % 5 <> 4 THEN 16 END AS bytes, CASE WHEN (c + r) % 5 <> 4 THEN lower(to_hex((c * 7 + r * 3) % 256)) END AS first FROM range(0, 30) a(c), range(0, 20) b(r)")
+def tile_source_rows(spark, sf_dir):
+    tile_source.register(spark, "checkered", tile_source.Checkered)
+    rows = spark.read.format("checkered").option("cols", 30).option("rows", 20).load()
+    return rows.select("col", "row", F.octet_length("tile").alias("bytes"), F.lower(F.regexp_replace(F.hex(F.substring("tile", 1, 1)), "^0(?=.)", "")).alias("first"))
+
+
+@register("UD07_extractor", ctes("tokens") + " SELECT tile_id, r * 5 + c AS place, round(list_sum(vec::DOUBLE[]), 4) AS feature FROM tokens")
+def extractor(spark, sf_dir):
+    """A model that is built once a task, over tokens."""
+
+    def factory():
+        import numpy as np
+
+        return lambda rows: rows.assign(place=rows.r * 5 + rows.c, feature=[float(np.asarray(v, float).sum()) for v in rows.vec])[["tile_id", "place", "feature"]]
+
+    found = extract.extracted(all_tokens(spark, sf_dir), factory, "tile_id long, place long, feature double")
+    return found.withColumn("feature", F.round("feature", 4))

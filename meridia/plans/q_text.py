@@ -160,9 +160,3 @@ def night(spark, sf_dir):
 def first_error(spark, sf_dir):
     size = F.col("size")
     return carrier(spark, sf_dir, "objects").select("event_id", F.when(size == 0, "empty").when(size > 9000, "too large").when(~F.col("object_key").contains(","), "no position").alias("error"))
-
-
-@register("FL10_zoom_cap", ctes("tiles") + " SELECT tile_id, least(10 + tile_id % 12, 18) AS zoom FROM tiles WHERE NOT (lat >= 48.54e0 AND tile_id % 2 = 0)")
-def zoom_cap(spark, sf_dir):
-    rows = carrier(spark, sf_dir, "tiles").where("NOT (lat >= 48.54e0 AND tile_id % 2 = 0)")
-    return rows.select("tile_id", F.least(10 + F.col("tile_id") % 12, F.lit(18).cast("long")).alias("zoom"))

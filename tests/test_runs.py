@@ -211,3 +211,69 @@ def test_unknown_strategies_are_errors():
 
 def test_cli_is_there():
     assert callable(cli.main)
+
+
+def test_windows_of_one_read(spark):
+    from meridia.operators import tiling
+
+    rng = random.Random(6)
+    image = {(r, c): rng.randrange(100) for r in range(30) for c in range(41)}
+    pixels = spark.createDataFrame([(r, c, v) for (r, c), v in image.items()], "r long, c long, v int")
+    asks = [(i, rng.randrange(-5, 33), rng.randrange(-5, 45), rng.randrange(0, 20), rng.randrange(0, 25)) for i in range(30)]
+    got = {(r.id, r.r, r.c): r.v for r in tiling.read_windows(pixels, spark.createDataFrame(asks, "id int, r0 long, c0 long, height int, width int"), block=7).collect()}
+    assert got == {(i, r - r0, c - c0): v for i, r0, c0, h, w in asks for (r, c), v in image.items() if r0 <= r < r0 + h and c0 <= c < c0 + w}
+    levels = {(r.size, r.r, r.c): r.v for r in tiling.read_levels(pixels, spark.createDataFrame([(1, 10, 12)], "id int, r long, c long"), [3, 8]).collect()}
+    assert levels == {(n, r - 10 + n // 2, c - 12 + n // 2): v for n in (3, 8) for (r, c), v in image.items() if 0 <= r - 10 + n // 2 < n and 0 <= c - 12 + n // 2 < n}
+
+
+def test_the_highest_zoom_counts(spark):
+    from meridia.operators import tiling
+
+    rects = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0, 13), (1, 2.0, 2.0, 4.0, 12.0, 16), (1, 3.0, 3.0, 20.0, 5.0, 19), (1, -180.0, -90.0, 180.0, 90.0, 22), (2, 0.0, 0.0, 1.0, 1.0, 5)], "v int, west double, south double, east double, north double, zoom int")
+    area = spark.createDataFrame([(1, 0.0, 0.0, 15.0, 11.0)], "v int, west double, south double, east double, north double")
+    cells = tiling.effective_zooms(tiling.capped_zooms(rects, 18), area, ["v"]).collect()
+    size = {}
+    for r in cells:
+        size[r.zoom] = size.get(r.zoom, 0) + (r.east - r.west) * (r.north - r.south)
+    assert size == {18: 24.0, 16: 18.0 - 2.0, 13: 100.0 - 16.0 - 14.0 + 2.0}
+    with pytest.raises(ValueError, match="4096"):
+        tiling.metre_jobs(rects, ["v"], 10, 5000)
+
+
+def test_a_tile_source_is_read_in_parts(spark):
+    from meridia.sources import tile_source
+
+    tile_source.register(spark, "trial", tile_source.Checkered)
+    rows = spark.read.format("trial").option("cols", 9).option("rows", 7).option("jobs_per_task", 10).load()
+    assert rows.rdd.getNumPartitions() == 7
+    got = rows.collect()
+    assert len(got) == 63 and all((r.tile is None) == ((r.col + r.row) % 5 == 4) for r in got)
+
+
+def test_a_model_is_built_once_a_task(spark, tmp_path):
+    from meridia.operators import extract
+
+    def factory():
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).touch()
+        return lambda rows: rows.assign(twice=rows.id * 2)[["id", "twice"]]
+
+    got = extract.extracted(spark.range(0, 50_000, 1, 2), factory, "id long, twice long")
+    assert got.filter("twice <> 2 * id").count() == 0 and len(list(tmp_path.iterdir())) == 2
+    assert extract.extracted(spark.range(0), factory, "id long, twice long").collect() == []
+
+
+def test_kmz_of_a_run(spark, tmp_path):
+    from meridia import config
+
+    rows = [(i, 0, 48.5 + 0.05 * (i // 7), 37.5 + 0.07 * (i % 7), 1000.0) for i in range(28)]
+    spark.createDataFrame(rows, "tile_id int, city int, lat double, lon double, size_m double").write.parquet(f"{tmp_path}/tiles.parquet")
+    spark.createDataFrame([r[:4] for r in rows], "point_id int, city int, lat double, lon double").write.parquet(f"{tmp_path}/points.parquet")
+    s = config.settings(tolerance=0.1)
+    assert cli.build(spark, str(tmp_path), s, checks=["geo_disjoint"], exact=True) == 0
+    assert cli.export_kmz(spark, str(tmp_path), s, with_tiles=True) == 56
+    with zipfile.ZipFile(tmp_path / "split.kmz") as box:
+        assert box.read("doc.kml").count(b"<Polygon>") == 28
+    with pytest.raises(ValueError, match="unknown checks: no such"):
+        cli.build(spark, str(tmp_path), s, write=False, checks=["no such"])
