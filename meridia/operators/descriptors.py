@@ -110,11 +110,42 @@ def concentric_weight(r: Column, c: Column, n: int, share: float) -> Column:
     return part(r) * part(c)
 
 
-def fixed_projection(spark: SparkSession, width: int, out: int) -> DataFrame:
-    """(j, i, w): a fixed matrix of signs by the parity of integer hashes, scaled by 1 / sqrt(out)."""
+def concentric_levels(spark: SparkSession, height: int, width: int, sizes: list[float], side: float) -> DataFrame:
+    """(size, weight_sum, side_h, side_w, r0, r1, c0, c1, error_r, error_c) of each centred square of a grid: the sum of its tokens'
+    weights, along each axis their sum and the first and last token of any weight, and how far their centre is from the
+    grid's."""
+    cells = spark.range(height * width).select(F.floor(F.col("id") / width).alias("r"), (F.col("id") % width).alias("c"))
+    rows = cells.withColumn("size", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
+
+    def along(p: str, n: int) -> Column:
+        low, high = 0.5 - F.col("size") / (2 * side), 0.5 + F.col("size") / (2 * side)
+        part = F.least((F.col(p) + 1) / F.lit(float(n)), high) - F.greatest(F.col(p) / F.lit(float(n)), low)
+        return F.least(F.greatest(part, F.lit(0.0)) * n, F.lit(1.0))
+
+    rows = rows.withColumn("_h", along("r", height)).withColumn("_w", along("c", width)).withColumn("w", F.col("_h") * F.col("_w"))
+    edge = lambda f, p, w: f(F.when(F.col(w) > 0, F.col(p)))
+    centre = lambda p, n: F.abs(F.sum(F.col(p) * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-12)) - (n - 1) / 2)
+    return rows.groupBy("size").agg(
+        F.sum("w").alias("weight_sum"), (F.sum("_h") / width).alias("side_h"), (F.sum("_w") / height).alias("side_w"),
+        edge(F.min, "r", "_h").alias("r0"), edge(F.max, "r", "_h").alias("r1"), edge(F.min, "c", "_w").alias("c0"), edge(F.max, "c", "_w").alias("c1"),
+        centre("r", height).alias("error_r"), centre("c", width).alias("error_c"),
+    )
+
+
+def projected(rows: DataFrame, matrix: DataFrame, by: list[str], width: int, out: int) -> DataFrame:
+    """(by, j, y): vectors times a matrix (j, i, w) that comes as data, of stated size; vectors that are no longer than `out` stay
+    as they are."""
+    parts = rows.select(*by, F.posexplode("vec").alias("i", "x"))
+    if out >= width:
+        return parts.select(*by, F.col("i").cast("long").alias("j"), F.col("x").cast("double").alias("y"))
+    return parts.join(F.broadcast(matrix), "i").groupBy(*by, "j").agg(F.sum(F.col("x").cast("double") * F.col("w")).alias("y"))
+
+
+def gaussian(spark: SparkSession, width: int, out: int, seed: int = 0) -> DataFrame:
+    """(j, i, w): a matrix of normal numbers over sqrt(out), from MD5 by Box and Muller's rule, the same in every engine."""
+    u = lambda n: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "j", "i", F.lit(n))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     grid = spark.range(width * out).select((F.col("id") % out).alias("j"), F.floor(F.col("id") / out).alias("i"))
-    sign = F.when((F.col("i") * 7919 + F.col("j") * 104729 + F.col("i") * F.col("j") * 31) % 101 < 50, 1.0).otherwise(-1.0)
-    return grid.select("j", "i", (sign / float(out) ** 0.5).alias("w"))
+    return grid.select("j", "i", (F.sqrt(-2 * F.ln(u("a"))) * F.cos(2 * 3.141592653589793 * u("b")) / float(out) ** 0.5).alias("w"))
 
 
 def best_by(gates: DataFrame) -> DataFrame:

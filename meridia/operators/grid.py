@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,24 @@ def microbatches(spark: SparkSession, logical: int, physical: int) -> DataFrame:
     return spark.range(0, logical, physical).select(F.col("id").alias("begin"), F.least(F.col("id") + physical, F.lit(logical)).alias("stop"))
 
 
+def keypoints(spark: SparkSession, height: int, width: int) -> DataFrame:
+    """(i, x, y): the centres of a grid's cells, row by row."""
+    i = F.col("id")
+    return spark.range(height * width).select(i, (i % width + 0.5).alias("x"), (F.floor(i / width) + 0.5).alias("y"))
+
+
+def central(place: Column, n: int, level: float, side: float) -> Column:
+    """Whether a cell's centre lies in the middle part of n cells, level / side of their length wide, borders included."""
+    return F.abs(place + 0.5 - n / 2) <= n * level / side / 2
+
+
+def pyramid_sizes(base: int, apex: int, step: int) -> list[int]:
+    """base, base - step ... down to the apex."""
+    if step <= 0:
+        raise ValueError("a pyramid's step must be positive")
+    return list(range(base, apex - 1, -step))
+
+
 def geometric_scales(low: float, high: float, ratio: float) -> list[float]:
     """low, low * ratio ... below 0.999 * high, and high."""
     out, v = [], low

@@ -142,6 +142,6 @@ def links_histogram(spark, sf_dir):
     return m.groupBy("point_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("points"))
 
 
-@register("ST16_fingerprint")
+@register("ST16_fingerprint", POSITIONED + ", m AS (" + _NEAR.format(h="(size + 250e0) / 2") + "), h AS (SELECT sha256(concat_ws('|', point_id, tile_id, '-1.000000')) AS h FROM m) SELECT sha256(concat_ws(':', count(*), sum(('0x' || substr(h, 1, 10))::BIGINT), sum(('0x' || substr(h, 11, 10))::BIGINT))) AS fingerprint FROM h")
 def match_fingerprint(spark, sf_dir):
-    return P.fingerprint(P.select("overlap_weighted", points(spark, sf_dir), tiles(spark, sf_dir)))
+    return P.fingerprint(P.select("current_rule", points(spark, sf_dir), tiles(spark, sf_dir)))

@@ -106,12 +106,6 @@ def query_residuals(spark, sf_dir):
     return rows.select("tile_id", "k", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
-@register("PJ18_concentric_weights", ctes("tokens") + f" SELECT DISTINCT r, c, round({_W.format(p='r')} * {_W.format(p='c')}, 6) AS w FROM tokens")
-def concentric_weights(spark, sf_dir):
-    rows = carrier(spark, sf_dir, "tokens")
-    return rows.select("r", "c", F.round(D.concentric_weight(F.col("r"), F.col("c"), 5, 0.6), 6).alias("w")).distinct()
-
-
 @register("PJ25_unit_length", ctes("vectors") + " SELECT vec_id, round(sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])), 5) AS length FROM vectors")
 def unit_length(spark, sf_dir):
     return carrier(spark, sf_dir, "vectors").select("vec_id", F.round(vec.norm(F.col("vec")), 5).alias("length"))
@@ -124,14 +118,6 @@ def cosine(spark, sf_dir):
     return rows.join(after, "vec_id").select("vec_id", F.round(vec.cosine(F.col("vec"), F.col("next")), 5).alias("cosine"))
 
 
-@register("PJ26_random_projection", ctes("vectors") + """, m AS (SELECT j, i, (CASE WHEN (i * 7919 + j * 104729 + i * j * 31) % 101 < 50 THEN 1e0 ELSE -1e0 END) / power(8, 0.5e0) AS w FROM (SELECT unnest(generate_series(0, 7)) AS j) a, (SELECT unnest(generate_series(0, 63)) AS i) b),
-e AS (SELECT vec_id, unnest(generate_series(0, 63)) AS i, unnest(vec)::DOUBLE AS x FROM vectors) SELECT vec_id, j, round(sum(x * w), 5) AS y FROM e JOIN m USING (i) GROUP BY vec_id, j""")
-def projection(spark, sf_dir):
-    rows = carrier(spark, sf_dir, "vectors").select("vec_id", F.posexplode("vec").alias("i", "x"))
-    out = rows.join(F.broadcast(D.fixed_projection(spark, 64, 8)), "i").groupBy("vec_id", "j").agg(F.sum(F.col("x").cast("double") * F.col("w")).alias("y"))
-    return out.select("vec_id", "j", F.round("y", 5).alias("y"))
-
-
 @register("AG33_adaptive_pool", ctes("tokens") + """, g AS (SELECT unnest([0, 1]) AS k), e AS (SELECT tile_id, r, c, unnest(generate_series(0, 63)) AS i, unnest(vec)::DOUBLE AS x FROM tokens)
 SELECT tile_id, a.k AS cr, b.k AS cc, i, round(avg(x), 6) AS x FROM e JOIN g a ON r >= floor(a.k * 5 / 2e0) AND r < ceil((a.k + 1) * 5 / 2e0) JOIN g b ON c >= floor(b.k * 5 / 2e0) AND c < ceil((b.k + 1) * 5 / 2e0) GROUP BY ALL""")
 def adaptive_pool(spark, sf_dir):

@@ -202,15 +202,6 @@ def best_levels(spark, sf_dir):
     return rows.groupBy("frame_id").agg(at(1, "level").alias("level"), F.round(at(1, "score") - at(2, "score"), 6).alias("margin"), F.round(-F.sum(F.col("b") * F.ln("b")), 5).alias("entropy"))
 
 
-@register("AG13_cell_aggregate", """WITH s AS (SELECT l_orderkey % 50 AS q, l_partkey % 40 AS pos, l_linenumber AS lev, CAST(max(l_quantity) AS BIGINT) AS s FROM lineitem GROUP BY 1, 2, 3), p AS (SELECT q, pos, sum(s) AS total, arg_max(lev, {'s': s, 'l': -lev}) AS level FROM s GROUP BY q, pos),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY total DESC, pos) AS n FROM p) SELECT q, pos, total, level FROM r WHERE n <= 3""")
-def cell_aggregate(spark, sf_dir):
-    """Each position's sum over levels and best level; the three best positions of a query."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy((F.col("l_orderkey") % 50).alias("q"), (F.col("l_partkey") % 40).alias("pos"), F.col("l_linenumber").alias("lev")).agg(F.max("l_quantity").cast("long").alias("s"))
-    per = rows.groupBy("q", "pos").agg(F.sum("s").alias("total"), F.max_by("lev", F.struct(F.col("s"), -F.col("lev"))).alias("level"))
-    return per.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("total").desc(), "pos"))).filter("n <= 3").drop("n")
-
-
 @register("WN08_capped_selection", _S + ", c AS (SELECT q, t, s, row_number() OVER (PARTITION BY q, tl ORDER BY s DESC, t) AS g FROM a), o AS (SELECT q, t, row_number() OVER (PARTITION BY q ORDER BY s DESC, t) AS place FROM c WHERE g <= 2) SELECT q, t, place FROM o WHERE place <= 8")
 def capped(spark, sf_dir):
     return K.capped(scores(spark, sf_dir), "q", "tl", 2, 8).select("q", "t", "place")

@@ -34,17 +34,6 @@ def true_overlap(spark, sf_dir):
     return left.join(right, "tile_id").select(F.col("tile_id").alias("a"), "b", F.round(C.overlap_true_m2(1000.0), 1).alias("area"))
 
 
-@register("PJ13_directional_snap", ctes("points") + " SELECT point_id, floor((lat - 48e0) / 0.01e0) AS south, ceil((lat - 48e0) / 0.01e0) AS north FROM points")
-def directional_snap(spark, sf_dir):
-    steps = (F.col("lat") - 48.0) / 0.01
-    return carrier(spark, sf_dir, "points").select("point_id", F.floor(steps).cast("double").alias("south"), F.ceil(steps).cast("double").alias("north"))
-
-
-@register("PJ21_pyramid_sizes", "SELECT unnest(generate_series(1000, 250, -250)) AS size")
-def pyramid_sizes(spark, sf_dir):
-    return spark.range(1).select(F.explode(F.sequence(F.lit(1000).cast("long"), F.lit(250).cast("long"), F.lit(-250).cast("long"))).alias("size"))
-
-
 @register("PJ22_validated_numbers", ctes("points") + " SELECT point_id, lat FROM points")
 def validated_numbers(spark, sf_dir):
     lat = F.col("lat")
@@ -72,13 +61,6 @@ def epoch_seeds(spark, sf_dir):
     return planned(spark, sf_dir).groupBy("shard").agg(F.countDistinct("pair").alias("pairs"))
 
 
-@register("SC08_kept_tokens", ctes("tokens") + ", k AS (SELECT tile_id, list_transform(generate_series(0, 8), lambda i: i * 3) AS keep FROM (SELECT DISTINCT tile_id FROM tokens)) SELECT tile_id, CAST(n AS INTEGER) AS n, CAST(floor(keep[n + 1] / 5e0) AS BIGINT) AS r, keep[n + 1] % 5 AS c FROM k, (SELECT unnest(generate_series(0, 8)) AS n)")
-def kept_tokens(spark, sf_dir):
-    """Places of the tokens that a query kept, from their indices in the grid."""
-    ids = carrier(spark, sf_dir, "tokens").select("tile_id").distinct().withColumn("keep", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: (i * 3).cast("long")))
-    return ids.select("tile_id", F.posexplode("keep").alias("n", "i")).select("tile_id", "n", F.floor(F.col("i") / 5).alias("r"), (F.col("i") % 5).alias("c"))
-
-
 @register("SC21_frames_by_city", ctes("names") + " SELECT folder AS city, count(*) AS frames, min(stem) AS first FROM names GROUP BY folder")
 def frames_by_city(spark, sf_dir):
     return carrier(spark, sf_dir, "names").groupBy(F.col("folder").alias("city")).agg(F.count("*").alias("frames"), F.min("stem").alias("first"))
@@ -109,14 +91,6 @@ def index_round_trip(spark, sf_dir):
     return written(carrier(spark, sf_dir, "tiles"))
 
 
-@register("SK07_compact_index", ctes("tokens") + ", e AS (SELECT tile_id, unnest(generate_series(0, 63)) AS i, unnest(vec)::DOUBLE AS x FROM tokens) SELECT tile_id, i, round(avg(x), 6) AS x FROM e GROUP BY tile_id, i")
-def compact_index(spark, sf_dir):
-    from meridia.operators.descriptors import positional
-
-    rows = positional(carrier(spark, sf_dir, "tokens"), ["tile_id"])
-    return rows.select("tile_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") / F.col("w"), 6).alias("x"))
-
-
 @register("SK10_empty_flags", ctes("runs") + " SELECT image_id, count(*) FILTER (skip < 256) = 0 AS empty FROM runs GROUP BY image_id")
 def empty_flags(spark, sf_dir):
     return carrier(spark, sf_dir, "runs").groupBy("image_id").agg((F.count(F.when(F.col("skip") < 256, 1)) == 0).alias("empty"))

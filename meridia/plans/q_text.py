@@ -107,15 +107,6 @@ def dedupe_positions(spark, sf_dir):
     return rows.groupBy("a", "b").agg(F.min("point_id").alias("point_id"))
 
 
-@register("SC10_sample_tokens", ctes("tokens") + ", q AS (SELECT tile_id, r, c, row_number() OVER (PARTITION BY tile_id ORDER BY (r * 31 + c * 17 + tile_id * 7) % 101, r, c) AS n FROM tokens) SELECT tile_id, r, c FROM q WHERE n <= 6")
-def sample_tokens(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("tile_id").orderBy((F.col("r") * 31 + F.col("c") * 17 + F.col("tile_id") * 7) % 101, "r", "c")
-    rows = carrier(spark, sf_dir, "tokens").withColumn("n", F.row_number().over(order))
-    return rows.filter("n <= 6").select("tile_id", "r", "c")
-
-
 @register("FL01_corrupt_latitude", _N + ", h AS (SELECT id, CASE WHEN id % 4 = 0 THEN '8.5901_37.2' WHEN id % 4 = 1 THEN (40 + id % 20) || '.25_30.1' ELSE stem END AS stem FROM names) SELECT id, coalesce(try_cast(split_part(stem, '_', 1) AS DOUBLE) NOT BETWEEN 44 AND 53, false) AS corrupt FROM h")
 def corrupt_latitude(spark, sf_dir):
     k = F.col("id") % 4
@@ -148,15 +139,3 @@ def coverage_status(spark, sf_dir):
     margin = F.least(lat - 48.51, 48.55 - lat, lon - 37.52, 37.6 - lon)
     status = F.when((dx > 0) | (dy > 0), "outside").when(F.col("point_id") % 9 == 0, "nodata").otherwise("inside")
     return carrier(spark, sf_dir, "points").select("point_id", status.alias("status"), F.round(F.sqrt(dx * dx + dy * dy), 7).alias("dist_out"), F.round(F.greatest(margin, zero), 7).alias("margin"))
-
-
-@register("FL05_night_classifier", "SELECT o_orderkey % 40 AS image, round(avg(abs(o_custkey % 37 - 18)), 6) AS chroma, avg(abs(o_custkey % 37 - 18)) < 9 AS night FROM orders GROUP BY 1")
-def night(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy((F.col("o_orderkey") % 40).alias("image")).agg(F.avg(F.abs(F.col("o_custkey") % 37 - 18)).alias("chroma"))
-    return rows.select("image", F.round("chroma", 6).alias("chroma"), (F.col("chroma") < 9).alias("night"))
-
-
-@register("FL08_first_error", ctes("objects") + " SELECT event_id, CASE WHEN size = 0 THEN 'empty' WHEN size > 9000 THEN 'too large' WHEN NOT object_key LIKE '%,%' THEN 'no position' END AS error FROM objects")
-def first_error(spark, sf_dir):
-    size = F.col("size")
-    return carrier(spark, sf_dir, "objects").select("event_id", F.when(size == 0, "empty").when(size > 9000, "too large").when(~F.col("object_key").contains(","), "no position").alias("error"))

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("meridia.plans.q_geometry", "meridia.plans.q_split", "meridia.plans.q_text", "meridia.plans.q_rank", "meridia.plans.q_learn", "meridia.plans.q_raster", "meridia.plans.q_more", "meridia.plans.q_rest", "meridia.plans.q_runs")
+MODULES: tuple[str, ...] = ("meridia.plans.q_geometry", "meridia.plans.q_split", "meridia.plans.q_text", "meridia.plans.q_rank", "meridia.plans.q_learn", "meridia.plans.q_raster", "meridia.plans.q_more", "meridia.plans.q_rest", "meridia.plans.q_runs", "meridia.plans.q_checks")
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

@@ -277,3 +277,47 @@ def test_kmz_of_a_run(spark, tmp_path):
         assert box.read("doc.kml").count(b"<Polygon>") == 28
     with pytest.raises(ValueError, match="unknown checks: no such"):
         cli.build(spark, str(tmp_path), s, write=False, checks=["no such"])
+
+
+def test_evenly_spaced_rows(spark):
+    from meridia.operators import retrieval
+
+    for n, most in ((50, 7), (50, 50), (50, 1), (5, 9), (400, 399), (1000, 13)):
+        rows = spark.range(0, 3 * n, 3).withColumnRenamed("id", "k").repartition(4)
+        want = range(n) if n <= most else [0] if most == 1 else sorted({round(j * (n - 1) / (most - 1)) for j in range(most)})
+        assert sorted(r.k for r in retrieval.evenly(rows, "k", most).collect()) == [3 * i for i in want]
+
+
+def test_samples_of_tokens(spark):
+    from meridia.operators import retrieval
+
+    rows = [(t, i, [float(t + 1), float(i)]) for t in range(9) for i in range(10)]
+    table = spark.createDataFrame(rows, "tile int, token int, vec array<double>")
+    got = retrieval.sample_tokens(table, "tile", "token", 4, 100, most_tiles=3, seed=2).collect()
+    assert {r.tile for r in got} == {0, 4, 8} and len(got) == 12 and all(abs(sum(x * x for x in r.vec) - 1) < 1e-9 for r in got)
+    assert len(retrieval.sample_tokens(table, "tile", "token", 4, 7).collect()) == 7
+    odd = spark.createDataFrame([*rows, (9, 0, [1.0])], "tile int, token int, vec array<double>")
+    with pytest.raises(ValueError, match="tokens of 1 and of 2"):
+        retrieval.sample_tokens(odd, "tile", "token", 4, 7)
+    bad = spark.createDataFrame([([1, 2], 3)], "keep array<int>, n int")
+    with pytest.raises(Exception, match="tokens and indices differ"):
+        bad.select(retrieval.kept_places(F.col("keep"), F.col("n"), 5)).collect()
+
+
+def test_area_sweep_keeps_far_tiles_behind(spark):
+    from meridia.operators import retrieval
+
+    rows = [(1, 1, 5, False, 0.0, 0.0), (1, 2, 9, False, 1e5, 0.0), (1, 3, 1, True, 10.0, 10.0), (2, 1, 1, False, 0.0, 0.0), (3, 1, 1, True, 1e5, 0.0), (3, 2, 3, False, 0.0, 0.0)]
+    table = spark.createDataFrame(rows, "q int, t int, s int, positive boolean, dx double, dy double")
+    got = {r.km2: r for r in retrieval.area_sweep(table, [1, 1e6]).collect()}
+    assert (got[1.0].n, got[1.0].mean_candidates, got[1.0].median_rank) == (2, 1.5, 2.0)
+    assert (got[1e6].n, got[1e6].mean_candidates, got[1e6].median_rank, got[1e6].within250) == (2, 2.5, 2.5, 0.5)
+
+
+def test_projection_matrix_is_normal(spark):
+    from meridia.operators import descriptors
+
+    w = [r.w for r in descriptors.gaussian(spark, 200, 50, seed=1).collect()]
+    assert len(w) == 10_000 and abs(sum(w) / len(w)) < 0.01 and abs(sum(x * x for x in w) / len(w) * 50 - 1) < 0.05
+    rows = spark.createDataFrame([(1, [3.0, 4.0])], "id int, vec array<double>")
+    assert [(r.j, r.y) for r in descriptors.projected(rows, None, ["id"], 2, 2).orderBy("j").collect()] == [(0, 3.0), (1, 4.0)]
