@@ -13,19 +13,22 @@ from meridia.sources.scratch import written
 def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, component) of every vertex v: the least vertex that edges (a, b) reach; a vertex without edges is its own.
 
-    Each step takes the neighbours' least label, then the label of that label, which halves the paths that are left. Steps
-    are written tables, so the plan doesn't grow. A step that changes nothing ends it.
+    Each step hooks a vertex, and the vertex that its label names, onto the least label's label among its neighbours, and takes
+    its own label's label, so that trees merge by their roots and paths shrink at once: a path of n edges needs about log n
+    steps. Steps are written tables, so the plan doesn't grow. A step that changes nothing ends it.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = written(vertices.select("v", F.col("v").alias("component")).distinct())
+    labels = written(vertices.select("v", F.col("v").alias("f")).distinct())
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "v", "left").select("v", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("to"))
-        jump = labels.select(F.col("v").alias("to"), F.col("component").alias("far"))
-        step = written(step.join(jump, "to").select("v", "old", F.least("to", "far").alias("component")))
-        labels = step.select("v", "component")
-        if step.filter("old <> component").isEmpty():
-            return labels
+        two = labels.join(labels.select(F.col("v").alias("f"), F.col("f").alias("g")), "f").select("v", "f", "g")
+        met = both.join(two.select(F.col("v").alias("a"), F.col("f").alias("fa")), "a").join(two.select(F.col("v").alias("b"), F.col("g").alias("gb")), "b")
+        near = met.groupBy("a").agg(F.min("fa").alias("fa"), F.min("gb").alias("gb"))
+        offers = near.select(F.col("fa").alias("v"), "gb").unionByName(near.select(F.col("a").alias("v"), "gb")).unionByName(two.select("v", F.col("g").alias("gb")))
+        best = offers.groupBy("v").agg(F.min("gb").alias("gb"))
+        step = written(labels.join(best, "v").select("v", F.col("f").alias("old"), F.least("f", "gb").alias("f")))
+        labels = step.select("v", "f")
+        if step.filter("old <> f").isEmpty():
+            return labels.select("v", F.col("f").alias("component"))
 
 
 def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
