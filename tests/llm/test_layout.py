@@ -128,6 +128,14 @@ def test_warc(spark):
     assert warc.read_bundles(warc.write_bundles(pages.limit(0), shared(spark))).collect() == []
 
 
+def test_warc_of_clashing_names_and_a_long_payload(spark):
+    names = ["key", "body", "digest", "size", "refers_to", "first", "path", "frame"]
+    rows = [(i, "u", "é" * (900_000 if i < 3 else 70), *names) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"{c} string" for c in names))
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_bundles(warc.write_bundles(pages, shared(spark))).collect()}
+    assert got == {0: (1_800_000, "response", None), 1: (1_800_000, "revisit", 0), 2: (1_800_000, "revisit", 0), 3: (140, "response", None), 4: (140, "revisit", 3)}
+
+
 def mixed_rows(n=400):
     sources = ["a", "b", "c", "d", "é", None]
     return [(i, " ".join(["w"] * (i * 7 % 60)), sources[min(5, i * i % 11)]) for i in range(n)] + [(3, "w w", "a"), (3, "w w", "a"), (None, "w w w", None), (999, None, "z")]

@@ -147,3 +147,18 @@ def test_signatures_estimate_similarity():
     x, y = np.sort(a[:3000]), np.sort(a[1000:])
     s = near_duplicates.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), 1000)
     assert abs((s[:, 0] == s[:, 1]).mean() - 0.5) < 0.06
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Two equal texts of 1.7 MB among short ones, whole in every operator."""
+    import random
+
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(250_000))
+    rows = [(1, "short one"), (2, long), (3, "short two"), (4, long), (5, None)]
+    removed = {r.doc_id: (r.n_words, r.n_removed) for r in repeated_phrases.remove_repeats(table(spark, rows)).collect()}
+    assert removed == {1: (2, 0), 2: (250_000, 250_000), 3: (2, 0), 4: (250_000, 250_000), 5: (0, 0)}
+    found = {r.doc_id: (r.component_id, r.n_shingles) for r in near_duplicates.near_duplicates(table(spark, rows), 2).collect()}
+    assert found[4] == found[2] == (2, len(brute.shingles(long, 2))) and found[1] == (1, 1) and found[5] == (5, 0)
+    rules = {r.doc_id: r.n_words for r in repetition.rules(table(spark, rows)).collect()}
+    assert rules == {1: 2, 2: 250_000, 3: 2, 4: 250_000, 5: 0}
