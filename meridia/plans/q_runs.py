@@ -334,3 +334,39 @@ def extractor(spark, sf_dir):
 
     found = extract.extracted(all_tokens(spark, sf_dir), factory, "tile_id long, place long, feature double")
     return found.withColumn("feature", F.round("feature", 4))
+
+
+@register("SK01_run_files", ctes("sparse") + ", s AS (SELECT tile_id, city, CASE WHEN tile_id % 7 = 0 THEN 'excluded' WHEN tile_id % 2 = 0 THEN 'train' WHEN tile_id % 4 = 1 THEN 'val' ELSE 'test' END AS split FROM sparse) SELECT city, split, count(*) AS n, (SELECT count(*) FROM s WHERE split = 'excluded') AS excluded, (SELECT count(DISTINCT tile_id // 2) FROM s) AS components FROM s GROUP BY city, split")
+def run_files(spark, sf_dir):
+    """A run written by city and read again: its summary, what it excludes, its components."""
+    k = F.col("tile_id")
+    split = F.when(k % 7 == 0, "excluded").when(k % 2 == 0, "train").when(k % 4 == 1, "val").otherwise("test")
+    splits = carrier(spark, sf_dir, "sparse").select(k.alias("point_id"), F.floor(k / 2).alias("component_id"), "city", split.alias("split"))
+    parts = splits.select("point_id", "component_id", F.col("component_id").cast("string").alias("name"))
+    path = folder(spark)
+    sinks.write_run(path, splits, spark.createDataFrame([("partition_complete", True, 0)], "check string, ok boolean, n long"), "city", parts, {"rule": "parity"})
+    read = lambda name: spark.read.json(f"{path}/{name}")
+    excluded, n = read("excluded").count(), read("components").select("component_id").distinct().count()
+    return read("summary").select(F.col("city").cast("long").alias("city"), "split", "n", F.lit(excluded).cast("long").alias("excluded"), F.lit(n).cast("long").alias("components"))
+
+
+@register("SK09_feature_files", ctes("tokens") + " SELECT tile_id, count(*) AS tokens, round(sum(list_sum(vec::DOUBLE[])), 4) AS total FROM tokens GROUP BY tile_id")
+def feature_files(spark, sf_dir):
+    """What a model makes of tokens, written by the tasks and read again."""
+
+    def factory():
+        import numpy as np
+
+        return lambda rows: rows.assign(feature=[float(np.asarray(v, float).sum()) for v in rows.vec])[["tile_id", "feature"]]
+
+    path = folder(spark)
+    extract.extracted(all_tokens(spark, sf_dir), factory, "tile_id long, feature double").write.parquet(path)
+    return spark.read.parquet(path).groupBy("tile_id").agg(F.count("*").alias("tokens"), F.round(F.sum("feature"), 4).alias("total"))
+
+
+@register("SK15_push_plan", ctes("objects") + ", h AS (SELECT object_key, size FROM objects WHERE done) SELECT event_id, o.size FROM objects o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.object_key = o.object_key AND h.size = o.size)")
+def push_plan(spark, sf_dir):
+    """The objects to send: those that aren't there under their name with their size."""
+    rows = carrier(spark, sf_dir, "objects")
+    there = rows.filter("done").select("object_key", "size").distinct()
+    return rows.join(there, ["object_key", "size"], "left_anti").select("event_id", "size")
