@@ -314,6 +314,35 @@ def test_area_sweep_keeps_far_tiles_behind(spark):
     assert (got[1e6].n, got[1e6].mean_candidates, got[1e6].median_rank, got[1e6].within250) == (2, 2.5, 2.5, 0.5)
 
 
+def test_sweep_by_boxes_is_that_of_all_pairs(spark):
+    from meridia.operators import retrieval
+
+    rng = random.Random(8)
+    queries = [(q, rng.randrange(2), rng.uniform(0, 9000), rng.uniform(0, 9000)) for q in range(12)] + [(50, 0, 1e7, 1e7), (51, 0, None, None)]
+    tiles = [(t, rng.randrange(2), rng.uniform(0, 9000), rng.uniform(0, 9000)) for t in rng.sample(range(300), 70)] + [(301, 1, 5.0, None)]
+    links = {(q, rng.choice(tiles[:-1])[0]) for q in [*range(10), 50] for _ in range(1 + q % 2)}
+    score = (F.col("q") * 31 + F.col("t") * 17) % 23
+    ask, all_ = spark.createDataFrame(queries, "q int, city int, x double, y double"), spark.createDataFrame(tiles, "t int, city int, x double, y double")
+    positive = spark.createDataFrame(sorted(links), "q int, t int")
+    pairs = ask.alias("a").crossJoin(all_.alias("b")).select("q", "t", (F.col("b.x") - F.col("a.x")).alias("dx"), (F.col("b.y") - F.col("a.y")).alias("dy"), (F.col("a.city") == F.col("b.city")).alias("own"))
+    pairs = pairs.fillna(1e12, ["dx", "dy"]).withColumn("s", score).join(positive.withColumn("p", F.lit(True)), ["q", "t"], "left").withColumn("positive", F.coalesce("p", F.lit(False)))
+    areas = [0.01, 1, 9, 100]
+    want = {r.km2: tuple(r) for r in retrieval.area_sweep(pairs, areas, also=F.col("own")).collect()}
+    got = {r.km2: tuple(r) for r in retrieval.swept(ask, all_, positive, score, areas, ["city"]).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and want[100.0][1] == 11
+
+
+def test_sweep_makes_no_pairs_of_all(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from meridia import registry
+
+    held, real = [], DataFrame.crossJoin
+    monkeypatch.setattr(DataFrame, "crossJoin", lambda self, other: held.append(other.count()) or real(self, other))
+    assert registry.queries()["AG12_area_sweep"](spark, "/root/testdata/sf0.001").count() == 3
+    assert all(n <= 1 for n in held)
+
+
 def test_projection_matrix_is_normal(spark):
     from meridia.operators import descriptors
 
