@@ -244,6 +244,34 @@ def test_batches_have_each_query_and_tile_once(spark):
     assert {p[1] for p in pairs} == seen[0] | seen[1]
 
 
+@pytest.mark.parametrize(("name", "query", "top", "least"), [("tile_iou_1000", 1000.0, None, 0.5)])
+def test_overlap_rules_hold_up_to_the_poles_and_beyond(spark, name, query, top, least):
+    rng = random.Random(9)
+    lats = [-89.9995, -89.9, -60.0, 0.0, 48.5, 80.0, 89.0, 89.9, 89.997, 89.9999]
+    spread = lambda lat: (max(-89.99999, min(89.99999, lat + rng.uniform(-0.01, 0.01))), 37.5 + rng.uniform(0, 0.02))
+    at = lambda n: [(i, i % 2, *spread(lats[i % len(lats)])) for i in range(n)]
+    inner, tiles = at(90), at(160)
+    points = spark.createDataFrame([*inner, (900, 0, 95.0, 37.5), (901, 0, 108.5, 37.5), (902, 0, None, 37.5)], "point_id long, city int, lat double, lon double")
+    all_ = spark.createDataFrame([(*t, None if t[0] % 3 else 1000.0) for t in [*tiles, (950, 0, 108.5, 37.5)]], "tile_id long, city int, lat double, lon double, size_m double")
+    p = positives.params(min_iou=least)
+    got = {(r.point_id, r.tile_id): r.score for r in positives.select(name, positives.positioned(points), positives.positioned(all_), p).collect()}
+
+    def square(lat, lon, side):
+        return 6378137 * math.radians(lon), 6378137 * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)), side / math.cos(math.radians(lat))
+
+    want = {}
+    for i, city, lat, lon in inner:
+        x, y, a = square(lat, lon, query)
+        for j, c, tlat, tlon in tiles:
+            tx, ty, b = square(tlat, tlon, top or 1000.0)
+            shared = math.prod(max(0.0, min(u + a / 2, v + b / 2) - max(u - a / 2, v - b / 2)) for u, v in ((x, tx), (y, ty)))
+            score = shared / (a * a) if name == "overlap_weighted" else shared / (a * a + b * b - shared)
+            if city == c and (score > 0 if not least else score >= least):
+                want[i, j] = score
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {lats[i % len(lats)] for i, _ in want} >= set(lats) - ({-89.9995, 89.9999, 89.997} if least else set())
+
+
 @pytest.mark.parametrize("k", [3, 9])
 def test_best_of_blocks_are_the_best_of_all(spark, k):
     rng = np.random.default_rng(6)
