@@ -49,6 +49,24 @@ def test_query(spark, duck, name):
     assert got == table(relation.columns, relation.fetchall())
 
 
+def far_customers(spark, folder):
+    """Customers whose points lie up to 108 degrees north, as at 60 times sf0.1, as a table and a DuckDB connection that sees it."""
+    odd = spark.createDataFrame([(k,) for k in (632500, 643300, 845800, 342824, 622485, 622486, 622513)], "id long")  # halves, and the poles' neighbours
+    spark.range(0, 900_000, 211).union(odd).distinct().selectExpr("id AS c_custkey").write.parquet(f"{folder}/customer.parquet")
+    spark.range(0, 1_200_000, 499).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").write.parquet(f"{folder}/part.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "part"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["PJ02_true_scale"])
+def test_points_beyond_the_pole(spark, tmp_path, name):
+    relation = far_customers(spark, tmp_path).sql(registry.oracle_sql()[name])
+    df = registry.queries()[name](spark, str(tmp_path))
+    assert table(df.columns, df.collect()) == table(relation.columns, relation.fetchall())
+
+
 def test_names_are_unique():
     with pytest.raises(ValueError, match="registered already"):
         registry.register("JN02_current_rule")(None)
