@@ -95,11 +95,14 @@ def read_windows(pixels: DataFrame, requests: DataFrame, block: int = 16) -> Dat
     """(id, r, c, v): the pixels of each request's window, counted from its corner.
 
     requests: id, r0, c0, height, width, in pixels; what lies outside the raster has no row. Pixels and requests meet by blocks,
-    so a window reads its own blocks and no others, and a pixel goes to the windows that hold it only.
+    so a window reads its own blocks and no others, and a pixel goes to the windows that hold it only. A window's blocks are
+    those within the raster's own bounds, however far it reaches beyond them.
     """
-    last = lambda a, n: F.floor((F.col(a) + F.col(n) - 1) / block)
-    asked = requests.filter("height > 0 AND width > 0").withColumn("_br", F.explode(F.sequence(F.floor(F.col("r0") / block), last("r0", "height"))))
-    asked = asked.withColumn("_bc", F.explode(F.sequence(F.floor(F.col("c0") / block), last("c0", "width"))))
+    bounds = pixels.agg(*[f(c).alias(f"_{c}{n}") for c in ("r", "c") for f, n in ((F.min, 0), (F.max, 1))])
+    asked = requests.filter("height > 0 AND width > 0").crossJoin(F.broadcast(bounds))
+    for c, n in (("r", "height"), ("c", "width")):
+        low, high = F.greatest(F.col(f"{c}0"), F.col(f"_{c}0")), F.least(F.col(f"{c}0") + F.col(n) - 1, F.col(f"_{c}1"))
+        asked = asked.filter(F.col(f"{c}0").isNotNull() & (low <= high)).withColumn(f"_b{c}", F.explode(F.sequence(F.floor(low / block), F.floor(high / block))))
     held = pixels.select("r", "c", "v", F.floor(F.col("r") / block).alias("_br"), F.floor(F.col("c") / block).alias("_bc"))
     rows = asked.join(held, ["_br", "_bc"])
     rows = rows.select("id", (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), "v", "height", "width")

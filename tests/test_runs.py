@@ -314,6 +314,16 @@ def test_area_sweep_keeps_far_tiles_behind(spark):
     assert (got[1e6].n, got[1e6].mean_candidates, got[1e6].median_rank, got[1e6].within250) == (2, 2.5, 2.5, 0.5)
 
 
+def test_windows_far_larger_than_the_raster(spark):
+    from meridia.operators import tiling
+
+    pixels = spark.range(40 * 30).selectExpr("id div 30 + 5 AS r", "id % 30 - 7 AS c", "id AS v")
+    ask = [(1, -(10**9), -(10**9), 2 * 10**9, 2 * 10**9), (2, 44, 22, 10**9, 10**9), (3, 45, 0, 10**9, 9), (4, None, 0, 9, 9), (5, 0, 0, -4, 4), (6, 10, 3, 9, 12)]
+    got = tiling.read_windows(pixels, spark.createDataFrame(ask, "id long, r0 long, c0 long, height long, width long")).collect()
+    want = [(i, r - r0, c - c0, (r - 5) * 30 + c + 7) for i, r0, c0, h, w in ask if r0 is not None for r in range(5, 45) for c in range(-7, 23) if r0 <= r < r0 + h and c0 <= c < c0 + w]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 1200 + 1 + 108
+
+
 def test_sweep_by_boxes_is_that_of_all_pairs(spark):
     from meridia.operators import retrieval
 
