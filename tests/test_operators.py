@@ -297,6 +297,15 @@ def test_planned_batches_never_make_all_pairs_as_rows(spark, monkeypatch, tmp_pa
     assert got == {0: 14, 1: 13, 2: 13}
 
 
+def test_best_tile_of_all(spark):
+    queries, tiles = list(range(0, 900, 41)), random.Random(3).sample(range(2000), 700)
+    ids = lambda some: spark.createDataFrame([(i,) for i in some], "id long").repartition(3)
+    want = [(q, *max((((q * 3 + t * 7) % 23, -t) for t in tiles))) for q in queries]
+    for block in (3, 64, 16384):
+        got = K.best(ids(queries), ids(tiles), lambda q, t: (q[:, None] * 3 + t[None, :] * 7) % 23, "id", "id", block)
+        assert sorted((r.q, r.s, -r.t) for r in got.collect()) == want
+
+
 def test_scores_of_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(57, 8))
