@@ -83,10 +83,17 @@ def safe(name: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Powers of 1024, with one decimal from KB on."""
-    out = F.format_string("%d B", n.cast("long"))
+    """Powers of 1024, with one decimal from KB on; a half goes to the even one, as C's printf has it and Java's doesn't."""
+    n = n.cast("long")
+    out = F.format_string("%d B", n)
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
+        size = 1024**power
+        parts = n.bitwiseAND(F.lit(size - 1).cast("long")) * 10
+        tenth, rest = F.shiftright(parts, 10 * power), parts.bitwiseAND(F.lit(size - 1).cast("long"))
+        up = (rest > size // 2) | ((rest == size // 2) & (tenth % 2 == 1))
+        tenths = F.shiftright(n, 10 * power) * 10 + tenth + up.cast("long")
+        whole = ((tenths - tenths % 10) / 10).cast("long")
+        out = F.when(n >= size, F.format_string(f"%d.%d {unit}", whole, tenths % 10)).otherwise(out)
     return out
 
 

@@ -297,6 +297,15 @@ def test_planned_batches_never_make_all_pairs_as_rows(spark, monkeypatch, tmp_pa
     assert got == {0: 14, 1: 13, 2: 13}
 
 
+def test_halves_of_sizes_go_to_the_even_tenth(spark):
+    from meridia.functions import text
+
+    sizes = [0, 1, 1023, 1024, 1024 + 256, 1024 + 768, 1024 * 1024 - 1, 1024 * 1024 * 5 // 4, 1024 * 1024 * 7 // 4, 1024**3 * 9 // 4, 1024**3 * 11 // 4 + 1, 1024**4 * 5 // 4, 123456789012]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(text.human_bytes(F.col("n"))).collect()]
+    unit = lambda n: max(k for k in range(5) if k == 0 or n >= 1024**k)
+    assert got == [f"{n} B" if n < 1024 else f"{n / 1024 ** unit(n):.1f} {' KMGT'[unit(n)]}B" for n in sizes]
+
+
 def test_best_tile_of_all(spark):
     queries, tiles = list(range(0, 900, 41)), random.Random(3).sample(range(2000), 700)
     ids = lambda some: spark.createDataFrame([(i,) for i in some], "id long").repartition(3)
