@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meridia.functions import geo
 from meridia.functions import text as X
 from meridia.operators import osm as O
 from meridia.registry import register
@@ -103,7 +104,7 @@ def last_root(spark, sf_dir):
 
 @register("SC03_dedupe_positions", ctes("points") + ", q AS (SELECT point_id, round(lat, 2) AS a, round(lon, 2) AS b FROM points) SELECT min(point_id) AS point_id, a, b FROM q GROUP BY a, b")
 def dedupe_positions(spark, sf_dir):
-    rows = carrier(spark, sf_dir, "points").select("point_id", F.round("lat", 2).alias("a"), F.round("lon", 2).alias("b"))
+    rows = carrier(spark, sf_dir, "points").select("point_id", geo.rounded(F.col("lat"), 2).alias("a"), geo.rounded(F.col("lon"), 2).alias("b"))
     return rows.groupBy("a", "b").agg(F.min("point_id").alias("point_id"))
 
 
