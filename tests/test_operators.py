@@ -306,6 +306,12 @@ def test_halves_of_sizes_go_to_the_even_tenth(spark):
     assert got == [f"{n} B" if n < 1024 else f"{n / 1024 ** unit(n):.1f} {' KMGT'[unit(n)]}B" for n in sizes]
 
 
+def test_numbered_tiles_near_both_poles(spark):
+    lats = [-89.9999999, -89.99, -60.0, 0.0, 48.5, 89.9999999, 90.0005, 95.0, 108.5]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lats], "lat double").coalesce(1).select(geo.slippy_y(F.col("lat"), 18)).collect()]
+    assert got == [math.floor((1 - math.asinh(math.tan(math.radians(x))) / math.pi) / 2 * 2**18) for x in lats]
+
+
 def test_best_tile_of_all(spark):
     queries, tiles = list(range(0, 900, 41)), random.Random(3).sample(range(2000), 700)
     ids = lambda some: spark.createDataFrame([(i,) for i in some], "id long").repartition(3)
