@@ -60,7 +60,7 @@ def far_customers(spark, folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["PJ02_true_scale", "AG14_distance_report", "PJ22_validated_numbers", "SC03_dedupe_positions", "AG30_split_shift"])
+@pytest.mark.parametrize("name", ["PJ02_true_scale", "AG14_distance_report", "PJ22_validated_numbers", "SC03_dedupe_positions", "AG30_split_shift", "PJ23_slippy_tile"])
 def test_points_beyond_the_pole(spark, tmp_path, name):
     relation = far_customers(spark, tmp_path).sql(registry.oracle_sql()[name])
     df = registry.queries()[name](spark, str(tmp_path))
