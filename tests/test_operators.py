@@ -321,6 +321,23 @@ def test_best_tile_of_all(spark):
         assert sorted((r.q, r.s, -r.t) for r in got.collect()) == want
 
 
+def test_planned_batches_by_the_nearest_of_all_pairs(spark, monkeypatch, tmp_path):
+    from meridia import registry
+    from meridia.plans import q_rank
+    from meridia.sources.carriers import carrier
+
+    rng = np.random.default_rng(11)
+    rows = [(i, i % 5, rng.normal(size=4).tolist()) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked, real = [], K.planned_batches
+    monkeypatch.setattr(q_rank.K, "planned_batches", lambda pairs, near, *a: asked.append(near) or real(pairs, near, *a))
+    assert registry.queries()["GR10_planned_batches"](spark, str(tmp_path)).count() >= 60
+    vectors = carrier(spark, str(tmp_path), "vectors")
+    all_ = K.cosine_scores(vectors, vectors, "vec_id", "vec_id").filter("q <> t").withColumn("s", F.round(F.col("s") * 1e6).cast("long"))
+    want = [(r.q, r["rank"], r.t) for r in K.top_k(all_, 5).collect()]
+    assert sorted(map(tuple, asked[0].select("pair", "rank", "nbr").collect())) == sorted(want)
+
+
 def test_scores_of_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(57, 8))
