@@ -244,7 +244,7 @@ def test_batches_have_each_query_and_tile_once(spark):
     assert {p[1] for p in pairs} == seen[0] | seen[1]
 
 
-@pytest.mark.parametrize(("name", "query", "top", "least"), [("tile_iou_1000", 1000.0, None, 0.5), ("pyramid_top_iou_250", 250.0, 250.0, 0.15)])
+@pytest.mark.parametrize(("name", "query", "top", "least"), [("overlap_weighted", 250.0, None, 0.0), ("tile_iou_1000", 1000.0, None, 0.5), ("pyramid_top_iou_250", 250.0, 250.0, 0.15)])
 def test_overlap_rules_hold_up_to_the_poles_and_beyond(spark, name, query, top, least):
     rng = random.Random(9)
     lats = [-89.9995, -89.9, -60.0, 0.0, 48.5, 80.0, 89.0, 89.9, 89.997, 89.9999]
