@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from meridia import registry
+from meridia.sources.carriers import ctes
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -67,6 +68,17 @@ def test_points_beyond_the_pole(spark, tmp_path, name):
     assert table(df.columns, df.collect()) == table(relation.columns, relation.fetchall())
 
 
+def test_rules_leave_out_what_lies_beyond_the_pole(spark, tmp_path):
+    con = far_customers(spark, tmp_path)
+    for t, key, lat, source in (("customer", "point_id", "points", "c_custkey"), ("part", "tile_id", "tiles", "p_partkey")):
+        near = con.sql(f"{ctes(lat)} SELECT {key} FROM {lat} WHERE lat < 90").fetchall()
+        con.sql(f"CREATE TABLE near_{t} AS SELECT unnest({[k for (k,) in near]}) AS k")
+        con.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet' WHERE {source} IN (SELECT k FROM near_{t})")
+    relation = con.sql(registry.oracle_sql()["UD01_rules"])
+    df = registry.queries()["UD01_rules"](spark, str(tmp_path))
+    assert table(df.columns, df.collect()) == table(relation.columns, relation.fetchall())
+
+
 def test_names_are_unique():
     with pytest.raises(ValueError, match="registered already"):
         registry.register("JN02_current_rule")(None)
