@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -284,6 +285,38 @@ def test_best_of_blocks_are_the_best_of_all(spark, k):
         assert sorted((r.q, r["rank"], r.t, r.s) for r in K.cosine_top_k(rows, rows, k, "id", "id", block=block).collect()) == want
 
 
+def test_tasks_keep_the_best_of_all_their_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(size=(300, 5)), 2, axis=0), np.ones((200, 5)), rng.normal(size=(100, 5)), [[np.nan] * 5]])
+    ids = [int(i) for i in rng.permutation(len(x))]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, vec array<double>").coalesce(1)
+    units = x[:-1] / np.linalg.norm(x[:-1], axis=1, keepdims=True)
+    whole = np.floor(np.abs(units @ units.T) * 1e6 + 0.5) * np.sign(units @ units.T)
+    want = sorted((ids[i], k + 1, t, s) for i, row in enumerate(whole.astype(int)) for k, (s, t) in enumerate((-s, t) for s, t in sorted((-s, t) for t, s in zip(ids, row.tolist(), strict=False) if t != ids[i])[:4]))
+    for block in (100, 280, 2048):
+        assert sorted((r.q, r["rank"], r.t, r.s) for r in K.cosine_top_k(rows, rows, 4, "id", "id", block=block).collect()) == want
+    monkeypatch.setattr(K, "top_k", lambda scores, _k: scores)
+    assert K.cosine_top_k(rows, rows, 4, "id", "id", block=100).count() == 4 * 900  # not four for each of its blocks
+
+
+def test_long_shards_are_planned_in_time_of_their_length(spark):
+    n = 40_000
+    pairs = spark.range(n).selectExpr("0 AS shard", "id AS pair", "id AS q", "id % 45 AS t").coalesce(1)
+    near = spark.range(n).selectExpr("id AS pair", "1 AS rank", f"(id + 1) % {n} AS nbr")
+    began = time.monotonic()
+    rows = K.planned_batches(pairs, near, "shard", 8).toPandas()
+    assert time.monotonic() - began < 15 and set(rows["pair"]) == set(range(n))
+    assert (rows.groupby("batch").size() == 8).all() and not rows.assign(t=rows["pair"] % 45).duplicated(["batch", "t"]).any()
+
+
+def test_batches_of_few_free_pairs_are_filled_as_far_as_they_go(spark):
+    # pairs share query 0 or tile 0, but for three; so a batch holds at most one of each kind, and those three
+    pairs = [(0, i, 0 if i % 2 else i, i if i % 2 else 0) for i in range(1, 401)] + [(0, 1000 + i, 5000 + i, 6000 + i) for i in range(3)]
+    near = spark.createDataFrame([], "pair int, rank int, nbr int")
+    rows = K.planned_batches(spark.createDataFrame(pairs, "shard int, pair int, q int, t int"), near, "shard", 8).toPandas()
+    assert (rows.groupby("batch").size() == 5).all() and set(rows["pair"]) == {p[1] for p in pairs}
+
+
 def test_planned_batches_never_make_all_pairs_as_rows(spark, monkeypatch, tmp_path):
     from meridia import registry
 
